@@ -10,11 +10,19 @@ from mdloom.functions import urls as U
 from mdloom.operators import html as H
 from mdloom.operators import urls as OU
 from mdloom.plans import corpus as C
-from mdloom.sources.pages import page_scan, read_table
+from mdloom.operators import advisor as AD
+from mdloom.operators import attempts as OA
+from mdloom.operators import errors as OE
+from mdloom.operators.order import ranked
+from mdloom.plans import crawl as CR
+from mdloom.plans import runs as R
+from mdloom.sources.pages import attempts_from_events, page_scan, read_table
 
 # --- fixed parameters of the registered queries ------------------------------
 # scope prefix used by the scope-filter queries (rejects plain-http pages)
 SCOPE_PREFIX = "https://"
+# state snapshot cadence (pages) of the default profile
+SNAPSHOT_EVERY = 10
 # ----------------------------------------------------------------------------
 
 
@@ -141,6 +149,130 @@ def q_convert_stats(spark, sf_dir):
                                                       F.col("total_processed")), 1))
 
 
+# ---------------------------------------------------------------- crawl
+def _links_and_keys(spark, sf_dir):
+    links = C.links(C.parsed_pages(spark, sf_dir))
+    keys = page_scan(spark, sf_dir).select("url_key", "page_id", "host")
+    return links, keys
+
+
+def q_frontier_new(spark, sf_dir):
+    links, keys = _links_and_keys(spark, sf_dir)
+    return CR.frontier_new(links, keys)
+
+
+def q_frontier_seen(spark, sf_dir):
+    links, keys = _links_and_keys(spark, sf_dir)
+    return CR.frontier_seen(links, keys).select("page_id", "pos", "dst_key")
+
+
+def q_link_graph(spark, sf_dir):
+    links, keys = _links_and_keys(spark, sf_dir)
+    return CR.link_graph(links, keys)
+
+
+def q_frontier_order(spark, sf_dir):
+    links, keys = _links_and_keys(spark, sf_dir)
+    fr = CR.frontier_new(links, keys).withColumn("host", U.url_host("dst_url"))
+    return CR.frontier_order(fr).select("host", "pop_seq", "dst_key", "dst_url", "priority")
+
+
+def q_url_inventory(spark, sf_dir):
+    return CR.url_inventory(page_scan(spark, sf_dir))
+
+
+def q_snapshot_points(spark, sf_dir):
+    return CR.snapshot_points(page_scan(spark, sf_dir), SNAPSHOT_EVERY)
+
+
+def _closure(spark, sf_dir, scoped: bool):
+    edges = C.synthetic_edges(spark, sf_dir)
+    if scoped:
+        edges = edges.where("in_scope")
+    seeds = spark.range(1).select(F.lit(0).cast("long").alias("node"))
+    return CR.closure(edges, seeds)
+
+
+def q_crawl_closure(spark, sf_dir):
+    return _closure(spark, sf_dir, True)
+
+
+def q_crawl_closure_all(spark, sf_dir):
+    return _closure(spark, sf_dir, False)
+
+
+def q_crawl_order(spark, sf_dir):
+    """Level-synchronous crawl order (depth, then node) as a global sequence."""
+    return ranked(_closure(spark, sf_dir, True), [], ["depth", "node"], seq_col="crawl_seq")
+
+
+# ---------------------------------------------------------------- attempts
+def q_auto_skip(spark, sf_dir):
+    return OA.auto_skip(attempts_from_events(spark, sf_dir)).select(
+        "attempt_id", "url_id", "failed", "attempt_no", "prior_failures", "skipped")
+
+
+def q_failed_urls(spark, sf_dir):
+    return OA.failed_urls(attempts_from_events(spark, sf_dir))
+
+
+def q_top_failures(spark, sf_dir):
+    return OA.top_failures(OA.failed_urls(attempts_from_events(spark, sf_dir)))
+
+
+def q_crawl_stats(spark, sf_dir):
+    return OA.crawl_stats(attempts_from_events(spark, sf_dir))
+
+
+def q_backoff_schedule(spark, sf_dir):
+    """Delay before the retry that follows each failed attempt (k = failures
+    of the URL so far, 0-based)."""
+    a = OA.auto_skip(attempts_from_events(spark, sf_dir)).where("failed")
+    return a.select("attempt_id", "url_id", "prior_failures",
+                    OA.backoff_delay(F.col("prior_failures")).alias("retry_delay"))
+
+
+def q_throughput(spark, sf_dir):
+    """T4 (batch form): successful fetches per minute."""
+    a = attempts_from_events(spark, sf_dir).where(~F.col("failed"))
+    return a.groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+# ---------------------------------------------------------------- errors / runs / advisor
+def q_error_union(spark, sf_dir):
+    return R.site_errors(spark, sf_dir).select("source", "error_type", "severity", "url", "message")
+
+
+def q_error_summary(spark, sf_dir):
+    return OE.error_summary(spark, R.site_errors(spark, sf_dir))
+
+
+def q_error_policy(spark, sf_dir):
+    e = OE.error_policy(R.site_errors(spark, sf_dir))
+    return e.groupBy("error_type", "severity", "log_level", "continue_run", "retry").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def q_site_runs(spark, sf_dir):
+    return R.site_runs(spark, sf_dir)
+
+
+def q_run_rates(spark, sf_dir):
+    return AD.run_rates(R.site_runs(spark, sf_dir))
+
+
+def q_advisor(spark, sf_dir):
+    return AD.advisor(R.site_runs(spark, sf_dir)).select("run_id", "rule_id", "priority", "category")
+
+
+def q_advisor_counts(spark, sf_dir):
+    return AD.advisor_counts(AD.advisor(R.site_runs(spark, sf_dir)))
+
+
+def q_advisor_report(spark, sf_dir):
+    return AD.advisor_report(R.site_runs(spark, sf_dir)).select("run_id", "line_no", "rule_id", "priority")
+
+
 QUERIES = {
     "page_scan": q_page_scan,
     "url_normalize": q_url_normalize,
@@ -163,4 +295,27 @@ QUERIES = {
     "markdown_docs": q_markdown_docs,
     "convert_status": q_convert_status,
     "convert_stats": q_convert_stats,
+    "frontier_new": q_frontier_new,
+    "frontier_seen": q_frontier_seen,
+    "link_graph": q_link_graph,
+    "frontier_order": q_frontier_order,
+    "url_inventory": q_url_inventory,
+    "snapshot_points": q_snapshot_points,
+    "crawl_closure": q_crawl_closure,
+    "crawl_closure_all": q_crawl_closure_all,
+    "crawl_order": q_crawl_order,
+    "auto_skip": q_auto_skip,
+    "failed_urls": q_failed_urls,
+    "top_failures": q_top_failures,
+    "crawl_stats": q_crawl_stats,
+    "backoff_schedule": q_backoff_schedule,
+    "throughput": q_throughput,
+    "error_union": q_error_union,
+    "error_summary": q_error_summary,
+    "error_policy": q_error_policy,
+    "site_runs": q_site_runs,
+    "run_rates": q_run_rates,
+    "advisor": q_advisor,
+    "advisor_counts": q_advisor_counts,
+    "advisor_report": q_advisor_report,
 }

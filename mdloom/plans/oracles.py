@@ -153,3 +153,140 @@ ORACLES: dict[str, str] = {
         CAST(0 AS BIGINT) AS total_failed, round(100.0 * count(*) / count(*), 1) AS success_rate FROM pp GROUP BY 1"""),
 }
 ORACLES["url_verdict_counts"] = ("SELECT verdict, count(*) AS n FROM (" + ORACLES["url_validate"] + ") GROUP BY verdict")
+
+
+# ------------------------------------------------------------------ crawl
+_KEYS = f"keys AS (SELECT page_id AS kp, {KEY} AS url_key FROM pp)"
+_FRESH = f"""{LINKS_CTE}, {_KEYS},
+  fresh AS (SELECT * FROM links l WHERE NOT EXISTS (SELECT 1 FROM keys k WHERE k.url_key = l.dst_key)),
+  fr AS (SELECT *, row_number() OVER (PARTITION BY dst_key ORDER BY page_id, pos) AS rn,
+                count(*) OVER (PARTITION BY dst_key) AS n_refs FROM fresh),
+  first AS (SELECT dst_key, dst_url, priority, page_id AS first_page_id, pos AS first_pos, n_refs FROM fr WHERE rn = 1)"""
+
+_EDGES = """e0 AS (SELECT page_id AS src, (SELECT count(*) FROM pages) AS n FROM pages),
+  edges AS (SELECT src, (2 * src + 1) % n AS dst FROM e0 UNION ALL SELECT src, (2 * src + 2) % n AS dst FROM e0)"""
+
+
+def _closure_sql(scoped: bool) -> str:
+    cond = "AND e.dst % 7 <> 0" if scoped else ""
+    return f"""WITH RECURSIVE {_EDGES},
+  r(node, depth) AS (SELECT CAST(0 AS BIGINT), 0
+                     UNION
+                     SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node
+                     WHERE r.depth < (SELECT count(*) FROM pages) {cond})
+SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node"""
+
+
+ORACLES.update({
+    "frontier_new": _with(_FRESH, "SELECT * FROM first"),
+    "frontier_seen": _with(LINKS_CTE + ", " + _KEYS,
+                           "SELECT page_id, pos, dst_key FROM links l WHERE EXISTS (SELECT 1 FROM keys k WHERE k.url_key = l.dst_key)"),
+    "link_graph": _with(LINKS_CTE + ", " + _KEYS,
+                        "SELECT l.page_id AS src_page_id, l.pos, l.dst_key, k.kp AS dst_page_id FROM links l JOIN keys k ON k.url_key = l.dst_key"),
+    "frontier_order": _with(_FRESH + f""",
+  fh AS (SELECT *, {_parts('dst_url')} FROM first),
+  fh2 AS (SELECT *, {HOST} AS host FROM fh)""",
+        "SELECT host, row_number() OVER (PARTITION BY host ORDER BY priority, first_page_id, first_pos, dst_key) AS pop_seq, "
+        "dst_key, dst_url, priority FROM fh2"),
+    "url_inventory": _with(PAGES_P, f"SELECT {HOST} AS host, page_id, url, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) AS n FROM pp"),
+    "snapshot_points": _with(PAGES_P + f", s AS (SELECT {HOST} AS host, page_id, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) AS n FROM pp)",
+                             "SELECT host, page_id, n, n % 10 = 0 AS snapshot, n // 10 AS snapshot_no FROM s"),
+    "crawl_closure": _closure_sql(True),
+    "crawl_closure_all": _closure_sql(False),
+    "crawl_order": "WITH c AS (" + _closure_sql(True) + ") SELECT node, depth, row_number() OVER (ORDER BY depth, node) AS crawl_seq FROM c",
+})
+
+# ------------------------------------------------------------------ attempts
+_ATT = """att AS (SELECT event_id AS attempt_id, user_id AS url_id, ts, event_type = 'error' AS failed FROM events),
+  sk AS (SELECT attempt_id, url_id, failed,
+                row_number() OVER w AS attempt_no,
+                coalesce(sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior_failures
+         FROM att WINDOW w AS (PARTITION BY url_id ORDER BY ts, attempt_id))"""
+_PER_URL = "pu AS (SELECT user_id AS url_id, count(*) FILTER (WHERE event_type = 'error') AS failures, count(*) AS attempts FROM events GROUP BY user_id)"
+
+ORACLES.update({
+    "auto_skip": _with(_ATT, "SELECT attempt_id, url_id, failed, attempt_no, prior_failures, prior_failures >= 5 AS skipped FROM sk"),
+    "failed_urls": _with(_PER_URL, "SELECT * FROM pu"),
+    "top_failures": _with(_PER_URL, "SELECT url_id, failures, CAST(url_id AS VARCHAR) || ': ' || CAST(failures AS VARCHAR) || ' failures' AS label "
+                                    "FROM pu WHERE failures > 0 ORDER BY failures DESC, url_id LIMIT 10"),
+    "crawl_stats": _with(_PER_URL, "SELECT sum(attempts) AS total_attempts, sum(failures) AS total_failed, count(*) AS total_urls, "
+                                   "count(*) FILTER (WHERE failures < attempts) AS urls_with_success, "
+                                   "count(*) FILTER (WHERE failures >= 5) AS auto_skipped FROM pu"),
+    "backoff_schedule": _with(_ATT, "SELECT attempt_id, url_id, prior_failures, least(1.0 * pow(2.0, prior_failures), 60.0) AS retry_delay FROM sk WHERE failed"),
+    "throughput": "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS minute, count(*) AS pages FROM events WHERE event_type <> 'error' GROUP BY 1",
+})
+
+# ------------------------------------------------------------------ errors / runs / advisor
+_PK = f"pk AS (SELECT page_id, url, html, {HOST} AS host, {KEY} AS url_key FROM pp)"
+_ERR = f"""{PAGES_P}, {_PK},
+  net AS (SELECT 'crawler' AS source, 'network_error' AS error_type, 'MEDIUM' AS severity, pk.url, 'fetch failed' AS message, pk.host
+          FROM events e JOIN pk ON e.user_id = pk.page_id WHERE e.event_type = 'error'),
+  con AS (SELECT 'converter' AS source, 'content_extraction_error' AS error_type, 'LOW' AS severity, url,
+                 'content root not found, body used' AS message, host FROM pk WHERE NOT regexp_matches(html, '<main[\\s>]')),
+  errs AS (SELECT * FROM net UNION ALL SELECT * FROM con)"""
+_TYPES = "types(error_type) AS (VALUES ('network_error'), ('content_extraction_error'), ('file_system_error'), ('config_error'))"
+_RUNS = f"""{PAGES_P}, {_PK},
+  ps AS (SELECT host, count(DISTINCT url_key) AS total_crawled, count(*) - count(DISTINCT url_key) AS total_skipped,
+                count(*) AS total_processed, count(*) AS total_success, 0 AS convert_failed,
+                count(*) FILTER (WHERE NOT regexp_matches(html, '<main[\\s>]')) AS content_errors FROM pk GROUP BY host),
+  atx AS (SELECT e.user_id AS url_id, e.ts, e.event_type = 'error' AS failed, pk.host FROM events e JOIN pk ON e.user_id = pk.page_id),
+  pu AS (SELECT host, url_id, count(*) FILTER (WHERE failed) AS f, min(ts) AS t0, max(ts) AS t1 FROM atx GROUP BY host, url_id),
+  asd AS (SELECT host, sum(f) AS total_failed, count(*) FILTER (WHERE f >= 5) AS auto_skipped,
+                 epoch_us(max(t1)) - epoch_us(min(t0)) AS span_us FROM pu GROUP BY host),
+  runs AS (SELECT coalesce(ps.host, asd.host) AS run_id,
+                  coalesce(total_crawled, 0) AS total_crawled, coalesce(total_failed, 0) AS total_failed,
+                  coalesce(total_skipped, 0) AS total_skipped, coalesce(auto_skipped, 0) AS auto_skipped,
+                  coalesce(total_processed, 0) AS total_processed, coalesce(total_success, 0) AS total_success,
+                  coalesce(convert_failed, 0) AS convert_failed, 0 AS images_downloaded, 0 AS images_failed,
+                  coalesce(total_failed, 0) AS network_errors, coalesce(content_errors, 0) AS content_errors,
+                  0 AS fs_errors, 0 AS config_errors, coalesce(span_us, 0) / 1e6 AS seconds,
+                  1.0 AS request_delay, 'INFO' AS console_level
+           FROM ps FULL OUTER JOIN asd ON ps.host = asd.host)"""
+_RATES = """rates AS (SELECT *,
+      network_errors / nullif(total_crawled + total_failed, 0) AS network_rate,
+      content_errors / nullif(total_processed, 0) AS content_rate,
+      images_failed / nullif(images_downloaded + images_failed, 0) AS image_fail_rate,
+      CASE WHEN total_crawled > 0 AND seconds > 0 THEN total_crawled / seconds * 60.0 END AS pages_per_minute,
+      CASE WHEN total_crawled > 0 THEN total_skipped / nullif(total_crawled + total_skipped, 0) END AS skip_rate,
+      (network_errors + content_errors + fs_errors + config_errors) / nullif(total_crawled + total_failed + total_processed, 0) AS error_rate
+    FROM runs)"""
+_RULE_SQL = [
+    ("R01", "HIGH", "RELIABILITY", "network_rate > 0.3 AND request_delay < 2.0"),
+    ("R02", "MEDIUM", "RELIABILITY", "network_rate > 0.3 AND request_delay >= 2.0"),
+    ("R03", "MEDIUM", "RELIABILITY", "network_rate > 0.1 AND network_rate <= 0.3"),
+    ("R04", "HIGH", "CONFIGURATION", "content_rate > 0.2"),
+    ("R05", "MEDIUM", "CONFIGURATION", "content_rate > 0.05 AND content_rate <= 0.2"),
+    ("R06", "MEDIUM", "CONFIGURATION", "content_rate IS NOT NULL AND images_failed > 0 AND image_fail_rate > 0.3"),
+    ("R07", "LOW", "PERFORMANCE", "pages_per_minute IS NOT NULL AND pages_per_minute < 5"),
+    ("R08", "LOW", "PERFORMANCE", "pages_per_minute IS NOT NULL AND images_downloaded > 100"),
+    ("R09", "MEDIUM", "CONFIGURATION", "skip_rate > 0.5"),
+    ("R10", "LOW", "CONFIGURATION", "skip_rate < 0.1 AND total_crawled > 50"),
+    ("R11", "LOW", "PERFORMANCE", "console_level = 'DEBUG' AND total_crawled > 20"),
+    ("R12", "HIGH", "RELIABILITY", "error_rate > 0.4"),
+    ("R13", "MEDIUM", "RELIABILITY", "error_rate > 0.2 AND error_rate <= 0.4"),
+    ("R14", "HIGH", "RELIABILITY", "error_rate IS NOT NULL AND fs_errors > 0"),
+]
+_ADV = "adv AS (" + " UNION ALL ".join(
+    f"SELECT run_id, '{r}' AS rule_id, '{p}' AS priority, '{c}' AS category FROM rates WHERE coalesce({cond}, false)"
+    for r, p, c, cond in _RULE_SQL) + ")"
+
+ORACLES.update({
+    "error_union": _with(_ERR, "SELECT source, error_type, severity, url, message FROM errs"),
+    "error_summary": _with(_ERR + ", " + _TYPES + ", c AS (SELECT error_type, count(*) AS n FROM errs GROUP BY 1)",
+                           "SELECT t.error_type, coalesce(c.n, 0) AS n FROM types t LEFT JOIN c USING (error_type)"),
+    "error_policy": _with(_ERR, """SELECT error_type, severity,
+        CASE severity WHEN 'CRITICAL' THEN 'critical' WHEN 'HIGH' THEN 'error' WHEN 'MEDIUM' THEN 'warning' ELSE 'info' END AS log_level,
+        severity IN ('LOW', 'MEDIUM') AS continue_run,
+        error_type IN ('network_error', 'file_system_error') AS retry, count(*) AS n FROM errs GROUP BY ALL"""),
+    "site_runs": _with(_RUNS, "SELECT * FROM runs"),
+    "run_rates": _with(_RUNS + ", " + _RATES,
+                       "SELECT run_id, network_rate, content_rate, image_fail_rate, pages_per_minute, skip_rate, error_rate FROM rates"),
+    "advisor": _with(_RUNS + ", " + _RATES + ", " + _ADV, "SELECT * FROM adv"),
+    "advisor_counts": _with(_RUNS + ", " + _RATES + ", " + _ADV, "SELECT priority, count(*) AS n FROM adv GROUP BY priority"),
+    "advisor_report": _with(_RUNS + ", " + _RATES + ", " + _ADV + """,
+  allr AS (SELECT run_id, rule_id, priority FROM adv
+           UNION ALL SELECT run_id, 'R00', 'NONE' FROM runs WHERE run_id NOT IN (SELECT run_id FROM adv))""",
+        """SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY
+             CASE priority WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END, rule_id) AS line_no,
+           rule_id, priority FROM allr"""),
+})
