@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mdloom.functions.urls import let
+
 BLK = "\u0001"    # block boundary (blank line)
 BRK = "\u0002"    # hard line break
 NL = "\u0003"     # single newline (list items, table rows, code lines)
@@ -139,4 +141,5 @@ def render_markdown(kept: Column, nodes: Column, src_map: Column | None = None)
     s = F.regexp_replace(s, r"(^|\n)([0-9]+)\. ", r"$1$2\\. ")
     for g, ch in ((G_HASH, "#"), (G_DASH, "-"), (G_GT, ">"), (G_DOT, ".")):
         s = F.regexp_replace(s, g, ch)
-    return F.when(kept.isNull(), F.lit(None)).when(s == "", F.lit("")).otherwise(F.concat(s, F.lit("\n")))
+    out = let(s, lambda v: F.when(v == "", F.lit("")).otherwise(F.concat(v, F.lit("\n"))))
+    return F.when(kept.isNull(), F.lit(None).cast("string")).otherwise(out)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mdloom.functions.selectors import selector_predicate
+from mdloom.functions.urls import let
 
 NODE_TYPE = T.StructType([
     T.StructField("node_id", T.IntegerType()), T.StructField("end_id", T.IntegerType()),
@@ -44,6 +45,11 @@ def parse_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """
     import pyarrow as pa  # noqa: F401  (worker side)
 
+    par = pages.sparkSession.sparkContext.defaultParallelism
+    if pages.rdd.getNumPartitions() < par:
+        # few input splits (e.g. one row group): spread pages over all cores so
+        # the Python tokeniser is not a single task; large inputs skip this
+        pages = pages.repartition(2 * par)
     keep = [f for f in pages.schema.fields if f.name != html_col]
     out_schema = T.StructType(keep + [T.StructField("nodes", NODES_TYPE, True)])
     names = [f.name for f in keep] + ["nodes"]
@@ -92,20 +98,28 @@ def content_root(nodes: Column, selector: str = DEFAULT_CONTENT_SELECTOR) -> Col
     hit = F.try_element_at(matches(nodes, selector), F.lit(1))
     body = F.try_element_at(F.filter(nodes, lambda n: (n["kind"] == "element") & (n["tag"] == "body")),
                             F.lit(1))
-    root = F.coalesce(hit, body)
-    source = (F.when(nodes.isNull(), F.lit("no_html"))
-              .when(hit.isNotNull(), F.lit("selector"))
-              .when(body.isNotNull(), F.lit("body")).otherwise(F.lit("none")))
-    return F.struct(root.alias("root"), source.alias("source"))
+
+    def pick(h):
+        root = F.coalesce(h, body)
+        source = (F.when(nodes.isNull(), F.lit("no_html"))
+                  .when(h.isNotNull(), F.lit("selector"))
+                  .when(root.isNotNull(), F.lit("body")).otherwise(F.lit("none")))
+        return F.struct(root.alias("root"), source.alias("source"))
+    return let(hit, pick)
 
 
 def clean_nodes(nodes: Column, root: Column, unwanted: str = UNWANTED_SELECTOR) -> Column:
     """H4: the root's subtree minus every subtree rooted at an unwanted
     descendant; the root itself is never dropped."""
     inside = F.slice(nodes, root["node_id"] + 2, root["end_id"] - root["node_id"])
-    bad = F.transform(F.filter(inside, selector_predicate(unwanted, nodes)),
-                      lambda b: F.struct(b["node_id"].alias("s"), b["end_id"].alias("e")))
-    kept = F.filter(inside, lambda n: ~F.exists(bad, lambda b: (n["node_id"] >= b["s"]) & (n["node_id"] <= b["e"])))
+
+    def drop_bad(ins):
+        # removed intervals, computed once per page (not per node)
+        bad = F.transform(F.filter(ins, selector_predicate(unwanted, nodes)),
+                          lambda b: F.struct(b["node_id"].alias("s"), b["end_id"].alias("e")))
+        return let(bad, lambda bd: F.filter(
+            ins, lambda n: ~F.exists(bd, lambda b: (n["node_id"] >= b["s"]) & (n["node_id"] <= b["e"]))))
+    kept = let(inside, drop_bad)
     return F.when(root.isNull(), F.lit(None)).otherwise(F.concat(F.array(root), kept))
 
 
