@@ -16,7 +16,9 @@ from mdloom.operators import errors as OE
 from mdloom.operators.order import ranked
 from mdloom.plans import crawl as CR
 from mdloom.plans import runs as R
+from mdloom.session import scratch_path
 from mdloom.sources.pages import attempts_from_events, page_scan, read_table
+from mdloom.streaming import pages_stream as ST
 
 # --- fixed parameters of the registered queries ------------------------------
 # scope prefix used by the scope-filter queries (rejects plain-http pages)
@@ -273,6 +275,22 @@ def q_advisor_report(spark, sf_dir):
     return AD.advisor_report(R.site_runs(spark, sf_dir)).select("run_id", "line_no", "rule_id", "priority")
 
 
+# ---------------------------------------------------------------- streaming
+def q_stream_pages(spark, sf_dir):
+    """Pages with a new URL key, run incrementally (availableNow) into a
+    table in the shared checkpoint folder."""
+    base = scratch_path(spark, "stream-pages")
+    ST.run_to_table(ST.stream_pages(spark, sf_dir), f"{base}/out", f"{base}/ckpt")
+    return ST.read_table(spark, f"{base}/out").select("url_key")
+
+
+def q_stream_failures(spark, sf_dir):
+    """Cumulative failures per URL from a streaming aggregate (update mode)."""
+    base = scratch_path(spark, "stream-failures")
+    ST.run_to_table(ST.stream_failures(spark, sf_dir), f"{base}/out", f"{base}/ckpt", mode="update")
+    return ST.read_table(spark, f"{base}/out", keys=["url_id"])
+
+
 QUERIES = {
     "page_scan": q_page_scan,
     "url_normalize": q_url_normalize,
@@ -318,4 +336,6 @@ QUERIES = {
     "advisor": q_advisor,
     "advisor_counts": q_advisor_counts,
     "advisor_report": q_advisor_report,
+    "stream_pages": q_stream_pages,
+    "stream_failures": q_stream_failures,
 }

@@ -290,3 +290,10 @@ ORACLES.update({
              CASE priority WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END, rule_id) AS line_no,
            rule_id, priority FROM allr"""),
 })
+
+ORACLES.update({
+    "stream_pages": _with(PAGES_P, f"SELECT DISTINCT {KEY} AS url_key FROM pp"),
+    "stream_failures": "SELECT user_id AS url_id, count(*) FILTER (WHERE event_type = 'error') AS failures, "
+                       "count(*) AS attempts, count(*) FILTER (WHERE event_type = 'error') >= 5 AS auto_skip "
+                       "FROM events GROUP BY user_id",
+})
