@@ -88,6 +88,7 @@ def _open_piece(nodes: Column, n: Column, src_map: Column | None) -> Column:
             .when(tag == "blockquote", F.lit(BLK + G_GT + " "))
             .when(tag == "tr", F.lit(NL))
             .when(tag.isin("td", "th"), F.lit("| "))
+            .when(tag.isin("ul", "ol") & (list_depth > 0), F.lit(NL))
             .when(tag.isin(*BLOCK_TAGS), F.lit(BLK))
             .otherwise(F.lit("")))
 
@@ -111,6 +112,8 @@ def _close_piece(nodes: Column, n: Column) -> Column:
             .when(tag == "tr", F.when(table_id.isNotNull() & first_tr, F.concat(F.lit("|"), sep))
                   .otherwise(F.lit("|")))
             .when(tag.isin("td", "th"), F.lit(" "))
+            .when(tag.isin("ul", "ol") & F.exists(n["anc"], lambda i: _node_at(nodes, i)["tag"].isin("ul", "ol")),
+                  F.lit(NL))
             .when(tag.isin(*BLOCK_TAGS), F.lit(BLK))
             .otherwise(F.lit("")))
 
