@@ -19,16 +19,22 @@ from mdloom.session import ensure_checkpoint_dir
 
 
 def ranked(df: DataFrame, group_cols: list[str], order_cols: list, seq_col: str = "seq",
-           sum_cols: dict[str, str] | None = None, num_partitions: int | None = None) -> DataFrame:
+           sum_cols: dict[str, str] | None = None, num_partitions: int | None = None,
+           stage_input: bool = False) -> DataFrame:
     """Add ``seq_col`` (1-based position within the group by ``order_cols``) and,
     for each ``{out: col}`` in ``sum_cols``, the inclusive running sum of ``col``.
 
-    ``order_cols`` may be names or Columns (e.g. ``F.desc('n')``)."""
+    ``order_cols`` may be names or Columns (e.g. ``F.desc('n')``). Range
+    partitioning samples its input in a separate job; with ``stage_input`` the
+    (narrow) input first goes through a round-robin exchange so expensive
+    upstream work (e.g. page parsing) runs once."""
     sum_cols = sum_cols or {}
     ensure_checkpoint_dir(df.sparkSession)
     orders = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keys = [F.col(c) for c in group_cols]
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if stage_input:
+        df = df.repartition(n)
     parted = df.repartitionByRange(n, *keys, *orders).sortWithinPartitions(*keys, *orders)
     # Range bounds are sampled per execution, so the tagged rows are written once
     # (reliable checkpoint in the shared folder) and both uses below read the

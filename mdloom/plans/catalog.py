@@ -275,6 +275,54 @@ def q_advisor_report(spark, sf_dir):
     return AD.advisor_report(R.site_runs(spark, sf_dir)).select("run_id", "line_no", "rule_id", "priority")
 
 
+def q_crawl_progress(spark, sf_dir):
+    """Per site, in crawl order, pages processed so far and the progress
+    total = processed + links discovered so far (the queue grows by every
+    enqueued link; snapshot links never hit another page, so none is popped)."""
+    p = C.parsed_pages(spark, sf_dir)
+    per_page = p.select("host", "page_id", F.size(C.valid_nav_links(F.col("nodes"))).alias("n_links"))
+    r = ranked(per_page, ["host"], ["page_id"], seq_col="processed", sum_cols={"links_found": "n_links"},
+               stage_input=True)
+    return r.select("host", "page_id", "processed", "links_found",
+                    (F.col("processed") + F.col("links_found")).alias("total"))
+
+
+def q_page_priority(spark, sf_dir):
+    """P4/P5 on page URLs with the page title as link text."""
+    p = C.parsed_pages(spark, sf_dir)
+    title = F.try_element_at(H.matches(F.col("nodes"), "title"), F.lit(1))
+    t = p.select("page_id", "url", H.node_text(F.col("nodes"), title, strip=True).alias("title"))
+    return t.select("page_id", "url", "title", U.keyword_class("title").alias("keyword"),
+                    U.link_priority("url", "title").alias("priority"))
+
+
+# ---------------------------------------------------------------- logs
+def _attempt_logs(spark, sf_dir):
+    from mdloom.sources import logs as LG
+    a = R.site_attempts(spark, sf_dir)
+    lines = a.select(F.format_string("%s - web_crawler - %s - %s | url=%s | attempt=%d",
+                                     F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+                                     F.when(F.col("failed"), F.lit("WARNING")).otherwise(F.lit("INFO")),
+                                     F.when(F.col("failed"), F.lit("fetch failed - retry")).otherwise(F.lit("fetched")),
+                                     F.col("url"), F.col("attempt_id")).alias("value"))
+    return LG.parse_lines(lines)
+
+
+def q_log_stats(spark, sf_dir):
+    """Crawler log lines (rendered from the attempt log) parsed back and
+    counted per logger and level."""
+    from mdloom.sources import logs as LG
+    return LG.log_stats(_attempt_logs(spark, sf_dir))
+
+
+def q_log_context(spark, sf_dir):
+    """Message and key=value context of each parsed line."""
+    from mdloom.sources import logs as LG
+    p = _attempt_logs(spark, sf_dir)
+    return p.select(F.col("ctx")["attempt"].cast("long").alias("attempt_id"), "message",
+                    F.col("ctx")["url"].alias("url"), LG.level_rank("level").alias("level_rank"))
+
+
 # ---------------------------------------------------------------- streaming
 def q_stream_pages(spark, sf_dir):
     """Pages with a new URL key, run incrementally (availableNow) into a
@@ -336,6 +384,10 @@ QUERIES = {
     "advisor": q_advisor,
     "advisor_counts": q_advisor_counts,
     "advisor_report": q_advisor_report,
+    "crawl_progress": q_crawl_progress,
+    "page_priority": q_page_priority,
+    "log_stats": q_log_stats,
+    "log_context": q_log_context,
     "stream_pages": q_stream_pages,
     "stream_failures": q_stream_failures,
 }

@@ -29,11 +29,16 @@ def page_nodes(parsed: DataFrame) -> DataFrame:
     return parsed.select("page_id", F.explode("nodes").alias("n")).select("page_id", "n.*")
 
 
+def valid_nav_links(nodes, nav_selector: str = H.DEFAULT_NAV_SELECTOR):
+    """Nav links whose href is not blank (the ones a crawler would resolve)."""
+    return F.filter(H.nav_links(nodes, nav_selector),
+                    lambda l: F.regexp_replace(l["href"], r"^\s+|\s+$", "") != "")
+
+
 def links(parsed: DataFrame, nav_selector: str = H.DEFAULT_NAV_SELECTOR) -> DataFrame:
     """H5 + P2 + P1 + P4: nav links with position (empty hrefs skipped), absolute
     target, target key and priority."""
-    raw = F.filter(H.nav_links(F.col("nodes"), nav_selector),
-                   lambda l: F.regexp_replace(l["href"], r"^\s+|\s+$", "") != "")
+    raw = valid_nav_links(F.col("nodes"), nav_selector)
     out = parsed.select("page_id", "url", F.posexplode(raw).alias("pos", "l"))
     dst = U.resolve_url(F.col("url"), F.col("l.href"))
     return out.select(

@@ -26,7 +26,11 @@ def closure(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "ds
     remove out-of-scope edges beforehand. Returns (node, depth)."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    e = edges.select(F.col(src).alias("_src"), F.col(dst).alias("node")).where(F.col("node").isNotNull())
+    # edges are written once, hash-partitioned by source: every level then
+    # shuffles only the frontier (or broadcasts it when AQE sees it is small)
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = (edges.select(F.col(src).alias("_src"), F.col(dst).alias("node")).where(F.col("node").isNotNull())
+         .distinct().repartition(n_parts, "_src").checkpoint())
     frontier = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     levels = [frontier]
     depth = 0

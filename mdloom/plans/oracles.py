@@ -297,3 +297,25 @@ ORACLES.update({
                        "count(*) AS attempts, count(*) FILTER (WHERE event_type = 'error') >= 5 AS auto_skip "
                        "FROM events GROUP BY user_id",
 })
+
+_KW = ("CASE WHEN lower(title) SIMILAR TO '.*(index|overview|introduction|getting-started).*' THEN {h} "
+       "WHEN lower(title) SIMILAR TO '.*(appendix|reference|changelog|history).*' THEN {l} ELSE {n} END")
+ORACLES.update({
+    "crawl_progress": _with(PAGES_P + f""",
+  c AS (SELECT {HOST} AS host, page_id,
+               len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]+"')) AS n_links FROM pp)""",
+        """SELECT host, page_id, row_number() OVER w AS processed, sum(n_links) OVER w AS links_found,
+                  row_number() OVER w + sum(n_links) OVER w AS total
+           FROM c WINDOW w AS (PARTITION BY host ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""),
+    "page_priority": f"""WITH t AS (SELECT page_id, url, trim({_decode("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title FROM pages)
+        SELECT page_id, url, title, {_KW.format(h="'high'", l="'low'", n="'none'")} AS keyword,
+               CAST(greatest(0, 10 + (length(url) - length(replace(url, '/', ''))) - 3 + {_KW.format(h=-5, l=5, n=0)}) AS INTEGER) AS priority
+        FROM t""",
+    "log_stats": _with(PAGES_P + f", pk AS (SELECT page_id FROM pp)",
+        """SELECT 'web_crawler' AS logger, CASE WHEN event_type = 'error' THEN 'WARNING' ELSE 'INFO' END AS level, count(*) AS n
+           FROM events e JOIN pk ON e.user_id = pk.page_id GROUP BY ALL"""),
+    "log_context": _with(PAGES_P,
+        """SELECT e.event_id AS attempt_id, CASE WHEN event_type = 'error' THEN 'fetch failed - retry' ELSE 'fetched' END AS message,
+                  pp.url, CASE WHEN event_type = 'error' THEN 30 ELSE 20 END AS level_rank
+           FROM events e JOIN pp ON e.user_id = pp.page_id"""),
+})
