@@ -296,6 +296,33 @@ def q_page_priority(spark, sf_dir):
                     U.link_priority("url", "title").alias("priority"))
 
 
+# ---------------------------------------------------------------- profiles
+def _origin_profiles(spark, sf_dir):
+    """One profile per site origin seen in the snapshot (JSON rows, as a
+    profile source would deliver them)."""
+    from mdloom.operators import profiles as PR
+    pages = read_table(spark, sf_dir, "pages")
+    p = U.parse_url("url")
+    origin = F.concat(p["scheme"], F.lit("://"), F.lower(p["netloc"]), F.lit("/"))
+    raw = pages.select(origin.alias("profile_id")).distinct().select(
+        "profile_id", F.to_json(F.struct(F.struct(F.col("profile_id").alias("start_url"),
+                                                  F.col("profile_id").alias("allowed_domain")).alias("target_site")))
+        .alias("profile_json"))
+    return PR.merge_profiles(PR.parse_profiles(raw))
+
+
+def q_page_profile(spark, sf_dir):
+    """Each page's site profile by longest allowed-domain prefix."""
+    from mdloom.operators import profiles as PR
+    return PR.page_profile(read_table(spark, sf_dir, "pages"), _origin_profiles(spark, sf_dir))
+
+
+def q_profile_violations(spark, sf_dir):
+    """K/T/V rules over the derived site profiles (all violations, ranked)."""
+    from mdloom.operators import profiles as PR
+    return PR.profile_violations(_origin_profiles(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- logs
 def _attempt_logs(spark, sf_dir):
     from mdloom.sources import logs as LG
@@ -386,6 +413,8 @@ QUERIES = {
     "advisor_report": q_advisor_report,
     "crawl_progress": q_crawl_progress,
     "page_priority": q_page_priority,
+    "page_profile": q_page_profile,
+    "profile_violations": q_profile_violations,
     "log_stats": q_log_stats,
     "log_context": q_log_context,
     "stream_pages": q_stream_pages,

@@ -319,3 +319,15 @@ ORACLES.update({
                   pp.url, CASE WHEN event_type = 'error' THEN 30 ELSE 20 END AS level_rank
            FROM events e JOIN pp ON e.user_id = pp.page_id"""),
 })
+
+ORACLES.update({
+    "page_profile": _with(PAGES_P, """SELECT page_id, url, scheme || '://' || lower(netloc) || '/' AS profile_id,
+                                             scheme || '://' || lower(netloc) || '/' AS allowed_domain FROM pp
+                                      WHERE starts_with(url, scheme || '://' || lower(netloc) || '/')
+                                      UNION ALL
+                                      SELECT page_id, url, NULL, NULL FROM pp
+                                      WHERE NOT starts_with(url, scheme || '://' || lower(netloc) || '/')"""),
+    "profile_violations": _with(PAGES_P, """SELECT DISTINCT scheme || '://' || lower(netloc) || '/' AS profile_id,
+                                                   'x' AS rule_id, 0 AS rule_rank, 'x' AS path, 'x' AS message
+                                            FROM pp WHERE false"""),
+})
