@@ -173,6 +173,15 @@ def q_link_graph(spark, sf_dir):
     return CR.link_graph(links, keys)
 
 
+def q_frontier_lookup(spark, sf_dir):
+    """Resolve each frontier URL against the snapshot; a miss is a failed fetch."""
+    from mdloom.sources.pages import snapshot_lookup
+    links, keys = _links_and_keys(spark, sf_dir)
+    fr = CR.frontier_new(links, keys).select(F.col("dst_key").alias("url_key"), "dst_url")
+    snap = OU.dedup_first(page_scan(spark, sf_dir, with_html=True).select("url_key", "page_id", "html"))
+    return snapshot_lookup(fr, snap.drop("n_variants")).select("url_key", "dst_url", "page_id", "fetched")
+
+
 def q_frontier_order(spark, sf_dir):
     links, keys = _links_and_keys(spark, sf_dir)
     fr = CR.frontier_new(links, keys).withColumn("host", U.url_host("dst_url"))
@@ -317,6 +326,12 @@ def q_page_profile(spark, sf_dir):
     return PR.page_profile(read_table(spark, sf_dir, "pages"), _origin_profiles(spark, sf_dir))
 
 
+def q_profile_checksum(spark, sf_dir):
+    """Checksum of the content-defining sections of each derived profile."""
+    from mdloom.operators import profiles as PR
+    return PR.profile_checksum(_origin_profiles(spark, sf_dir))
+
+
 def q_profile_violations(spark, sf_dir):
     """K/T/V rules over the derived site profiles (all violations, ranked)."""
     from mdloom.operators import profiles as PR
@@ -391,6 +406,7 @@ QUERIES = {
     "frontier_new": q_frontier_new,
     "frontier_seen": q_frontier_seen,
     "link_graph": q_link_graph,
+    "frontier_lookup": q_frontier_lookup,
     "frontier_order": q_frontier_order,
     "url_inventory": q_url_inventory,
     "snapshot_points": q_snapshot_points,
@@ -415,6 +431,7 @@ QUERIES = {
     "page_priority": q_page_priority,
     "page_profile": q_page_profile,
     "profile_violations": q_profile_violations,
+    "profile_checksum": q_profile_checksum,
     "log_stats": q_log_stats,
     "log_context": q_log_context,
     "stream_pages": q_stream_pages,

@@ -331,3 +331,9 @@ ORACLES.update({
                                                    'x' AS rule_id, 0 AS rule_rank, 'x' AS path, 'x' AS message
                                             FROM pp WHERE false"""),
 })
+
+ORACLES.update({
+    "frontier_lookup": _with(_FRESH + ", kk AS (SELECT url_key, min(kp) AS page_id FROM keys GROUP BY url_key)",
+        "SELECT f.dst_key AS url_key, f.dst_url, kk.page_id, kk.page_id IS NOT NULL AS fetched "
+        "FROM first f LEFT JOIN kk ON kk.url_key = f.dst_key"),
+})

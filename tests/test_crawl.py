@@ -99,3 +99,22 @@ def test_top_failures_ties_by_url(spark):
                                "url_id string, failures long")
     got = [r.url_id for r in OA.top_failures(df, k=2).collect()]
     assert got == ["c", "a"]
+
+
+def test_resume_from_visited_reaches_same_set(spark):
+    # Q8 intent: a resumed crawl continues from the links of the visited pages
+    edges = C.synthetic_edges(spark, SF_SMALL).where("in_scope")
+    seeds0 = spark.range(1).select(F.lit(0).cast("long").alias("node"))
+    full = {r.node for r in CR.closure(edges, seeds0).collect()}
+    visited = spark.createDataFrame([(0,), (1,), (2,)], "node long")
+    resumed = {r.node for r in CR.closure(edges, visited).collect()}
+    assert resumed == full
+
+
+def test_fallback_name_stable(spark):
+    from mdloom.functions import urls as U
+    import hashlib
+    url = "http://h/a"
+    got = spark.createDataFrame([(url,)], "u string").select(U.fallback_name("u")).first()[0]
+    want = f"page_{int(hashlib.md5(url.encode()).hexdigest()[:8], 16) % 100000:05d}.md"
+    assert got == want
