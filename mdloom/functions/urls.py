@@ -160,12 +160,31 @@ def _fold_dots(segs) -> Column:
     return F.when(out == "", F.lit("/")).otherwise(out)
 
 
-def resolve_url(base, ref) -> Column:
+# a plain absolute path: no dot segments, query, fragment, params or control chars
+_PLAIN_ABS_PATH = r"^/(?!/)(?:[^/?#;\t\r\n.]|\.(?![./]|$)|\.\.(?=[^/]))*(?:/(?:(?!\.\.?(?:/|$))[^/?#;\t\r\n]*))*$"
+
+
+def origin_of(url) -> Column:
+    """``scheme://netloc`` of a URL (scheme lower-cased), '' when either is missing."""
+    p = parse_url(url)
+    return F.when((p["scheme"] != "") & (p["netloc"] != ""),
+                  F.concat(p["scheme"], F.lit("://"), p["netloc"])).otherwise(F.lit(""))
+
+
+def resolve_url(base, ref, origin=None) -> Column:
     """Absolute URL of ``ref`` (stripped) seen from page ``base``;
-    NULL for an empty reference. References with another scheme are kept as-is."""
+    NULL for an empty reference. References with another scheme are kept as-is.
+
+    ``origin`` (from ``origin_of(base)``, computed once per page) enables the
+    fast path for plain absolute paths, the common case of navigation links."""
     r = F.regexp_replace(_c(ref), r"^\s+|\s+$", "")
     v = F.struct(parse_url(base).alias("b_parts"), parse_url(r).alias("r_parts"), r.alias("ref"))
-    return let(v, lambda x: _resolve_parts(x["b_parts"], x["r_parts"], x["ref"]))
+    general = let(v, lambda x: _resolve_parts(x["b_parts"], x["r_parts"], x["ref"]))
+    if origin is None:
+        return general
+    o = _c(origin)
+    fast = o.rlike(r"^https?://") & r.rlike(_PLAIN_ABS_PATH)
+    return F.when(fast, F.concat(o, r)).otherwise(general)
 
 
 def _merge_segments(B: Column, R: Column) -> Column:

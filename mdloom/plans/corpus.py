@@ -39,8 +39,9 @@ def links(parsed: DataFrame, nav_selector: str = H.DEFAULT_NAV_SELECTOR) -> Data
     """H5 + P2 + P1 + P4: nav links with position (empty hrefs skipped), absolute
     target, target key and priority."""
     raw = valid_nav_links(F.col("nodes"), nav_selector)
-    out = parsed.select("page_id", "url", F.posexplode(raw).alias("pos", "l"))
-    dst = U.resolve_url(F.col("url"), F.col("l.href"))
+    out = parsed.select("page_id", "url", U.origin_of("url").alias("_origin"),
+                        F.posexplode(raw).alias("pos", "l"))
+    dst = U.resolve_url(F.col("url"), F.col("l.href"), F.col("_origin"))
     return out.select(
         "page_id", F.col("pos").cast("int").alias("pos"), F.col("l.href").alias("href"),
         F.col("l.link_text").alias("link_text"), dst.alias("dst_url"),
