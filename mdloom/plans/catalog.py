@@ -246,7 +246,8 @@ def q_backoff_schedule(spark, sf_dir):
 def q_throughput(spark, sf_dir):
     """T4 (batch form): successful fetches per minute."""
     a = attempts_from_events(spark, sf_dir).where(~F.col("failed"))
-    return a.groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(F.count(F.lit(1)).alias("pages"))
+    minute = F.date_trunc("minute", "ts").cast("timestamp_ntz")
+    return a.groupBy(minute.alias("minute")).agg(F.count(F.lit(1)).alias("pages"))
 
 
 # ---------------------------------------------------------------- errors / runs / advisor

@@ -97,7 +97,7 @@ def _with(ctes: str, body: str) -> str:
 
 
 ORACLES: dict[str, str] = {
-    "page_scan": _with(PAGES_P, f"SELECT page_id, url, {HOST} AS host, length(html) AS n_chars FROM pp"),
+    "page_scan": _with(PAGES_P, f"SELECT page_id, url, {HOST} AS host, CAST(length(html) AS INTEGER) AS n_chars FROM pp"),
     "url_normalize": _with(PAGES_P, f"SELECT page_id, url, {KEY} AS url_key FROM pp"),
     "md_path": _with(PAGES_P + "," + _mdpath_cte("pp"), f"SELECT page_id, url, {MDPATH} AS md_path FROM mp2"),
     "url_dedup": _with(PAGES_P + f""",
@@ -200,7 +200,7 @@ ORACLES.update({
 _ATT = """att AS (SELECT event_id AS attempt_id, user_id AS url_id, ts, event_type = 'error' AS failed FROM events),
   sk AS (SELECT attempt_id, url_id, failed,
                 row_number() OVER w AS attempt_no,
-                coalesce(sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior_failures
+                CAST(coalesce(sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior_failures
          FROM att WINDOW w AS (PARTITION BY url_id ORDER BY ts, attempt_id))"""
 _PER_URL = "pu AS (SELECT user_id AS url_id, count(*) FILTER (WHERE event_type = 'error') AS failures, count(*) AS attempts FROM events GROUP BY user_id)"
 
@@ -209,7 +209,7 @@ ORACLES.update({
     "failed_urls": _with(_PER_URL, "SELECT * FROM pu"),
     "top_failures": _with(_PER_URL, "SELECT url_id, failures, CAST(url_id AS VARCHAR) || ': ' || CAST(failures AS VARCHAR) || ' failures' AS label "
                                     "FROM pu WHERE failures > 0 ORDER BY failures DESC, url_id LIMIT 10"),
-    "crawl_stats": _with(_PER_URL, "SELECT sum(attempts) AS total_attempts, sum(failures) AS total_failed, count(*) AS total_urls, "
+    "crawl_stats": _with(_PER_URL, "SELECT CAST(sum(attempts) AS BIGINT) AS total_attempts, CAST(sum(failures) AS BIGINT) AS total_failed, count(*) AS total_urls, "
                                    "count(*) FILTER (WHERE failures < attempts) AS urls_with_success, "
                                    "count(*) FILTER (WHERE failures >= 5) AS auto_skipped FROM pu"),
     "backoff_schedule": _with(_ATT, "SELECT attempt_id, url_id, prior_failures, least(1.0 * pow(2.0, prior_failures), 60.0) AS retry_delay FROM sk WHERE failed"),
@@ -234,13 +234,13 @@ _RUNS = f"""{PAGES_P}, {_PK},
   asd AS (SELECT host, sum(f) AS total_failed, count(*) FILTER (WHERE f >= 5) AS auto_skipped,
                  epoch_us(max(t1)) - epoch_us(min(t0)) AS span_us FROM pu GROUP BY host),
   runs AS (SELECT coalesce(ps.host, asd.host) AS run_id,
-                  coalesce(total_crawled, 0) AS total_crawled, coalesce(total_failed, 0) AS total_failed,
+                  coalesce(total_crawled, 0) AS total_crawled, CAST(coalesce(total_failed, 0) AS BIGINT) AS total_failed,
                   coalesce(total_skipped, 0) AS total_skipped, coalesce(auto_skipped, 0) AS auto_skipped,
                   coalesce(total_processed, 0) AS total_processed, coalesce(total_success, 0) AS total_success,
-                  coalesce(convert_failed, 0) AS convert_failed, 0 AS images_downloaded, 0 AS images_failed,
-                  coalesce(total_failed, 0) AS network_errors, coalesce(content_errors, 0) AS content_errors,
-                  0 AS fs_errors, 0 AS config_errors, coalesce(span_us, 0) / 1e6 AS seconds,
-                  1.0 AS request_delay, 'INFO' AS console_level
+                  CAST(coalesce(convert_failed, 0) AS BIGINT) AS convert_failed, CAST(0 AS BIGINT) AS images_downloaded, CAST(0 AS BIGINT) AS images_failed,
+                  CAST(coalesce(total_failed, 0) AS BIGINT) AS network_errors, coalesce(content_errors, 0) AS content_errors,
+                  CAST(0 AS BIGINT) AS fs_errors, CAST(0 AS BIGINT) AS config_errors, coalesce(span_us, 0) / 1e6 AS seconds,
+                  CAST(1.0 AS DOUBLE) AS request_delay, 'INFO' AS console_level
            FROM ps FULL OUTER JOIN asd ON ps.host = asd.host)"""
 _RATES = """rates AS (SELECT *,
       network_errors / nullif(total_crawled + total_failed, 0) AS network_rate,
@@ -304,8 +304,8 @@ ORACLES.update({
     "crawl_progress": _with(PAGES_P + f""",
   c AS (SELECT {HOST} AS host, page_id,
                len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]+"')) AS n_links FROM pp)""",
-        """SELECT host, page_id, row_number() OVER w AS processed, sum(n_links) OVER w AS links_found,
-                  row_number() OVER w + sum(n_links) OVER w AS total
+        """SELECT host, page_id, row_number() OVER w AS processed, CAST(sum(n_links) OVER w AS BIGINT) AS links_found,
+                  CAST(row_number() OVER w + sum(n_links) OVER w AS BIGINT) AS total
            FROM c WINDOW w AS (PARTITION BY host ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""),
     "page_priority": f"""WITH t AS (SELECT page_id, url, trim({_decode("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title FROM pages)
         SELECT page_id, url, title, {_KW.format(h="'high'", l="'low'", n="'none'")} AS keyword,
