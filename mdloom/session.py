@@ -39,13 +39,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as-is. Only when it is unset (local tests) do we create one under /tmp.
+    An already active checkpoint folder is used as-is; else the session's
+    ``spark.checkpoint.dir`` (the cluster's shared folder). Only when both are
+    unset (local tests) is one created under /tmp.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not current:
-        current = spark.conf.get("spark.checkpoint.dir", None)
+    active = sc.getCheckpointDir()
+    if active:
+        return active
+    current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="mdloom-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
