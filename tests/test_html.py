@@ -104,3 +104,19 @@ def test_images_in_content(spark):
     df = H.parse_pages(spark.createDataFrame([(1, "http://h/p/q", html)], "page_id long, url string, html string"))
     imgs = df.select(H.images(F.col("nodes")).alias("i")).first().i
     assert [i.src for i in imgs] == ["/i/a b.png"]
+
+
+def test_markdown_uses_image_rewrite(spark):
+    from mdloom.functions import urls as U
+    from mdloom.operators import images as IM
+    from mdloom.plans import corpus as C
+    html = '<body><main><p><img src="/i/a.png" alt="A"><img src="b.gif"></p></main></body>'
+    pages = spark.createDataFrame([(1, "http://h/d/p", html)], "page_id long, url string, html string")
+    parsed = H.parse_pages(pages).withColumn("url_key", U.normalize_url("url")).withColumn("host", F.lit("h"))
+    imgs = parsed.select("page_id", "url", F.explode(H.images(F.col("nodes"))).alias("i")) \
+        .select("page_id", F.col("i.src").alias("src"), U.resolve_url(F.col("url"), F.col("i.src")).alias("abs_url"))
+    assets = spark.createDataFrame([("http://h/i/a.png", 200, "image/png", 10)],
+                                   "url string, status int, content_type string, bytes long")
+    m = IM.page_image_map(IM.image_rewrite(IM.image_manifest(imgs, assets)))
+    docs = C.documents(parsed.join(m, "page_id", "left"), src_map="src_map")
+    assert docs.first().markdown == "![A](./images/a.png)![](http://h/d/b.gif)\n"
