@@ -371,7 +371,7 @@ def q_stream_pages(spark, sf_dir):
     """Pages with a new URL key, run incrementally (availableNow) into a
     table in the shared checkpoint folder."""
     base = scratch_path(spark, "stream-pages")
-    ST.run_to_table(ST.stream_pages(spark, sf_dir), f"{base}/out", f"{base}/ckpt")
+    ST.run_first_per_key(ST.new_pages_source(spark, sf_dir), "url_key", "page_id", f"{base}/out", f"{base}/ckpt")
     return ST.read_table(spark, f"{base}/out").select("url_key")
 
 
