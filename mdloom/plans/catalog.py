@@ -217,6 +217,28 @@ def q_crawl_order(spark, sf_dir):
     return ranked(_closure(spark, sf_dir, True), [], ["depth", "node"], seq_col="crawl_seq")
 
 
+def _site_crawl(spark, sf_dir):
+    parsed = C.parsed_pages(spark, sf_dir)
+    links = C.links(parsed).join(parsed.select("page_id", U.origin_of("url").alias("src_origin")), "page_id")
+    pages = page_scan(spark, sf_dir).select("page_id", "url", "url_key", "host")
+    seeds = pages.groupBy("host").agg(F.min("page_id").alias("node")).select("node")
+    return CR.site_crawl(links, pages, seeds, U.DEFAULT_EXCLUDE_PATTERNS), pages
+
+
+def q_site_crawl(spark, sf_dir):
+    """G4 on the snapshot: one crawl per site from its first page, through
+    in-scope nav links to snapshot pages."""
+    (reached, _misses), pages = _site_crawl(spark, sf_dir)
+    return reached.join(pages.select(F.col("page_id").alias("node"), "url"), "node") \
+        .select(F.col("node").alias("page_id"), "url", "depth")
+
+
+def q_site_crawl_misses(spark, sf_dir):
+    """S2 inside a crawl: in-scope targets of crawled pages missing from the snapshot."""
+    (_reached, misses), _pages = _site_crawl(spark, sf_dir)
+    return misses
+
+
 # ---------------------------------------------------------------- attempts
 def q_auto_skip(spark, sf_dir):
     return OA.auto_skip(attempts_from_events(spark, sf_dir)).select(
@@ -414,6 +436,8 @@ QUERIES = {
     "crawl_closure": q_crawl_closure,
     "crawl_closure_all": q_crawl_closure_all,
     "crawl_order": q_crawl_order,
+    "site_crawl": q_site_crawl,
+    "site_crawl_misses": q_site_crawl_misses,
     "auto_skip": q_auto_skip,
     "failed_urls": q_failed_urls,
     "top_failures": q_top_failures,

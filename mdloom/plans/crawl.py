@@ -88,3 +88,34 @@ def snapshot_points(pages: DataFrame, every: int) -> DataFrame:
     r = ranked(pages.select("host", "page_id"), ["host"], ["page_id"], seq_col="n")
     return (r.withColumn("snapshot", (F.col("n") % every) == 0)
             .withColumn("snapshot_no", (F.col("n") / every).cast("long")))
+
+
+def crawl_edges(links: DataFrame, pages: DataFrame, patterns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Scope-checked link edges between snapshot pages.
+
+    ``links`` needs (page_id, pos, dst_url, dst_key, src_origin); a link is in
+    scope when it stays under its source site's origin and matches no exclude
+    pattern. Returns (edges(src, dst) between snapshot pages, misses(dst_key,
+    src)) — a miss is an in-scope target the snapshot does not hold, i.e. a
+    failed fetch."""
+    from mdloom.operators.urls import dedup_first, valid_patterns
+    from mdloom.functions import urls as U
+    pats = valid_patterns(patterns)
+    hit = U.first_matching_pattern(F.col("dst_url"), pats) if pats else F.lit(None)
+    ok = links.where(F.col("dst_url").startswith(F.concat(F.col("src_origin"), F.lit("/"))) & hit.isNull())
+    snap = dedup_first(pages.select("url_key", "page_id")).select(
+        F.col("url_key").alias("dst_key"), F.col("page_id").alias("dst"))
+    j = ok.select(F.col("page_id").alias("src"), "dst_key").join(snap, "dst_key", "left")
+    edges = j.where(F.col("dst").isNotNull()).select("src", "dst")
+    misses = j.where(F.col("dst").isNull()).select("dst_key", "src")
+    return edges, misses
+
+
+def site_crawl(links: DataFrame, pages: DataFrame, seeds: DataFrame, patterns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """G4 on real pages: from the seed pages (column ``node`` = page_id), every
+    snapshot page reachable through in-scope nav links, with its depth; plus
+    the misses met from crawled pages (one row per target key, first source)."""
+    edges, misses = crawl_edges(links, pages, patterns)
+    reached = closure(edges, seeds)
+    met = misses.join(reached.select(F.col("node").alias("src")), "src", "left_semi")
+    return reached, met.groupBy("dst_key").agg(F.min("src").alias("first_src"), F.count(F.lit(1)).alias("n_refs"))

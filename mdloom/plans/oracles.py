@@ -337,3 +337,18 @@ ORACLES.update({
         "SELECT f.dst_key AS url_key, f.dst_url, kk.page_id, kk.page_id IS NOT NULL AS fetched "
         "FROM first f LEFT JOIN kk ON kk.url_key = f.dst_key"),
 })
+
+_SEEDS = f"seeds AS (SELECT min(page_id) AS page_id FROM pp GROUP BY {HOST})"
+ORACLES.update({
+    # snapshot links never reach another snapshot page, so each site's crawl stops at its seed
+    "site_crawl": _with(PAGES_P + ", " + _SEEDS,
+                        "SELECT pp.page_id, pp.url, 0 AS depth FROM pp JOIN seeds USING (page_id)"),
+    "site_crawl_misses": _with(LINKS_CTE + ", " + _SEEDS + ", " + _KEYS + """,
+  src AS (SELECT l.* FROM links l JOIN seeds s ON l.page_id = s.page_id
+          JOIN pp ON pp.page_id = l.page_id
+          WHERE starts_with(l.dst_url, pp.scheme || '://' || pp.netloc || '/')
+            AND NOT regexp_matches(l.dst_url, '.*#.*') AND NOT regexp_matches(l.dst_url, '.*/search\\.html')
+            AND NOT regexp_matches(l.dst_url, '.*/genindex\\.html')
+            AND NOT EXISTS (SELECT 1 FROM keys k WHERE k.url_key = l.dst_key))""",
+        "SELECT dst_key, min(page_id) AS first_src, count(*) AS n_refs FROM src GROUP BY dst_key"),
+})

@@ -118,3 +118,20 @@ def test_fallback_name_stable(spark):
     got = spark.createDataFrame([(url,)], "u string").select(U.fallback_name("u")).first()[0]
     want = f"page_{int(hashlib.md5(url.encode()).hexdigest()[:8], 16) % 100000:05d}.md"
     assert got == want
+
+
+def test_site_crawl_composed(spark):
+    from mdloom.functions import urls as U
+    from mdloom.operators import html as H
+    pages = [("http://s/", '<body><nav><a href="/a">a</a><a href="/b">b</a><a href="http://o/x">off-site</a></nav></body>'),
+             ("http://s/a", '<body><nav><a href="b">b</a><a href="/a">self</a><a href="/dead">x</a></nav></body>'),
+             ("http://s/b", '<body><nav><a href="/c#frag">c</a><a href="/c/">c</a></nav></body>'),
+             ("http://s/c", "<body><p>no nav</p></body>"),
+             ("http://s/island", '<body><nav><a href="/">home</a></nav></body>')]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    parsed = H.parse_pages(df).select("page_id", "url", U.normalize_url("url").alias("url_key"), "nodes")
+    links = C.links(parsed).join(parsed.select("page_id", U.origin_of("url").alias("src_origin")), "page_id")
+    seeds = spark.range(1).select(F.lit(0).cast("long").alias("node"))
+    reached, misses = CR.site_crawl(links, parsed.select("page_id", "url", "url_key"), seeds, U.DEFAULT_EXCLUDE_PATTERNS)
+    assert {r.node: r.depth for r in reached.collect()} == {0: 0, 1: 1, 2: 1, 3: 2}
+    assert [(r.dst_key, r.first_src) for r in misses.collect()] == [("http://s/dead", 1)]
