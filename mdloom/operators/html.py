@@ -34,6 +34,8 @@ UNWANTED_SELECTOR = ("script, style, nav, header, footer, .advertisement, .ads,
 # default selectors of a profile
 DEFAULT_NAV_SELECTOR = "nav"
 DEFAULT_CONTENT_SELECTOR = "main"
+# HTML bytes tokenised per output Arrow batch
+ARROW_CHUNK_BYTES = 32 * 1024 * 1024
 # ----------------------------------------------------------------------------
 
 
@@ -56,16 +58,35 @@ def parse_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         from mdloom.functions.tokenize import nodes_arrow_array
         for b in batches:
             idx = b.schema.get_field_index(html_col)
-            arr = nodes_arrow_array(b.column(idx).to_pylist())
-            cols = [b.column(i) for i in range(b.num_columns) if i != idx] + [arr]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            # slice by HTML volume so one output batch stays bounded (node arrays
+            # are several times the size of their HTML)
+            sizes = pc.fill_null(pc.binary_length(b.column(idx)), 0).to_pylist()
+            for start, end in byte_chunks(sizes, ARROW_CHUNK_BYTES):
+                part = b.slice(start, end - start)
+                arr = nodes_arrow_array(part.column(idx).to_pylist())
+                cols = [part.column(k) for k in range(part.num_columns) if k != idx] + [arr]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return pages.mapInArrow(run, out_schema)
 
 
+def byte_chunks(sizes: list[int], limit: int):
+    """Consecutive (start, end) row ranges whose sizes sum to at most ``limit``
+    (a single oversized row forms its own range)."""
+    start, acc = 0, 0
+    for i, sz in enumerate(sizes):
+        if i > start and acc + sz > limit:
+            yield start, i
+            start, acc = i, 0
+        acc += sz
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def node_at(nodes: Column, node_id: Column) -> Column:
     return F.element_at(nodes, node_id + 1)
 

@@ -120,3 +120,17 @@ def test_markdown_uses_image_rewrite(spark):
     m = IM.page_image_map(IM.image_rewrite(IM.image_manifest(imgs, assets)))
     docs = C.documents(parsed.join(m, "page_id", "left"), src_map="src_map")
     assert docs.first().markdown == "![A](./images/a.png)![](http://h/d/b.gif)\n"
+
+
+def test_byte_chunks():
+    assert list(H.byte_chunks([5, 5, 5], 10)) == [(0, 2), (2, 3)]
+    assert list(H.byte_chunks([50, 1, 1], 10)) == [(0, 1), (1, 3)]
+    assert list(H.byte_chunks([], 10)) == []
+
+
+def test_parse_pages_chunked_output(spark, monkeypatch):
+    rows = [(i, "u", f"<p>{'x' * (i % 7)}</p>") for i in range(40)] + [(99, "u", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(H, "ARROW_CHUNK_BYTES", 30)
+    got = {r.page_id: r.n for r in H.parse_pages(df).select("page_id", F.size("nodes").alias("n")).collect()}
+    assert len(got) == 41 and got[99] is None and all(v == 4 for k, v in got.items() if k != 99 and k % 7)
