@@ -200,3 +200,18 @@ def test_state_roundtrip(spark):
     assert len(h) == 1 and h[0].processed_count == 20
     assert sorted(r.url for r in out["visited"].collect()) == ["a", "b"]
     assert os.path.isdir(os.path.join(base, "header"))
+
+
+def test_read_logs_from_files(spark):
+    d = tempfile.mkdtemp(prefix="mdloom-logs-", dir="/tmp")
+    with open(os.path.join(d, "crawler.log"), "w") as f:
+        f.write("2024-01-01 10:00:00 - web_crawler - ERROR - fetch failed | url=http://h/a\n"
+                "Traceback (most recent call last):\n"
+                "2024-01-01 10:00:05 - web_crawler - INFO - ok\n")
+    with open(os.path.join(d, "converter.log"), "w") as f:
+        f.write("2024-01-01 10:00:01 - markdown_converter - CRITICAL - stop | file=/x.md\n")
+    p = LG.parse_lines(LG.read_logs(spark, d))
+    errs = LG.log_errors(p).select("logger", "level", "ctx").collect()
+    assert sorted((r.logger, r.level) for r in errs) == [("markdown_converter", "CRITICAL"), ("web_crawler", "ERROR")]
+    assert p.where("continuation").count() == 1
+    assert {r.file.rsplit("/", 1)[-1] for r in p.select("file").distinct().collect()} == {"crawler.log", "converter.log"}
