@@ -15,6 +15,7 @@ Rendering rules (our declared Markdown, pinned by golden tests):
   * ``-`` bullets and ``1.`` numbers, two spaces of indent per nesting level;
   * ``br`` is a hard break (two spaces + newline), dropped at the end of a block;
   * tables as pipe tables with a ``---`` row after the first row;
+  * every line inside a blockquote starts with ``> `` per nesting level;
   * ``\\ * _ ` [ ]`` in text are backslash-escaped; Unicode is kept.
 """
 
@@ -29,6 +30,8 @@ BLK = "\u0001"    # block boundary (blank line)
 BRK = "\u0002"    # hard line break
 NL = "\u0003"     # single newline (list items, table rows, code lines)
 SP = "\u0004"     # protected space (code text, indentation)
+QS = "\u0005"     # blockquote start
+QE = "\u0006"     # blockquote end
 # generated syntax characters, kept apart from text so line-start escaping
 # only touches characters that came from the page
 G_HASH, G_DASH, G_GT, G_DOT = "\ue000", "\ue001", "\ue002", "\ue003"
@@ -85,7 +88,7 @@ def _open_piece(nodes: Column, n: Column, src_map: Column | None) -> Column:
                                          F.lit("]("), src, F.lit(")")))
             .when(tag == "br", F.lit(BRK))
             .when(tag == "hr", F.lit(BLK + "* * *" + BLK))
-            .when(tag == "blockquote", F.lit(BLK + G_GT + " "))
+            .when(tag == "blockquote", F.lit(BLK + QS))
             .when(tag == "tr", F.lit(NL))
             .when(tag.isin("td", "th"), F.lit("| "))
             .when(tag.isin("ul", "ol") & (list_depth > 0), F.lit(NL))
@@ -112,12 +115,29 @@ def _close_piece(nodes: Column, n: Column) -> Column:
             .when(tag == "tr", F.when(table_id.isNotNull() & first_tr, F.concat(F.lit("|"), sep))
                   .otherwise(F.lit("|")))
             .when(tag.isin("td", "th"), F.lit(" "))
+            .when(tag == "blockquote", F.lit(QE + BLK))
             .when(tag.isin("ul", "ol") & F.exists(n["anc"], lambda i: _node_at(nodes, i)["tag"].isin("ul", "ol")),
                   F.lit(NL))
             .when(tag.isin(*BLOCK_TAGS), F.lit(BLK))
             .otherwise(F.lit("")))
 
 
+def _quote_lines(text: Column) -> Column:
+    """Prefix every line inside (nested) blockquotes with ``> `` per level;
+    blank quoted lines keep the bare ``>`` marks."""
+    init = F.struct(F.lit(0).alias("d"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, line):
+        opened = F.size(F.split(line, QS, -1)) - 1
+        closed = F.size(F.split(line, QE, -1)) - 1
+        depth = acc["d"] + opened
+        body = F.regexp_replace(line, f"[{QS}{QE}]", "")
+        pre = F.repeat(F.lit(G_GT + " "), depth)
+        pre = F.when(body == "", F.rtrim(pre)).otherwise(pre)
+        return F.struct((depth - closed).alias("d"), F.array_append(acc["out"], F.concat(pre, body)).alias("out"))
+    return F.array_join(F.aggregate(F.split(text, "\n", -1), init, step)["out"], "\n")
+
+
 def render_markdown(kept: Column, nodes: Column, src_map: Column | None = None) -> Column:
     """Markdown of the cleaned content ``kept`` (a preorder sub-array of ``nodes``)."""
     opens = F.transform(kept, lambda n: F.struct(
@@ -130,18 +150,24 @@ def render_markdown(kept: Column, nodes: Column, src_map: Column | None = None)
     pieces = F.array_sort(F.concat(opens, closes))
     s = F.array_join(F.transform(pieces, lambda p: p["s"]), "")
     s = F.regexp_replace(s, " {2,}", " ")
-    s = F.regexp_replace(s, f" *([{BLK}{BRK}{NL}]) *", "$1")
+    s = F.regexp_replace(s, f" *([{BLK}{BRK}{NL}{QS}{QE}]) *", "$1")
+    # quote markers hug their text: starts move after block breaks, ends before them
+    for _ in range(2):
+        s = F.regexp_replace(s, f"({QS}+)([{BLK}{NL}]+)", "$2$1")
+        s = F.regexp_replace(s, f"([{BLK}{NL}]+)({QE}+)", "$2$1")
     # a hard break right before a block end (emphasis marks may sit between) is dropped
-    s = F.regexp_replace(s, f"{BRK}((?:\\*|`| )*)(?=[{BLK}{NL}]|$)", "$1")
+    s = F.regexp_replace(s, f"{BRK}((?:\\*|`| )*)(?=[{BLK}{NL}{QE}]|$)", "$1")
     s = F.regexp_replace(s, f"[{BLK}{NL}]*{BLK}[{BLK}{NL}]*", "\n\n")
     s = F.regexp_replace(s, f"{NL}+", "\n")
     s = F.regexp_replace(s, BRK, "  \n")
     s = F.regexp_replace(s, SP, " ")
     s = F.regexp_replace(s, r"^\s+|\s+$", "")
+    s = let(s, lambda v: F.when(F.contains(v, F.lit(QS)), _quote_lines(v)).otherwise(v))
     # page text that would read as Markdown syntax at a line start is escaped
-    s = F.regexp_replace(s, r"(^|\n)([#>])", r"$1\\$2")
-    s = F.regexp_replace(s, r"(^|\n)([-+]) ", r"$1\\$2 ")
-    s = F.regexp_replace(s, r"(^|\n)([0-9]+)\. ", r"$1$2\\. ")
+    q = f"((?:{G_GT} ?)*)"
+    s = F.regexp_replace(s, f"(^|\n){q}([#>])", r"$1$2\\$3")
+    s = F.regexp_replace(s, f"(^|\n){q}([-+]) ", r"$1$2\\$3 ")
+    s = F.regexp_replace(s, f"(^|\n){q}([0-9]+)\\. ", r"$1$2$3\\. ")
     for g, ch in ((G_HASH, "#"), (G_DASH, "-"), (G_GT, ">"), (G_DOT, ".")):
         s = F.regexp_replace(s, g, ch)
     out = let(s, lambda v: F.when(v == "", F.lit("")).otherwise(F.concat(v, F.lit("\n"))))
