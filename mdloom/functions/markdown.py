@@ -35,6 +35,8 @@ QE = "\u0006"     # blockquote end
 # generated syntax characters, kept apart from text so line-start escaping
 # only touches characters that came from the page
 G_HASH, G_DASH, G_GT, G_DOT = "\ue000", "\ue001", "\ue002", "\ue003"
+# emphasis openers / closers (strong, em), resolved after whitespace moves
+S_O, E_O, S_C, E_C = "\ue004", "\ue005", "\ue006", "\ue007"
 
 # --- fixed values: tag classes for rendering --------------------------------
 BLOCK_TAGS = ["p", "div", "article", "section", "main", "body", "header", "footer", "nav",
@@ -79,8 +81,8 @@ def _open_piece(nodes: Column, n: Column, src_map: Column | None) -> Column:
     return (F.when(n["kind"] == "text", F.when(in_skip, F.lit("")).otherwise(text))
             .when(tag.isin(*HEADINGS.keys()), heading)
             .when(tag == "li", F.concat(F.lit(NL), indent, bullet))
-            .when(tag.isin("b", "strong"), F.lit("**"))
-            .when(tag.isin("i", "em"), F.lit("*"))
+            .when(tag.isin("b", "strong"), F.lit(S_O))
+            .when(tag.isin("i", "em"), F.lit(E_O))
             .when((tag == "code") & ~in_pre, F.lit("`"))
             .when(tag == "pre", F.lit(BLK + "```" + NL))
             .when((tag == "a") & F.map_contains_key(attrs, F.lit("href")), F.lit("["))
@@ -106,8 +108,8 @@ def _close_piece(nodes: Column, n: Column) -> Column:
     sep = F.concat(F.lit(NL), F.repeat(F.lit("| --- "), ncells), F.lit("|"))
     return (F.when(tag.isin(*HEADINGS.keys()), F.lit(BLK))
             .when(tag == "li", F.lit(NL))
-            .when(tag.isin("b", "strong"), F.lit("**"))
-            .when(tag.isin("i", "em"), F.lit("*"))
+            .when(tag.isin("b", "strong"), F.lit(S_C))
+            .when(tag.isin("i", "em"), F.lit(E_C))
             .when((tag == "code") & ~F.exists(n["anc"], lambda i: _node_at(nodes, i)["tag"] == "pre"), F.lit("`"))
             .when(tag == "pre", F.lit(NL + "```" + BLK))
             .when((tag == "a") & F.map_contains_key(n["attrs"], F.lit("href")),
@@ -150,13 +152,19 @@ def render_markdown(kept: Column, nodes: Column, src_map: Column | None = None)
     pieces = F.array_sort(F.concat(opens, closes))
     s = F.array_join(F.transform(pieces, lambda p: p["s"]), "")
     s = F.regexp_replace(s, " {2,}", " ")
+    # spaces at the inner edge of emphasis move outside it; empty emphasis goes
+    for _ in range(2):
+        s = F.regexp_replace(s, f"([{S_O}{E_O}]+)( +)", "$2$1")
+        s = F.regexp_replace(s, f"( +)([{S_C}{E_C}]+)", "$2$1")
+        s = F.regexp_replace(s, f"{S_O}{S_C}|{E_O}{E_C}", "")
+    s = F.regexp_replace(s, " {2,}", " ")
     s = F.regexp_replace(s, f" *([{BLK}{BRK}{NL}{QS}{QE}]) *", "$1")
     # quote markers hug their text: starts move after block breaks, ends before them
     for _ in range(2):
         s = F.regexp_replace(s, f"({QS}+)([{BLK}{NL}]+)", "$2$1")
         s = F.regexp_replace(s, f"([{BLK}{NL}]+)({QE}+)", "$2$1")
     # a hard break right before a block end (emphasis marks may sit between) is dropped
-    s = F.regexp_replace(s, f"{BRK}((?:\\*|`| )*)(?=[{BLK}{NL}{QE}]|$)", "$1")
+    s = F.regexp_replace(s, f"{BRK}([{S_C}{E_C}` ]*)(?=[{BLK}{NL}{QE}]|$)", "$1")
     s = F.regexp_replace(s, f"[{BLK}{NL}]*{BLK}[{BLK}{NL}]*", "\n\n")
     s = F.regexp_replace(s, f"{NL}+", "\n")
     s = F.regexp_replace(s, BRK, "  \n")
@@ -168,7 +176,8 @@ def render_markdown(kept: Column, nodes: Column, src_map: Column | None = None)
     s = F.regexp_replace(s, f"(^|\n){q}([#>])", r"$1$2\\$3")
     s = F.regexp_replace(s, f"(^|\n){q}([-+]) ", r"$1$2\\$3 ")
     s = F.regexp_replace(s, f"(^|\n){q}([0-9]+)\\. ", r"$1$2$3\\. ")
-    for g, ch in ((G_HASH, "#"), (G_DASH, "-"), (G_GT, ">"), (G_DOT, ".")):
+    for g, ch in ((G_HASH, "#"), (G_DASH, "-"), (G_GT, ">"), (G_DOT, "."),
+                  (f"[{S_O}{S_C}]", "**"), (f"[{E_O}{E_C}]", "*")):
         s = F.regexp_replace(s, g, ch)
     out = let(s, lambda v: F.when(v == "", F.lit("")).otherwise(F.concat(v, F.lit("\n"))))
     return F.when(kept.isNull(), F.lit(None).cast("string")).otherwise(out)

@@ -55,6 +55,7 @@ GOLDEN = [
     ('<main><script>var s="</p>";</script><p>kept</p><nav>menu</nav><footer>f</footer></main>', "kept\n"),
     ("<main><p># not a heading</p></main>", "\\# not a heading\n"),
     ("<body><nav><p>menu</p></nav></body>", ""),
+    ("<main><p><b>Note: </b>text <i> x</i>,<b></b> y</p></main>", "**Note:** text *x*, y\n"),
     ("<main><p>a</p><blockquote><p>q1</p><p># q2<br>x</p><blockquote>deep</blockquote></blockquote><p>b</p></main>",
      "a\n\n> q1\n>\n> \\# q2  \n> x\n>\n> > deep\n\nb\n"),
 ]
