@@ -63,7 +63,7 @@ def site_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     att_side = per_url.groupBy("host").agg(
         F.sum("f").alias("total_failed"),
         F.count_if(F.col("f") >= DEFAULT_SKIP_AFTER).alias("auto_skipped"),
-        (F.unix_micros(F.max("t1").cast("timestamp")) - F.unix_micros(F.min("t0").cast("timestamp"))).alias("_span_us"))
+        F.timestamp_diff("MICROSECOND", F.min("t0"), F.max("t1")).alias("_span_us"))
     runs = page_side.join(att_side, "host", "full_outer")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return runs.select(
