@@ -219,7 +219,8 @@ def q_crawl_order(spark, sf_dir):
 
 def _site_crawl(spark, sf_dir):
     parsed = C.parsed_pages(spark, sf_dir)
-    links = C.links(parsed).join(parsed.select("page_id", U.origin_of("url").alias("src_origin")), "page_id")
+    scope = F.concat(U.origin_of("url"), F.lit("/")).alias("scope_prefix")
+    links = C.links(parsed).join(parsed.select("page_id", scope), "page_id")
     pages = page_scan(spark, sf_dir).select("page_id", "url", "url_key", "host")
     seeds = pages.groupBy("host").agg(F.min("page_id").alias("node")).select("node")
     return CR.site_crawl(links, pages, seeds, U.DEFAULT_EXCLUDE_PATTERNS), pages

@@ -93,16 +93,16 @@ def snapshot_points(pages: DataFrame, every: int) -> DataFrame:
 def crawl_edges(links: DataFrame, pages: DataFrame, patterns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Scope-checked link edges between snapshot pages.
 
-    ``links`` needs (page_id, pos, dst_url, dst_key, src_origin); a link is in
-    scope when it stays under its source site's origin and matches no exclude
-    pattern. Returns (edges(src, dst) between snapshot pages, misses(dst_key,
+    ``links`` needs (page_id, pos, dst_url, dst_key, scope_prefix); a link is in
+    scope when its URL starts with ``scope_prefix`` (blank allows all, F2) and
+    matches no exclude pattern (F3). Returns (edges(src, dst) between snapshot pages, misses(dst_key,
     src)) — a miss is an in-scope target the snapshot does not hold, i.e. a
     failed fetch."""
     from mdloom.operators.urls import dedup_first, valid_patterns
     from mdloom.functions import urls as U
     pats = valid_patterns(patterns)
     hit = U.first_matching_pattern(F.col("dst_url"), pats) if pats else F.lit(None)
-    ok = links.where(F.col("dst_url").startswith(F.concat(F.col("src_origin"), F.lit("/"))) & hit.isNull())
+    ok = links.where(U.allowed_prefix(F.col("dst_url"), F.col("scope_prefix")) & hit.isNull())
     snap = dedup_first(pages.select("url_key", "page_id")).select(
         F.col("url_key").alias("dst_key"), F.col("page_id").alias("dst"))
     j = ok.select(F.col("page_id").alias("src"), "dst_key").join(snap, "dst_key", "left")

@@ -130,8 +130,31 @@ def test_site_crawl_composed(spark):
              ("http://s/island", '<body><nav><a href="/">home</a></nav></body>')]
     df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
     parsed = H.parse_pages(df).select("page_id", "url", U.normalize_url("url").alias("url_key"), "nodes")
-    links = C.links(parsed).join(parsed.select("page_id", U.origin_of("url").alias("src_origin")), "page_id")
+    scope = F.concat(U.origin_of("url"), F.lit("/")).alias("scope_prefix")
+    links = C.links(parsed).join(parsed.select("page_id", scope), "page_id")
     seeds = spark.range(1).select(F.lit(0).cast("long").alias("node"))
     reached, misses = CR.site_crawl(links, parsed.select("page_id", "url", "url_key"), seeds, U.DEFAULT_EXCLUDE_PATTERNS)
     assert {r.node: r.depth for r in reached.collect()} == {0: 0, 1: 1, 2: 1, 3: 2}
     assert [(r.dst_key, r.first_src) for r in misses.collect()] == [("http://s/dead", 1)]
+
+
+def test_run_profile_end_to_end(spark):
+    import pytest
+    from mdloom.plans import run as RUN
+    pages = [("http://s/", '<body><nav><a href="/a">a</a><a href="/b">b</a><a href="http://o/x">off</a></nav><p>home</p></body>'),
+             ("http://s/a", '<body><nav><a href="b">b</a><a href="/dead">x</a></nav><main><h1>A</h1></main></body>'),
+             ("http://s/b", '<body><nav><a href="/c#frag">c</a><a href="/c/">c</a></nav><main>B</main></body>'),
+             ("http://s/c", "<body><main><p>C</p></main></body>"),
+             ("http://s/island", '<body><main>I</main></body>')]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    prof = {"target_site": {"start_url": "http://s/", "allowed_domain": "http://s/"}}
+    out = RUN.run_profile(spark, df, prof)
+    assert {r.node for r in out["reached"].collect()} == {0, 1, 2, 3}
+    md = {r.page_id: r.markdown for r in out["documents"].collect()}
+    assert md[1] == "# A\n" and md[3] == "C\n" and md[0] == "home\n"      # page 0 falls back to body
+    run = out["runs"].first()
+    assert (run.total_crawled, run.total_failed, run.content_errors) == (4, 1, 1)
+    # content 1/4 > 0.2 → R04 (HIGH); network 1/5 → R03; all errors 2/9 → R13
+    assert [r.rule_id for r in out["advice"].orderBy("line_no").collect()] == ["R04", "R03", "R13"]
+    with pytest.raises(RUN.ProfileError):
+        RUN.run_profile(spark, df, {"target_site": {"start_url": "ftp://s/", "allowed_domain": "http://s/"}})
