@@ -236,7 +236,7 @@ def first_matching_pattern(url, patterns) -> Column:
         for p in reversed(list(patterns)):
             out = F.when(u.rlike(p), F.lit(p)).otherwise(out)
         return out
-    return F.element_at(F.filter(_c(patterns), lambda p: u.rlike(p)), 1)
+    return F.try_element_at(F.filter(_c(patterns), lambda p: F.regexp_like(u, p)), F.lit(1))
 
 
 def path_slash_count(url) -> Column:

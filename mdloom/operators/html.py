@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mdloom.functions.selectors import selector_predicate
+from mdloom.functions.selectors import as_predicate, selector_predicate
 from mdloom.functions.urls import let
 
 NODE_TYPE = T.StructType([
@@ -108,12 +108,13 @@ def node_text(nodes: Column, n: Column, strip: bool = False, sep: str = "") -> C
     return F.when(n["kind"] == "text", n["text"]).otherwise(text)
 
 
-def matches(nodes: Column, selector: str) -> Column:
-    """H2: nodes matching a selector list, in document order."""
-    return F.filter(nodes, selector_predicate(selector, nodes))
+def matches(nodes: Column, selector) -> Column:
+    """H2: nodes matching a selector list (or a per-row ``SelectorSwitch``), in
+    document order."""
+    return F.filter(nodes, as_predicate(selector, nodes))
 
 
-def content_root(nodes: Column, selector: str = DEFAULT_CONTENT_SELECTOR) -> Column:
+def content_root(nodes: Column, selector=DEFAULT_CONTENT_SELECTOR) -> Column:
     """H3: struct(root node, source) — first selector match in document order,
     else ``body`` (source 'body', a LOW error), else NULL (source 'none', MEDIUM)."""
     hit = F.try_element_at(matches(nodes, selector), F.lit(1))
@@ -144,7 +145,7 @@ def clean_nodes(nodes: Column, root: Column, unwanted: str = UNWANTED_SELECTOR)
     return F.when(root.isNull(), F.lit(None)).otherwise(F.concat(F.array(root), kept))
 
 
-def nav_links(nodes: Column, nav_selector: str = DEFAULT_NAV_SELECTOR) -> Column:
+def nav_links(nodes: Column, nav_selector=DEFAULT_NAV_SELECTOR) -> Column:
     """H5: every ``a[href]`` inside every navigation match, nav matches in document
     order, links in document order within each; nested matches repeat links.
     Array of struct(nav_id, a_id, href (raw), link_text)."""

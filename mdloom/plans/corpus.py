@@ -35,21 +35,22 @@ def valid_nav_links(nodes, nav_selector: str = H.DEFAULT_NAV_SELECTOR):
                     lambda l: F.regexp_replace(l["href"], r"^\s+|\s+$", "") != "")
 
 
-def links(parsed: DataFrame, nav_selector: str = H.DEFAULT_NAV_SELECTOR) -> DataFrame:
+def links(parsed: DataFrame, nav_selector=H.DEFAULT_NAV_SELECTOR, keep: list[str] | None = None) -> DataFrame:
     """H5 + P2 + P1 + P4: nav links with position (empty hrefs skipped), absolute
     target, target key and priority."""
     raw = valid_nav_links(F.col("nodes"), nav_selector)
-    out = parsed.select("page_id", "url", U.origin_of("url").alias("_origin"),
+    keep = keep or []
+    out = parsed.select("page_id", "url", *keep, U.origin_of("url").alias("_origin"),
                         F.posexplode(raw).alias("pos", "l"))
     dst = U.resolve_url(F.col("url"), F.col("l.href"), F.col("_origin"))
     return out.select(
-        "page_id", F.col("pos").cast("int").alias("pos"), F.col("l.href").alias("href"),
+        "page_id", *keep, F.col("pos").cast("int").alias("pos"), F.col("l.href").alias("href"),
         F.col("l.link_text").alias("link_text"), dst.alias("dst_url"),
     ).withColumn("dst_key", U.normalize_url("dst_url")) \
      .withColumn("priority", U.link_priority("dst_url", "link_text"))
 
 
-def documents(parsed: DataFrame, content_selector: str = H.DEFAULT_CONTENT_SELECTOR,
+def documents(parsed: DataFrame, content_selector=H.DEFAULT_CONTENT_SELECTOR,
               src_map: str | None = None) -> DataFrame:
     """H3/H4/H7/H8: content root, cleaned nodes, Markdown, status and path."""
     cr = H.content_root(F.col("nodes"), content_selector)

@@ -90,7 +90,7 @@ def snapshot_points(pages: DataFrame, every: int) -> DataFrame:
             .withColumn("snapshot_no", (F.col("n") / every).cast("long")))
 
 
-def crawl_edges(links: DataFrame, pages: DataFrame, patterns: list[str]) -> tuple[DataFrame, DataFrame]:
+def crawl_edges(links: DataFrame, pages: DataFrame, patterns) -> tuple[DataFrame, DataFrame]:
     """Scope-checked link edges between snapshot pages.
 
     ``links`` needs (page_id, pos, dst_url, dst_key, scope_prefix); a link is in
@@ -100,8 +100,11 @@ def crawl_edges(links: DataFrame, pages: DataFrame, patterns: list[str]) -> tupl
     failed fetch."""
     from mdloom.operators.urls import dedup_first, valid_patterns
     from mdloom.functions import urls as U
-    pats = valid_patterns(patterns)
-    hit = U.first_matching_pattern(F.col("dst_url"), pats) if pats else F.lit(None)
+    if isinstance(patterns, str):      # per-row ARRAY<STRING> column (validated profiles)
+        hit = U.first_matching_pattern(F.col("dst_url"), F.col(patterns))
+    else:
+        pats = valid_patterns(patterns)
+        hit = U.first_matching_pattern(F.col("dst_url"), pats) if pats else F.lit(None)
     ok = links.where(U.allowed_prefix(F.col("dst_url"), F.col("scope_prefix")) & hit.isNull())
     snap = dedup_first(pages.select("url_key", "page_id")).select(
         F.col("url_key").alias("dst_key"), F.col("page_id").alias("dst"))
@@ -111,7 +114,7 @@ def crawl_edges(links: DataFrame, pages: DataFrame, patterns: list[str]) -> tupl
     return edges, misses
 
 
-def site_crawl(links: DataFrame, pages: DataFrame, seeds: DataFrame, patterns: list[str]) -> tuple[DataFrame, DataFrame]:
+def site_crawl(links: DataFrame, pages: DataFrame, seeds: DataFrame, patterns) -> tuple[DataFrame, DataFrame]:
     """G4 on real pages: from the seed pages (column ``node`` = page_id), every
     snapshot page reachable through in-scope nav links, with its depth; plus
     the misses met from crawled pages (one row per target key, first source)."""

@@ -76,3 +76,42 @@ def run_profile(spark: SparkSession, pages: DataFrame, profile: dict | str | Non
     out["runs"] = runs
     out["advice"] = AD.advisor_report(runs)
     return out
+
+
+# distinct selector texts compiled into one plan; more than this is refused
+MAX_DISTINCT_SELECTORS = 256
+
+
+def run_profiles(spark: SparkSession, pages: DataFrame, profiles_raw: DataFrame) -> dict[str, DataFrame]:
+    """Many sites at once: ``profiles_raw(profile_id, profile_json)``; each page
+    belongs to the profile with the longest ``allowed_domain`` prefix (J4) and
+    is crawled and converted with that profile's selectors, scope and patterns.
+    Profiles with violations are left out and returned in ``rejected``."""
+    from mdloom.functions.selectors import SelectorSwitch
+    merged = PR.merge_profiles(PR.parse_profiles(profiles_raw))
+    violations = PR.profile_violations(merged)
+    ok = merged.join(violations.select("profile_id").distinct(), "profile_id", "left_anti")
+    fld = lambda p: F.col(PR._field(p))
+    prof = ok.select("profile_id", fld("target_site.start_url").alias("start_url"),
+                     fld("target_site.allowed_domain").alias("scope_prefix"),
+                     fld("crawler.navigation_selector").alias("nav_selector"),
+                     fld("extractor.content_selector").alias("content_selector"),
+                     fld("crawler.exclude_patterns").alias("exclude_patterns"))
+    sels = prof.select(F.explode(F.array("nav_selector", "content_selector")).alias("s")).distinct() \
+        .limit(MAX_DISTINCT_SELECTORS + 1).collect()
+    if len(sels) > MAX_DISTINCT_SELECTORS:
+        raise ProfileError(f"more than {MAX_DISTINCT_SELECTORS} distinct selectors in one run")
+    choices = [r.s for r in sels]
+    assign = PR.page_profile(pages.select("page_id", "url"), ok).where(F.col("profile_id").isNotNull())
+    parsed = H.parse_pages(pages.select("page_id", "url", "html")).select(
+        "page_id", "url", U.normalize_url("url").alias("url_key"), U.url_host("url").alias("host"), "nodes")
+    site_pages = parsed.join(assign.select("page_id", "profile_id"), "page_id").join(prof, "profile_id")
+    nav = SelectorSwitch(F.col("nav_selector"), choices)
+    links = C.links(site_pages, nav, keep=["scope_prefix", "exclude_patterns"])
+    keys = site_pages.select("page_id", "url", "url_key")
+    seeds = site_pages.where(F.col("url_key") == U.normalize_url(F.col("start_url"))) \
+        .groupBy("profile_id").agg(F.min("page_id").alias("node")).select("node")
+    reached, misses = CR.site_crawl(links, keys, seeds, "exclude_patterns")
+    crawled = site_pages.join(reached.select(F.col("node").alias("page_id"), "depth"), "page_id")
+    docs = C.documents(crawled, SelectorSwitch(F.col("content_selector"), choices))
+    return {"reached": reached, "misses": misses, "documents": docs, "rejected": violations}

@@ -158,3 +158,26 @@ def test_run_profile_end_to_end(spark):
     assert [r.rule_id for r in out["advice"].orderBy("line_no").collect()] == ["R04", "R03", "R13"]
     with pytest.raises(RUN.ProfileError):
         RUN.run_profile(spark, df, {"target_site": {"start_url": "ftp://s/", "allowed_domain": "http://s/"}})
+
+
+def test_run_profiles_two_sites(spark):
+    import json
+    from mdloom.plans import run as RUN
+    pages = [(0, "https://a.org/docs/", '<body><nav><a href="/docs/x">x</a></nav><main>A0</main></body>'),
+             (1, "https://a.org/docs/x", '<body><nav><a href="/blog/y">y</a></nav><main>A1</main></body>'),
+             (2, "https://a.org/blog/y", '<body><main>out of scope</main></body>'),
+             (3, "http://b.net/", '<body><div class="sidebar"><a href="/p#frag">p</a><a href="/q">q</a></div>'
+                                  '<article>B0</article><main>not b content</main></body>'),
+             (4, "http://b.net/q", '<body><article>B1</article></body>'),
+             (5, "http://b.net/p", '<body><article>B2</article></body>')]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    profiles = [("a", {"target_site": {"start_url": "https://a.org/docs/", "allowed_domain": "https://a.org/docs/"}}),
+                ("b", {"target_site": {"start_url": "http://b.net/", "allowed_domain": "http://b.net/"},
+                       "crawler": {"navigation_selector": ".sidebar"}, "extractor": {"content_selector": "article"}}),
+                ("bad", {"target_site": {"start_url": "x", "allowed_domain": "http://c/"}})]
+    raw = spark.createDataFrame([(k, json.dumps(v)) for k, v in profiles], "profile_id string, profile_json string")
+    out = RUN.run_profiles(spark, df, raw)
+    assert {r.node: r.depth for r in out["reached"].collect()} == {0: 0, 1: 1, 3: 0, 4: 1}
+    md = {r.page_id: r.markdown for r in out["documents"].collect()}
+    assert md == {0: "A0\n", 1: "A1\n", 3: "B0\n", 4: "B1\n"}
+    assert {r.profile_id for r in out["rejected"].collect()} == {"bad"}
