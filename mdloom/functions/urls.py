@@ -6,6 +6,8 @@ Every function takes and returns ``Column`` so it composes inside
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -239,6 +241,18 @@ def first_matching_pattern(url, patterns) -> Column:
     return F.try_element_at(F.filter(_c(patterns), lambda p: F.regexp_like(u, p)), F.lit(1))
 
 
+def any_pattern(url, patterns: list[str]) -> Column:
+    """True when any pattern matches anywhere in the URL: one combined
+    alternation (one regex pass), unless a pattern uses back-references, whose
+    numbering would shift when patterns are joined."""
+    u = _c(url)
+    if not patterns:
+        return F.lit(False)
+    if any(re.search(r"\\[1-9]|\(\?P=", p) for p in patterns):
+        return first_matching_pattern(u, patterns).isNotNull()
+    return u.rlike("|".join(f"(?:{p})" for p in patterns))
+
+
 def path_slash_count(url) -> Column:
     u = _c(url)
     return F.length(u) - F.length(F.replace(u, F.lit("/"), F.lit("")))

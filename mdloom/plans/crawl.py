@@ -103,8 +103,7 @@ def crawl_edges(links: DataFrame, pages: DataFrame, patterns) -> tuple[DataFrame
     if isinstance(patterns, str):      # per-row ARRAY<STRING> column (validated profiles)
         hit = U.first_matching_pattern(F.col("dst_url"), F.col(patterns))
     else:
-        pats = valid_patterns(patterns)
-        hit = U.first_matching_pattern(F.col("dst_url"), pats) if pats else F.lit(None)
+        hit = F.when(U.any_pattern(F.col("dst_url"), valid_patterns(patterns)), F.lit("x"))
     ok = links.where(U.allowed_prefix(F.col("dst_url"), F.col("scope_prefix")) & hit.isNull())
     snap = dedup_first(pages.select("url_key", "page_id")).select(
         F.col("url_key").alias("dst_key"), F.col("page_id").alias("dst"))

@@ -88,3 +88,13 @@ def test_dedup_first_wins(spark):
     df = spark.createDataFrame([("k", 3, "c"), ("k", 1, "a"), ("j", 2, "b")], "url_key string, page_id int, url string")
     got = {r.url_key: (r.page_id, r.url, r.n_variants) for r in OU.dedup_first(df).collect()}
     assert got == {"k": (1, "a", 2), "j": (2, "b", 1)}
+
+
+def test_any_pattern_matches_per_pattern(spark):
+    pats = [r".*#.*", r".*/search\.html", r"(a)\1", r"^https://x"]
+    urls = ["http://h/a#b", "http://h/search.html", "http://h/aa", "https://x/y", "http://h/ok"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    for p_list in (pats, pats[:2] + pats[3:]):
+        rows = df.select("url", U.any_pattern("url", p_list).alias("a"),
+                         U.first_matching_pattern("url", p_list).isNotNull().alias("b")).collect()
+        assert all(r.a == r.b for r in rows)
