@@ -352,3 +352,15 @@ ORACLES.update({
             AND NOT EXISTS (SELECT 1 FROM keys k WHERE k.url_key = l.dst_key))""",
         "SELECT dst_key, min(page_id) AS first_src, count(*) AS n_refs FROM src GROUP BY dst_key"),
 })
+
+ORACLES.update({
+    # md5 of the key-sorted compact JSON of the four content sections (defaults + origin scope)
+    "profile_checksum": _with(PAGES_P + ", o AS (SELECT DISTINCT scheme || '://' || lower(netloc) || '/' AS origin FROM pp)",
+        r"""SELECT origin AS profile_id, md5(to_json(struct_pack(
+              crawler := struct_pack(exclude_patterns := ['.*#.*', '.*/search\.html', '.*/genindex\.html'],
+                                     navigation_selector := 'nav'),
+              extractor := struct_pack(content_selector := 'main'),
+              output := struct_pack(base_dir := './output', download_images := true, image_dir_name := 'images'),
+              target_site := struct_pack(allowed_domain := origin, start_url := origin)))) AS config_checksum
+            FROM o"""),
+})
