@@ -58,3 +58,27 @@ def test_auto_skip_monotone(spark, fails):
     assert prior == [sum(fails[:i]) for i in range(len(fails))]
     skipped = [r.skipped for r in got]
     assert skipped == sorted(skipped)      # once skipped, always skipped
+
+
+TAGS = ["div", "p", "b", "i", "ul", "li", "nav", "a", "span", "br", "img", "table", "tr", "td", "h1", "pre"]
+FRAG = st.recursive(
+    st.text(alphabet="ab <&;#", max_size=6),
+    lambda inner: st.builds(lambda t, kids, close: f"<{t}>" + "".join(kids) + (f"</{t}>" if close else ""),
+                            st.sampled_from(TAGS), st.lists(inner, max_size=3), st.booleans()),
+    max_leaves=25)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(FRAG, max_size=4))
+def test_tokenizer_tree_invariants(frags):
+    from mdloom.functions.tokenize import tokenize
+    nodes = tokenize("<html><body>" + "".join(frags))
+    assert [n[0] for n in nodes] == list(range(len(nodes)))          # dense preorder ids
+    by_id = {n[0]: n for n in nodes}
+    for nid, end, parent, depth, kind, tag, _id, _cls, _attrs, text, anc in nodes:
+        assert end >= nid and depth == len(anc)
+        assert (kind == "text") == (tag is None) and (kind != "text" or end == nid)
+        if parent >= 0:
+            p = by_id[parent]
+            assert p[0] < nid <= end <= p[1] and anc[-1] == parent   # subtree nested in parent's
+            assert p[5] not in ("br", "img")                          # void elements have no children
