@@ -47,8 +47,12 @@ def parse_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """
     import pyarrow as pa  # noqa: F401  (worker side)
 
-    par = pages.sparkSession.sparkContext.defaultParallelism
-    if pages.rdd.getNumPartitions() < par:
+    try:
+        par = pages.sparkSession.sparkContext.defaultParallelism
+        few = pages.rdd.getNumPartitions() < par
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext (Spark Connect)
+        par, few = 0, False
+    if few:
         # few input splits (e.g. one row group): spread pages over all cores so
         # the Python tokeniser is not a single task; large inputs skip this
         pages = pages.repartition(2 * par)

@@ -43,7 +43,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` (the cluster's shared folder). Only when both are
     unset (local tests) is one created under /tmp.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server's spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", "")
     active = sc.getCheckpointDir()
     if active:
         return active
@@ -69,7 +72,10 @@ def ship_package(spark: SparkSession) -> None:
     (``addPyFile`` of a zip built from the driver's copy)."""
     import zipfile
 
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: ship the package with the client instead
+        return
     app = sc.applicationId
     if app in _SHIPPED:
         return
