@@ -38,7 +38,10 @@ EXCLUDE = [r".*#.*", r".*/search\.html", r".*/genindex\.html"]
 EXCLUDE_CASE = ("CASE " + " ".join(f"WHEN regexp_matches(url, '{p}') THEN '{p}'" for p in EXCLUDE)
                 + " END")
 
-ENT = "replace(replace(replace(replace({x}, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+# legacy named references decode with or without the ';' (as HTML parsers do)
+ENT = ("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, "
+       "'&quot;?', '\"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), "
+       "'&amp;?', '&', 'g')")
 
 
 def _decode(x: str) -> str:
@@ -78,7 +81,7 @@ MD_STEPS = r"""
   md0 AS (SELECT page_id, url, {body} AS b FROM pages),
   md1 AS (SELECT page_id, url, regexp_replace(regexp_replace(b, '\\', '\\\\', 'g'), '([*_`\[\]])', '\\\1', 'g') AS b FROM md0),
   md2 AS (SELECT page_id, url, regexp_replace(b, '\s+', ' ', 'g') AS b FROM md1),
-  md3 AS (SELECT page_id, url, replace(replace(b, '&quot;', '"'), '&amp;', '&') AS b FROM md2),
+  md3 AS (SELECT page_id, url, regexp_replace(regexp_replace(b, '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS b FROM md2),
   md4 AS (SELECT page_id, url, regexp_replace(b, '<b>([^<]*)<br>', '**\1**', 'g') AS b FROM md3),
   md5 AS (SELECT page_id, url, regexp_replace(b, '<h1>', chr(1) || chr(57344) || ' ', 'g') AS b FROM md4),
   md6 AS (SELECT page_id, url, regexp_replace(b, '</?(div|article|p|h1)( [^>]*)?>', chr(1), 'g') AS b FROM md5),
@@ -364,3 +367,82 @@ ORACLES.update({
               target_site := struct_pack(allowed_domain := origin, start_url := origin)))) AS config_checksum
             FROM o"""),
 })
+
+
+# H1 tree: regex tokens + a recursive-CTE stack machine applying the same repair rules for the
+# test pages' tag set (block start closes an open p and what is inside it; li closes li; an end
+# tag closes up to its match; void elements take no children; script/style are raw text)
+PAGE_NODES_SQL = r"""
+WITH RECURSIVE
+t0 AS (SELECT page_id, regexp_extract_all(html, '(?s)<!--.*?-->|<![^>]*>|<[A-Za-z/][^>]*>|[^<]+|<') AS toks FROM pages),
+t1 AS (SELECT page_id, unnest(toks) AS tok, unnest(generate_series(1, len(toks))) AS i FROM t0),
+t2 AS (SELECT page_id, i, tok,
+         CASE WHEN tok LIKE '<!%' THEN 'skip' WHEN tok LIKE '</%' THEN 'end'
+              WHEN regexp_matches(tok, '^<[A-Za-z]') THEN 'start' ELSE 'text' END AS k0,
+         lower(regexp_extract(tok, '^</?([A-Za-z][^\s/>]*)', 1)) AS tg FROM t1),
+t3 AS (SELECT *, coalesce(sum(CASE WHEN k0 = 'start' AND tg IN ('script', 'style') THEN 1
+                                   WHEN k0 = 'end' AND tg IN ('script', 'style') THEN -1 ELSE 0 END)
+                  OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS in_raw FROM t2),
+t4 AS (SELECT *, CASE WHEN in_raw > 0 AND NOT (k0 = 'end' AND tg IN ('script', 'style')) THEN 'raw' ELSE k0 END AS k1 FROM t3),
+t5 AS (SELECT *, sum(CASE WHEN k1 IN ('raw', 'text') THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS grp FROM t4),
+t6 AS (SELECT page_id, min(i) AS i, 'text' AS kind, CAST(NULL AS VARCHAR) AS tg,
+              string_agg(CASE WHEN k1 = 'raw' THEN tok ELSE
+                regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(tok,
+                  '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&copy;?', '©', 'g'),
+                  '&middot;?', '·', 'g'), '&amp;?', '&', 'g') END, '' ORDER BY i) AS txt
+       FROM t5 WHERE k1 IN ('raw', 'text') GROUP BY page_id, grp
+       UNION ALL
+       SELECT page_id, i, k1, tg, CAST(NULL AS VARCHAR) FROM t5 WHERE k1 IN ('start', 'end')),
+ev AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k, kind, tg, txt FROM t6),
+nk AS (SELECT page_id, max(k) AS nk FROM ev GROUP BY page_id),
+r(page_id, k, st, nid, emit) AS (
+  SELECT page_id, 0, []::STRUCT(id INTEGER, tag VARCHAR)[], 0,
+         []::STRUCT(ev VARCHAR, id INTEGER, e INTEGER, parent INTEGER, depth INTEGER, kind VARCHAR, tag VARCHAR, txt VARCHAR)[]
+  FROM nk
+  UNION ALL
+  SELECT r.page_id, r.k + 1, s.st2, s.nid2, s.emit2 FROM r JOIN ev ON ev.page_id = r.page_id AND ev.k = r.k + 1,
+  LATERAL (
+    SELECT
+      -- index (1-based) from which the stack is popped before this token; len+1 = nothing popped
+      CASE WHEN ev.kind = 'end' AND ev.tg NOT IN ('html', 'body') AND list_contains(list_transform(r.st, lambda x: x.tag), ev.tg)
+             THEN len(r.st) - list_position(list_reverse(list_transform(r.st, lambda x: x.tag)), ev.tg) + 1
+           WHEN ev.kind = 'start' AND ev.tg IN ('p', 'div', 'h1', 'ul', 'li', 'nav', 'article', 'footer', 'table', 'pre', 'section', 'header', 'main')
+                AND list_contains(list_transform(r.st, lambda x: x.tag), 'p')
+             THEN len(r.st) - list_position(list_reverse(list_transform(r.st, lambda x: x.tag)), 'p') + 1
+           WHEN ev.kind = 'start' AND ev.tg = 'li' AND list_contains(list_transform(r.st, lambda x: x.tag), 'li')
+                AND list_position(list_reverse(list_transform(r.st, lambda x: x.tag)), 'li') <
+                    coalesce(nullif(list_position(list_reverse(list_transform(r.st, lambda x: x.tag)), 'ul'), 0), 1000000)
+             THEN len(r.st) - list_position(list_reverse(list_transform(r.st, lambda x: x.tag)), 'li') + 1
+           ELSE len(r.st) + 1 END AS cut
+  ) c,
+  LATERAL (
+    SELECT list_slice(r.st, 1, c.cut - 1) AS base,
+           list_transform(list_slice(r.st, c.cut, len(r.st)), lambda x: {'ev': 'close', 'id': x.id, 'e': r.nid - 1, 'parent': NULL,
+              'depth': NULL, 'kind': NULL, 'tag': NULL, 'txt': NULL}) AS closes
+  ) b,
+  LATERAL (
+    SELECT
+      CASE WHEN ev.kind = 'end' THEN b.base
+           WHEN ev.kind = 'start' AND ev.tg NOT IN ('meta', 'br', 'img', 'hr', 'link', 'input', 'area', 'base', 'col', 'embed', 'source', 'track', 'wbr')
+             THEN list_append(b.base, {'id': r.nid, 'tag': ev.tg})
+           ELSE b.base END AS st2,
+      CASE WHEN ev.kind = 'end' THEN r.nid ELSE r.nid + 1 END AS nid2,
+      CASE WHEN ev.kind = 'end' THEN b.closes
+           ELSE list_append(b.closes, {'ev': 'open', 'id': r.nid, 'e': NULL,
+                  'parent': coalesce(b.base[len(b.base)].id, -1), 'depth': len(b.base),
+                  'kind': CASE WHEN ev.kind = 'start' THEN 'element' ELSE 'text' END,
+                  'tag': CASE WHEN ev.kind = 'start' THEN ev.tg END, 'txt': ev.txt}) END AS emit2
+  ) s
+),
+fin AS (SELECT r.page_id, r.st, r.nid FROM r JOIN nk ON r.page_id = nk.page_id AND r.k = nk.nk),
+em AS (SELECT page_id, unnest(emit) AS x FROM r),
+opens AS (SELECT page_id, x.id AS node_id, x.parent AS parent_id, x.depth AS depth, x.kind AS kind, x.tag AS tag, x.txt AS text
+          FROM em WHERE x.ev = 'open'),
+closes AS (SELECT page_id, x.id AS node_id, x.e AS end_id FROM em WHERE x.ev = 'close'
+           UNION ALL SELECT page_id, unnest(st).id, nid - 1 FROM fin)
+SELECT o.page_id, CAST(o.node_id AS INTEGER) AS node_id, CAST(coalesce(c.end_id, o.node_id) AS INTEGER) AS end_id,
+       CAST(o.parent_id AS INTEGER) AS parent_id, CAST(o.depth AS INTEGER) AS depth, o.kind, o.tag,
+       CAST(NULL AS VARCHAR) AS elem_id, o.text
+FROM opens o LEFT JOIN closes c ON c.page_id = o.page_id AND c.node_id = o.node_id
+"""
+ORACLES["page_nodes"] = PAGE_NODES_SQL
