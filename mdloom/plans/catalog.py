@@ -135,6 +135,15 @@ def q_markdown_docs(spark, sf_dir):
     return d.select("page_id", "md_path", "markdown")
 
 
+def q_image_extract(spark, sf_dir):
+    """H6 + P3: images with a non-empty src in the cleaned content, resolved
+    against the page URL (the input of the image manifest, S8)."""
+    d = C.documents(C.parsed_pages(spark, sf_dir))
+    imgs = d.select("page_id", "url", F.explode(H.images(F.col("kept"))).alias("i"))
+    return imgs.select("page_id", F.col("i.src").alias("src"),
+                       U.resolve_url(F.col("url"), F.col("i.src")).alias("abs_url"))
+
+
 def q_convert_status(spark, sf_dir):
     d = C.documents(C.parsed_pages(spark, sf_dir))
     return d.select("page_id", "source", "status", "error_severity")
@@ -425,6 +434,7 @@ QUERIES = {
     "content_extract": q_content_extract,
     "content_clean": q_content_clean,
     "markdown_docs": q_markdown_docs,
+    "image_extract": q_image_extract,
     "convert_status": q_convert_status,
     "convert_stats": q_convert_stats,
     "frontier_new": q_frontier_new,

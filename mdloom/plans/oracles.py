@@ -446,3 +446,9 @@ SELECT o.page_id, CAST(o.node_id AS INTEGER) AS node_id, CAST(coalesce(c.end_id,
 FROM opens o LEFT JOIN closes c ON c.page_id = o.page_id AND c.node_id = o.node_id
 """
 ORACLES["page_nodes"] = PAGE_NODES_SQL
+
+ORACLES["image_extract"] = _with(PAGES_P + f""",
+  im AS (SELECT page_id, scheme, netloc,
+                unnest(regexp_extract_all({BODY_CLEAN.replace("html", "pp.html")}, '<img[^>]*\\ssrc="([^"]+)"', 1)) AS src
+         FROM pp)""",
+    "SELECT page_id, src, CASE WHEN src LIKE '/%' AND src NOT LIKE '//%' THEN scheme || '://' || netloc || src END AS abs_url FROM im")
