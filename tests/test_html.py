@@ -137,3 +137,14 @@ def test_parse_pages_chunked_output(spark, monkeypatch):
     monkeypatch.setattr(H, "ARROW_CHUNK_BYTES", 30)
     got = {r.page_id: r.n for r in H.parse_pages(df).select("page_id", F.size("nodes").alias("n")).collect()}
     assert len(got) == 41 and got[99] is None and all(v == 4 for k, v in got.items() if k != 99 and k % 7)
+
+
+def test_selector_switch_per_row(spark):
+    from mdloom.functions.selectors import SelectorSwitch
+    html = '<body><nav>n</nav><main>m</main><div class="side">s</div></body>'
+    rows = [(1, "u", html, "nav"), (2, "u", html, ".side"), (3, "u", html, "article")]
+    df = H.parse_pages(spark.createDataFrame(rows, "page_id long, url string, html string, sel string"))
+    sw = SelectorSwitch(F.col("sel"), ["nav", ".side"])          # 'article' was not compiled
+    got = {r.page_id: r.tags for r in df.select(
+        "page_id", F.transform(H.matches(F.col("nodes"), sw), lambda n: n["tag"]).alias("tags")).collect()}
+    assert got == {1: ["nav"], 2: ["div"], 3: []}
