@@ -15,7 +15,7 @@ language) is held by the driver and each task.
 Results for odd input: null texts and texts without a letter are ``und`` with
 score 0 and rejected; texts of one word are predicted like others; null labels
 and null doc_ids are never learned from; repeated rows get equal results; other
-columns are ignored; without any training row all is ``und``.
+columns are ignored; without any training row all is ``und``, and only texts without a letter are rejected.
 """
 
 from __future__ import annotations
@@ -158,33 +158,38 @@ def fit(docs: DataFrame, train: Column) -> Model | None:
                  np.array([r["floor"] for r in found]))
 
 
-def _predicted(shipped):
+ADDED = ("lang_pred", "score", "rejected")
+
+
+def _predicted(shipped, suffix: str = ""):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
         for part in _rows(batches):
-            lettered = tb.column(part, "lettered").to_numpy(zero_copy_only=False)
+            lettered = tb.column(part, "_lettered").to_numpy(zero_copy_only=False)
             m = part.num_rows
-            langs, score, low = ["und"] * m, np.zeros(m), np.ones(m, bool)
+            langs, score, low = ["und"] * m, np.zeros(m), ~lettered
             if model is not None and lettered.any():
                 langs, score, low = model.predict(counts(tb.column(part, "text")))
                 langs = [x if ok else "und" for x, ok in zip(langs, lettered, strict=True)]
                 score, low = np.where(lettered, score, 0.0), low | ~lettered
-            keep = [i for i, c in enumerate(part.schema.names) if c != "lettered"]
+            keep = [i for i, c in enumerate(part.schema.names) if c != "_lettered"]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array(langs), pa.array(score), pa.array(low)],
-                                             [*(part.schema.names[i] for i in keep), "lang_pred", "score", "rejected"])
+                                             [*(part.schema.names[i] for i in keep), *(c + suffix for c in ADDED)])
     return run
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of docs (text may be one of them) with lang_pred, score and rejected."""
+def identify(docs: DataFrame, model: Model | None, keep: list[str], suffix: str = "") -> DataFrame:
+    """The columns ``keep`` of docs (text may be one of them) with lang_pred, score and rejected
+    (each with ``suffix``, for tables that have such columns)."""
     spark = docs.sparkSession
     shipped = spark.sparkContext.broadcast(model)
     cols = [c for c in keep if c != "text"]
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")
-    kinds = dict(docs.select(*cols, "text").dtypes)
-    predicted = docs.select(*cols, "text", lettered).mapInArrow(
-        _predicted(shipped), ", ".join(f"`{c}` {kinds[c]}" for c in [*cols, "text"]) + ", lang_pred string, score double, rejected boolean")
-    return predicted.select(*keep, "lang_pred", "score", "rejected")
+    added = [c + suffix for c in ADDED]
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_lettered")
+    kinds = dict(docs.dtypes)
+    predicted = docs.select(*[f"`{c}`" for c in cols], "text", lettered).mapInArrow(
+        _predicted(shipped, suffix), ", ".join([f"`{c}` {kinds[c]}" for c in [*cols, "text"]] + [f"`{c}` {k}" for c, k in zip(added, ("string", "double", "boolean"), strict=True)]))
+    return predicted.select(*[f"`{c}`" for c in keep], *added)
 
 
 def train_rows() -> Column:

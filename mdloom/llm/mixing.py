@@ -114,6 +114,18 @@ def mixed(sizes: DataFrame, weight: Column | None = None, blocks: int = BLOCKS,
     return rows.select("doc_id", "tkey", "source", "size", "source_size", "target", taken.alias("taken")), per_shard
 
 
+def as_mixed(docs: DataFrame, weight: Column | None = None) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it: taken / size, rounded, so 0 to PASSES times."""
+    cols = docs.columns
+    least = F.lit(-(1 << 63))
+    found, _ = mixed(sizes_of(docs), weight)
+    times = (found.groupBy(F.coalesce("doc_id", least).alias("_id"), F.col("tkey").alias("_tkey"))
+             .agg(F.sum("taken").alias("t"), F.sum("size").alias("n")).where("n > 0")
+             .select("_id", "_tkey", F.round(F.col("t") / F.col("n")).cast("int").alias("_times")).where("_times > 0"))
+    rows = docs.withColumns({"_id": F.coalesce("doc_id", least), "_tkey": text_key()}).join(times, ["_id", "_tkey"])
+    return rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[f"`{c}`" for c in cols])
+
+
 def q_op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _ = mixed(sizes_of(load(spark, sf_dir, "documents")))
     return docs.select("doc_id", "size", "source_size", "target", "taken")

@@ -270,7 +270,7 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int
     """Components of documents whose k-word shingle sets have Jaccard similarity >= num/den.
 
     Reads doc_id and text. Returns one row per input row: doc_id, tkey (hash of
-    the text), n_shingles, class_id (equal for equal sets; null for empty ones),
+    the text), n_shingles, component (a number of its group; null for an empty set),
     component_id (smallest doc_id reachable by links, itself included)."""
     spark = docs.sparkSession
     own = docs.select("doc_id", "text")
@@ -328,12 +328,25 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int
     by_class = own_min.join(classes.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
         "component", F.coalesce("component", "sig"))
     roots = by_class.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = by_class.join(roots, "component").select("sig", "component_id")
+    named = by_class.join(roots, "component").select("sig", "component", "component_id")
     return (rows.withColumn("sig", F.when(F.col("n") > 0, F.col("sig"))).join(named, "sig", "left")
-            .select("doc_id", "tkey", F.col("n").cast("long").alias("n_shingles"), F.col("sig").alias("class_id"),
+            .select("doc_id", "tkey", F.col("n").cast("long").alias("n_shingles"), "component",
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs with one document of each group of near duplicates: the one of
+    the least doc_id (then text hash). Documents without words are in no group and stay."""
+    groups = near_duplicate_classes(docs, k, num, den).where(F.col("component").isNotNull())
+    least = F.lit(-(1 << 63))
+    chosen = (groups.select("component", F.coalesce("doc_id", least).alias("_id"), F.col("tkey").alias("_tkey"))
+              .groupBy("component").agg(F.min(F.struct("_id", "_tkey")).alias("r")).select("r._id", "r._tkey"))
+    keyed = docs.withColumns({"_id": F.coalesce("doc_id", least), "_tkey": text_key()})
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = keyed.where(worded).join(chosen, ["_id", "_tkey"], "left_semi").dropDuplicates(["_id", "_tkey"])
+    return kept.unionByName(keyed.where(~worded)).drop("_id", "_tkey")
+
+
 def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return near_duplicate_classes(docs, k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")

@@ -95,20 +95,21 @@ def _mixes(value: Column) -> Column:
     return (value.rlike("[0-9]") & value.rlike("[A-Za-z]")) | (value.rlike("[A-Z]") & value.rlike("[a-z][A-Z]") & value.rlike("[A-Z][A-Z0-9]"))
 
 
-def scanned(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row per document: doc_id, tkey, base (pattern spans) and spans (those and the added ones)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = written(docs.select("doc_id", F.xxhash64(text).alias("tkey"), base_spans(text).alias("base"), _spans(text, RUN, "markov").alias("runs")), "secret-spans")
+def with_spans(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """All columns of docs, with ``_base`` (pattern spans) and ``_spans`` (those and the
+    added ones). Texts are scanned once: the spans are written beside the rows."""
+    text = F.coalesce(F.col("text"), F.lit("")) if "text" in docs.columns else F.col("_text")
+    found = written(docs.withColumns({"_base": base_spans(text), "_runs": _spans(text, RUN, "markov")}).drop("_text"), "secret-spans")
 
     def apart(run: Column) -> Column:
-        return ~F.exists("base", lambda b: (b["start"] < run["stop"]) & (run["start"] < b["stop"]))
+        return ~F.exists("_base", lambda b: (b["start"] < run["stop"]) & (run["start"] < b["stop"]))
 
     # labelled samples: runs inside confirmed spans, and plain words
-    run = F.explode(F.transform("runs", lambda r: F.struct(r["value"].alias("value"), apart(r).alias("apart"))))
+    run = F.explode(F.transform("_runs", lambda r: F.struct(r["value"].alias("value"), apart(r).alias("apart"))))
     rows = found.select(run.alias("r")).select("r.value", "r.apart")
     ordinary = F.col("value").rlike(r"^([a-z]+|[A-Z]+|[A-Z][a-z]+)([_-]([a-z]+|[A-Z]+|[A-Z][a-z]+))*$")
     table = trained(rows.select("value", F.when(~F.col("apart") & _mixes(F.col("value")), F.lit(True)).when(F.col("apart") & ordinary, F.lit(False)).alias("secret")))
-    scored = found
+    extra = F.filter("_runs", lambda r: F.lit(False))
     if table:
         # a constant array: the ratio of the transition from character i to j stands at i * len(ALPHABET) + j
         ratios = F.from_json(F.lit(json.dumps([table[a + b] for a in ALPHABET for b in ALPHABET])), "array<double>")
@@ -121,10 +122,15 @@ def scanned(docs: DataFrame, least: float = LEAST) -> DataFrame:
             total = F.aggregate(_pairs(r["value"]), F.lit(0.0), lambda acc, p: acc + ratio(p))
             return apart(r) & _mixes(r["value"]) & (total / (F.length(r["value"]) - 1) > least)
 
-        scored = scored.withColumn("extra", F.filter("runs", secret))
-    else:
-        scored = scored.withColumn("extra", F.filter("runs", lambda r: F.lit(False)))
-    return scored.select("doc_id", "tkey", "base", F.sort_array(F.concat("base", "extra")).alias("spans"))
+        extra = F.filter("_runs", secret)
+    return found.withColumn("_spans", F.concat("_base", extra)).drop("_runs")
+
+
+def masked(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """The rows of docs, each span of a secret replaced by ``mark`` and n_chars counted anew."""
+    cols = docs.columns
+    out = with_spans(docs).withColumn("text", redacted(F.col("text"), F.col("_spans"), mark))
+    return out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])).select(*[f"`{c}`" for c in cols])
 
 
 def _sorted_like_base(spans: Column) -> Column:
@@ -147,10 +153,11 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def q_op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scanned(load(spark, sf_dir, "documents"))
+    docs = load(spark, sf_dir, "documents")
+    found = with_spans(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text")))
 
     def number(kind: str) -> Column:
-        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *[number(k) for k in KINDS], F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-                        _listed(_sorted_like_base(F.col("spans"))).alias("spans"))
+    return found.select("doc_id", *[number(k) for k in KINDS], F.sha2(_listed(F.col("_base")).cast("binary"), 256).alias("base_sha256"),
+                        _listed(_sorted_like_base(F.col("_spans"))).alias("spans"))
