@@ -179,18 +179,16 @@ def _spans(min_words: int):
             if open_ is not None:
                 new[0] = tkey[0] != open_[0] or pos[0] > open_[2] + min_words
             first = np.flatnonzero(new)
-            ends = np.append(first[1:], len(tkey)) - 1
+            until = int(first[0]) if len(first) else len(tkey)
             done = []
             if open_ is not None:
-                if new[0]:
+                if until:  # rows that go on with the open span
+                    open_ = (open_[0], open_[1], int(pos[until - 1]))
+                if len(first):
                     done.append(open_)
-                else:
-                    stop = int(first[0]) - 1 if len(first) else len(tkey) - 1
-                    open_ = (open_[0], open_[1], int(pos[stop]))
-                    if len(first):
-                        done.append(open_)
-            done += zip(tkey[first].tolist(), pos[first].tolist(), pos[ends].tolist(), strict=True)
             if len(first):
+                ends = np.append(first[1:], len(tkey)) - 1
+                done += zip(tkey[first].tolist(), pos[first].tolist(), pos[ends].tolist(), strict=True)
                 open_ = done.pop()
             if done:
                 a, b, c = (list(x) for x in zip(*done, strict=True))
