@@ -20,6 +20,11 @@ Groups of copies stay linear:
   paired, each with those whose length allows a link. No link between different
   components is left out, so components are exact.
 
+Before any set is shipped, a candidate must pass a bound on its overlap: each
+class keeps the number of its tokens in each of about n/8 hash lanes, and the sum of
+the lanes' minima is at least the true overlap. Only the sets of classes in
+surviving pairs are made again from the texts (a bitmap of fixed size tells which).
+
 Frequent tokens bypass the per-token pass: their rows are dealt by class and
 meet only in aggregations and joins that AQE can split.
 
@@ -61,6 +66,24 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - needed(n, num, den) + 1
 
 
+def lanes(s: np.ndarray) -> bytes:
+    """Numbers of tokens by hash lane, a power of two of lanes; empty if a lane's number needs more than a byte."""
+    n = 1 << max(3, (len(s) // 8).bit_length())
+    count = np.bincount(((s >> np.uint64(20)) & np.uint64(n - 1)).astype(np.int64), minlength=n)
+    return count.astype(np.uint8).tobytes() if count.max(initial=0) < 256 else b""
+
+
+def may_link(x: bytes, y: bytes, num: int, den: int) -> bool:
+    """False only if the overlap of two sets is surely too small."""
+    if not x or not y:
+        return True
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    n = min(len(a), len(b))
+    a, b = a.reshape(-1, n).sum(axis=0), b.reshape(-1, n).sum(axis=0)  # finer lanes fold onto coarser ones
+    most = int(np.minimum(a, b).sum())
+    return den * most >= num * (int(a.sum()) + int(b.sum()) - most)
+
+
 def order_keys(tokens: np.ndarray, seed: int, hot: np.ndarray, hot_rank: np.ndarray) -> np.ndarray:
     """Places in a global order: the frequent behind, by frequency; else by a seeded hash."""
     keys = tb.mix(tokens ^ np.uint64(seed)) >> np.uint64(1)
@@ -73,24 +96,27 @@ def order_keys(tokens: np.ndarray, seed: int, hot: np.ndarray, hot_rank: np.ndar
 
 def _summaries(k: int):
     """Per row its set's size and hash; per slice the tokens found in several sets."""
-    names = ["kind", "doc_id", "tkey", "n", "sig", "token", "df"]
+    names = ["kind", "doc_id", "tkey", "n", "sig", "lanes", "token", "df"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part in tb.pieces(batches, "text", 1 << 23):
             w = tb.words(*tb.text_buffer(tb.column(part, "text")))
-            ns, sigs, fresh = [], [], []
+            ns, sigs, marks, fresh = [], [], [], []
             for s in tb.shingle_sets(w, k):
                 sig = _sig(s) if len(s) else 0
                 ns.append(len(s))
                 sigs.append(sig)
+                marks.append(None)
                 if len(s) and sig not in seen:
                     seen.add(sig)
                     fresh.append(s)
+                    marks[-1] = lanes(s)
             m = part.num_rows
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(m, np.int32)), tb.column(part, "doc_id"), tb.column(part, "tkey"),
-                 pa.array(ns, pa.int32()), pa.array(sigs, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
+                 pa.array(ns, pa.int32()), pa.array(sigs, pa.int64()), pa.array(marks, pa.binary()),
+                 pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
             if fresh:
                 toks = np.sort(np.concatenate(fresh))
                 at = np.flatnonzero(np.concatenate(([True], toks[1:] != toks[:-1])))
@@ -101,7 +127,7 @@ def _summaries(k: int):
                     none = pa.nulls(len(toks), pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.ones(len(toks), np.int32)), none, none, pa.nulls(len(toks), pa.int32()), none,
-                         pa.array(tb.signed(toks)), pa.array(df.astype(np.int64))], names)
+                         pa.nulls(len(toks), pa.binary()), pa.array(tb.signed(toks)), pa.array(df.astype(np.int64))], names)
     return run
 
 
@@ -213,15 +239,29 @@ def _buckets(num: int, den: int):
     return run
 
 
-def _sets(k: int):
+SLOTS = 1 << 22
+
+
+def _wanted(sigs: DataFrame) -> np.ndarray:
+    """A bitmap of the classes' hashes modulo SLOTS: whatever their number, at most SLOTS values are gathered."""
+    slots = sigs.select(F.pmod("sig", F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)
+    bits = np.zeros(SLOTS >> 3, np.uint8)
+    np.bitwise_or.at(bits, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+    return bits
+
+
+def _sets(k: int, shipped):
+    """The sets of the classes in the bitmap, from the texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shipped.value
         seen: set[int] = set()
         for part in tb.pieces(batches, "text"):
             w = tb.words(*tb.text_buffer(tb.column(part, "text")))
             sigs, toks = [], []
             for s in tb.shingle_sets(w, k):
                 sig = _sig(s)
-                if sig not in seen:
+                slot = sig % SLOTS
+                if sig not in seen and bits[slot >> 3] >> (slot & 7) & 1:
                     seen.add(sig)
                     sigs.append(sig)
                     toks.append(s.tobytes())
@@ -229,6 +269,14 @@ def _sets(k: int):
     return run
 
 
+def _bounded(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = pa.array([may_link(x.as_py(), y.as_py(), num, den) for x, y in zip(tb.column(batch, "la"), tb.column(batch, "lb"), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([tb.column(batch, "a").filter(good), tb.column(batch, "b").filter(good)], ["a", "b"])
+    return run
+
+
 def similar(x: np.ndarray, y: np.ndarray, num: int, den: int, hot: np.ndarray, rank: np.ndarray) -> bool:
     """Prefix filters under the second and third order, then the exact sizes."""
     if len(x) > len(y):
@@ -259,11 +307,19 @@ def _verified(num: int, den: int, shipped):
     return run
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, num: int, den: int, shipped) -> DataFrame:
-    left = sets.select(F.col("sig").alias("a"), F.col("toks").alias("ta"))
-    right = sets.select(F.col("sig").alias("b"), F.col("toks").alias("tb"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return written(rows.mapInArrow(_verified(num, den, shipped), "a long, b long, linked boolean"), "compared")
+def _compare(pairs: DataFrame, marks: DataFrame, texts: DataFrame, k: int, num: int, den: int, shipped) -> DataFrame:
+    """The pairs that link: lanes first, then the sets of those left."""
+    sc = pairs.sparkSession.sparkContext
+    left = marks.select(F.col("sig").alias("a"), F.col("lanes").alias("la"))
+    right = marks.select(F.col("sig").alias("b"), F.col("lanes").alias("lb"))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb")
+    possible = written(rows.mapInArrow(_bounded(num, den), "a long, b long"), "shingle-possible")
+    bits = sc.broadcast(_wanted(possible.select(F.col("a").alias("sig")).union(possible.select("b"))))
+    sets = written(texts.mapInArrow(_sets(k, bits), "sig long, toks binary"), "shingle-sets").dropDuplicates(["sig"])
+    one = sets.select(F.col("sig").alias("a"), F.col("toks").alias("ta"))
+    two = sets.select(F.col("sig").alias("b"), F.col("toks").alias("tb"))
+    full = possible.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    return written(full.mapInArrow(_verified(num, den, shipped), "a long, b long, linked boolean").where("linked").select("a", "b"), "shingle-links")
 
 
 def near_duplicate_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -275,9 +331,9 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int
     spark = docs.sparkSession
     own = docs.select("doc_id", "text")
     keyed = own.withColumn("tkey", text_key())
-    found = written(keyed.mapInArrow(_summaries(k), "kind int, doc_id long, tkey long, n int, sig long, token long, df long"),
+    found = written(keyed.mapInArrow(_summaries(k), "kind int, doc_id long, tkey long, n int, sig long, lanes binary, token long, df long"),
                     "shingle-summary", by="kind")
-    rows = found.where("kind = 0").select("doc_id", "tkey", "n", "sig")
+    rows = found.where("kind = 0").select("doc_id", "tkey", "n", "sig", "lanes")
     shipped = spark.sparkContext.broadcast(_frequent(found.where("kind = 1")))
     posted = (own.select("text").where(F.col("text").isNotNull())
               .mapInArrow(_prefixes(k, num, den, shipped), "key long, hot boolean, token long, sig long, n int"))
@@ -296,15 +352,9 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int
                     .select(F.least("sig", "hub").alias("a"), F.greatest("sig", "hub").alias("b")).distinct(), "shingle-pairs")
     members = buckets.where("kind <> 1").select("token", "sig", "n").distinct()
 
-    # the sets of all classes that share a prefix token, from one document of each
-    chosen = (rows.where("n > 0").groupBy("sig").agg(F.min(F.struct("doc_id", "tkey")).alias("r"))
-              .join(members.select("sig").distinct(), "sig", "left_semi")
-              .select(F.col("r.doc_id").alias("rep_id"), F.col("r.tkey").alias("rep_key")))
-    texts = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["rep_id"]) & (keyed["tkey"] == chosen["rep_key"]), "left_semi")
-    sets = written(texts.select("text").mapInArrow(_sets(k), "sig long, toks binary").dropDuplicates(["sig"]), "shingle-sets")
-
-    compared = _compare(pairs, sets, num, den, shipped)
-    links = compared.where("linked").select("a", "b")
+    marks = rows.where("lanes IS NOT NULL").select("sig", "lanes").dropDuplicates(["sig"])
+    texts = own.select("text").where(F.col("text").isNotNull())
+    links = _compare(pairs, marks, texts, k, num, den, shipped)
     first = connected(links)
 
     # what a star cannot settle: classes of one bucket in different components
@@ -319,8 +369,8 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int
             .where((F.col("comp") != F.col("xc")) & ((F.col("comp") == F.col("top")) | (F.col("x") < F.col("sig")))
                    & (F.least("n", "xn") * den >= F.greatest("n", "xn") * num))
             .select(F.least("x", "sig").alias("a"), F.greatest("x", "sig").alias("b")).distinct()
-            .join(compared.select("a", "b"), ["a", "b"], "left_anti"))
-    more = _compare(rest, sets, num, den, shipped).where("linked").select("a", "b")
+            .join(pairs, ["a", "b"], "left_anti"))
+    more = _compare(rest, marks, texts, k, num, den, shipped)
     classes = connected(first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
                         .unionByName(more))
 
