@@ -13,15 +13,18 @@ frequent at most are shipped to the tasks.
 Groups of copies stay linear:
 
 * equal sets are one class (a 64-bit hash of the set); copies are never paired;
-* in each bucket of a prefix token, every class is first compared with the
-  smallest class of its length range only (a star). Components of these links
-  settle most buckets;
+* in each bucket of a prefix token, every class is first compared with one class
+  of its length range only (a star), the one with the least share of rare
+  tokens: of a group of edited copies, the one that the others stem from.
+  Components of these links settle most buckets;
 * only classes of one bucket that are still in different components are then
-  paired, each with those whose length allows a link. No link between different
-  components is left out, so components are exact.
+  compared, by the bound below and where it allows a link by their sets. Buckets
+  of the same classes are taken once, and those of more than ``BLOCK`` classes are
+  cut into pairs of blocks, each a unit of work of bounded size. No link between
+  different components is left out, so components are exact.
 
 Before any set is shipped, a candidate must pass a bound on its overlap: each
-class keeps the number of its tokens in each of about n/8 hash lanes, and the sum of
+class keeps the number of its tokens in each of about n/2 hash lanes, and the sum of
 the lanes' minima is at least the true overlap. Only the sets of classes in
 surviving pairs are made again from the texts (a bitmap of fixed size tells which).
 
@@ -68,7 +71,7 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 def lanes(s: np.ndarray) -> bytes:
     """Numbers of tokens by hash lane, a power of two of lanes; empty if a lane's number needs more than a byte."""
-    n = 1 << max(3, (len(s) // 8).bit_length())
+    n = 1 << max(3, (len(s) // 2).bit_length())
     count = np.bincount(((s >> np.uint64(20)) & np.uint64(n - 1)).astype(np.int64), minlength=n)
     return count.astype(np.uint8).tobytes() if count.max(initial=0) < 256 else b""
 
@@ -152,7 +155,7 @@ def _frequent(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(k: int, num: int, den: int, shipped):
-    """(key, hot, token, sig, n) for the prefix tokens of each class met in this task."""
+    """(key, hot, token, sig, n, rare) for the prefix tokens of each class met in this task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = shipped.value
         seen: set[int] = set()
@@ -172,7 +175,7 @@ def _prefixes(k: int, num: int, den: int, shipped):
             if not sets:
                 continue
             keys = order_keys(np.concatenate(sets), SEEDS[0], hot, rank)
-            tok, sig_col, n_col, hot_col, at = [], [], [], [], 0
+            tok, sig_col, n_col, hot_col, rare, at = [], [], [], [], [], 0
             for s, sig in zip(sets, sigs, strict=True):
                 n = len(s)
                 own = keys[at:at + n]
@@ -183,59 +186,127 @@ def _prefixes(k: int, num: int, den: int, shipped):
                 hot_col.append(own[first] >= HOT_BIT)
                 sig_col.append(np.full(len(first), sig, np.int64))
                 n_col.append(np.full(len(first), n, np.int32))
+                rare.append(np.full(len(first), (own < HOT_BIT).mean(), np.float32))
             tok, hot_col, sig_col = tb.signed(np.concatenate(tok)), np.concatenate(hot_col), np.concatenate(sig_col)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.where(hot_col, sig_col, tok)), pa.array(hot_col), pa.array(tok), pa.array(sig_col),
-                 pa.array(np.concatenate(n_col))], ["key", "hot", "token", "sig", "n"])
+                 pa.array(np.concatenate(n_col)), pa.array(np.concatenate(rare))], ["key", "hot", "token", "sig", "n", "rare"])
     return run
 
 
-_BUCKET_NAMES = ["kind", "token", "sig", "n", "hub", "hub_n"]
+_BUCKET_NAMES = ["kind", "token", "sig", "n", "rare", "hub", "hub_n"]
+_BUCKET_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float32(), pa.int64(), pa.int32())
 
 
 def _buckets(num: int, den: int):
-    """Rows come sorted by (token, n, sig). For a token of one class nothing goes out; else a row
-    per class (kind 0) and its comparison with the smallest class of its length range (kind 1).
-    The state is one row, so a long bucket needs no memory."""
+    """Rows come sorted by (token, rare, n, sig). For a token of one class nothing goes out; else a row
+    per class (kind 0) and its comparison with the first class of its length range (kind 1). Hubs
+    are of different length ranges, so they are few; no bucket is held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # token, sig, n, sent?, hub, hub_n
+        token, last, sent, hubs = None, None, False, []
         for batch in batches:
-            hot, tok, sig, n = (tb.column(batch, c).to_numpy(zero_copy_only=False) for c in ("hot", "token", "sig", "n"))
+            hot, tok, sig, n, rare = (tb.column(batch, c).to_numpy(zero_copy_only=False) for c in ("hot", "token", "sig", "n", "rare"))
             out: list[tuple] = []
             rows = np.flatnonzero(hot)
             same = np.zeros(len(tok), bool)
             same[1:] = tok[1:] == tok[:-1]
             if len(tok):
-                same[0] = last is not None and last[0] == tok[0]
+                same[0] = token is not None and token == tok[0]
             near = same.copy()
             near[:-1] |= same[1:]
             near[-1:] = True  # the next batch may go on with it
             near &= ~hot
             for i in np.flatnonzero(near).tolist():
                 t, s, m = int(tok[i]), int(sig[i]), int(n[i])
-                if last is None or last[0] != t:
-                    last = (t, s, m, False, s, m)
+                if t != token:
+                    token, last, sent, hubs = t, (s, m, float(rare[i])), False, [(s, m)]
                     continue
-                _, ps, pm, sent, hub, hub_n = last
-                if ps == s:
+                if last[0] == s:
                     continue
                 if not sent:
-                    out.append((0, t, ps, pm, None, None))
-                out.append((0, t, s, m, None, None))
-                if hub_n * den >= num * m:
-                    out.append((1, None, s, m, hub, hub_n))
+                    out.append((0, t, *last, None, None))
+                    sent = True
+                last = (s, m, float(rare[i]))
+                out.append((0, t, *last, None, None))
+                for hub, hub_n in hubs:
+                    if min(hub_n, m) * den >= max(hub_n, m) * num:
+                        out.append((1, None, *last, hub, hub_n))
+                        break
                 else:
-                    hub, hub_n = s, m
-                last = (t, s, m, True, hub, hub_n)
+                    hubs.append((s, m))
             if len(rows):
-                none = pa.nulls(len(rows), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(rows), 2, np.int32)), pa.array(tok[rows]), pa.array(sig[rows]), pa.array(n[rows]),
-                     none, pa.nulls(len(rows), pa.int32())], _BUCKET_NAMES)
+                    [pa.array(np.full(len(rows), 2, np.int32)), pa.array(tok[rows]), pa.array(sig[rows]), pa.array(n[rows]), pa.array(rare[rows]),
+                     pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int32())], _BUCKET_NAMES)
             if out:
-                cols = list(zip(*out, strict=True))
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], _BUCKET_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _BUCKET_KINDS, strict=True)], _BUCKET_NAMES)
+    return run
+
+
+BLOCK = 2048
+
+
+def _folded(x: np.ndarray, n: int) -> np.ndarray:
+    return x.reshape(len(x), -1, n).sum(axis=1, dtype=np.uint16)
+
+
+def unsettled(sig, n, comp, top, side, marks, cell, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of a unit's classes that are in different components and may link. Classes of the
+    bucket's largest component are compared with others only, so the loop runs over those."""
+    width = np.array([len(m) for m in marks])
+    by_width = {}
+    for w in np.unique(width[width > 0]).tolist():
+        rows = np.flatnonzero(width == w)
+        own = np.frombuffer(b"".join([marks[r] for r in rows.tolist()]), np.uint8).reshape(len(rows), w).astype(np.uint16)
+        by_width[w] = (rows, own, _folded(own, w // 2))
+    full = np.flatnonzero(width == 0)  # no lanes: nothing to bound by
+    out = []
+    for x in np.flatnonzero(comp != top).tolist():
+        other = (cell[0] + cell[1]) - side[x]  # the block that x meets in this unit
+
+        def fine(rows, x=x, other=other):
+            return ((side[rows] == other) & (comp[rows] != comp[x]) & ((comp[rows] == top[rows]) | (sig[rows] > sig[x]))
+                    & (np.minimum(n[rows], n[x]) * den >= np.maximum(n[rows], n[x]) * num))
+
+        w = int(width[x])
+        if not w:
+            out += [(int(sig[x]), int(sig[y])) for y in np.flatnonzero(fine(np.arange(len(sig)))).tolist()]
+            continue
+        mine = np.frombuffer(marks[x], np.uint8).astype(np.uint16)[None, :]
+        for v, one, use in ((w, mine, 1), (2 * w, mine, 2), (w // 2, _folded(mine, max(1, w // 2)), 1)):
+            if v not in by_width:
+                continue
+            rows = by_width[v][0]
+            good = np.flatnonzero(fine(rows))
+            if len(good):
+                most = np.minimum(by_width[v][use][good], one).sum(axis=1, dtype=np.int64)
+                rows = rows[good]
+                rows = rows[den * most >= num * (n[rows] + n[x] - most)]
+                out += [(int(sig[x]), int(sig[y])) for y in rows.tolist()]
+        out += [(int(sig[x]), int(sig[y])) for y in full[fine(full)].tolist()]
+    return out
+
+
+def _units(num: int, den: int):
+    """Rows sorted by (token, i, j): the unsettled pairs of each unit."""
+    def solve(cell, rows):
+        sig, n, comp, top, side, marks = zip(*rows, strict=True)
+        pairs = unsettled(np.array(sig), np.array(n, np.int64), np.array(comp), np.array(top), np.array(side), marks, cell, num, den)
+        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, rows = None, []
+        for batch in batches:
+            cols = [tb.column(batch, c).to_pylist() for c in ("token", "i", "j", "sig", "n", "comp", "top", "side", "lanes")]
+            for row in zip(*cols, strict=True):
+                if row[:3] != unit:
+                    if len(rows) > 1:
+                        yield solve(unit[1:], rows)
+                    unit, rows = row[:3], []
+                rows.append(row[3:])
+        if len(rows) > 1:
+            yield solve(unit[1:], rows)
     return run
 
 
@@ -336,15 +407,15 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int
     rows = found.where("kind = 0").select("doc_id", "tkey", "n", "sig", "lanes")
     shipped = spark.sparkContext.broadcast(_frequent(found.where("kind = 1")))
     posted = (own.select("text").where(F.col("text").isNotNull())
-              .mapInArrow(_prefixes(k, num, den, shipped), "key long, hot boolean, token long, sig long, n int"))
+              .mapInArrow(_prefixes(k, num, den, shipped), "key long, hot boolean, token long, sig long, n int, rare float"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = written(posted.repartition(parts, "key").sortWithinPartitions("token", "n", "sig")
-                      .mapInArrow(_buckets(num, den), "kind int, token long, sig long, n int, hub long, hub_n int"),
+    buckets = written(posted.repartition(parts, "key").sortWithinPartitions("token", "rare", "n", "sig")
+                      .mapInArrow(_buckets(num, den), "kind int, token long, sig long, n int, rare float, hub long, hub_n int"),
                       "shingle-buckets", by="kind")
     # a frequent token's length ranges: powers of den/num
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)))
-    hot_rows = buckets.where("kind = 2").select("token", "sig", "n").distinct().withColumn("band", band)
-    hubs = hot_rows.groupBy("token", "band").agg(F.min(F.struct("n", "sig")).alias("h"))
+    hot_rows = buckets.where("kind = 2").select("token", "sig", "n", "rare").distinct().withColumn("band", band)
+    hubs = hot_rows.groupBy("token", "band").agg(F.min(F.struct("rare", "n", "sig")).alias("h"))
     hot_pairs = (hot_rows.join(hubs, ["token", "band"]).where(F.col("sig") != F.col("h.sig"))
                  .select("sig", "n", F.col("h.sig").alias("hub"), F.col("h.n").alias("hub_n")))
     pairs = written(buckets.where("kind = 1").select("sig", "n", "hub", "hub_n").unionByName(hot_pairs)
@@ -360,16 +431,16 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int
     # what a star cannot settle: classes of one bucket in different components
     at = members.join(first.withColumnRenamed("node", "sig"), "sig", "left").select(
         "token", "sig", "n", F.coalesce("component", "sig").alias("comp"))
-    sizes = at.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"))
-    largest = (sizes.groupBy("token").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
-               .where("comps > 1").select("token", F.col("top.comp").alias("top")))
-    mixed = written(at.join(largest, "token"), "shingle-mixed")
-    few = mixed.where("comp <> top").select("token", F.col("sig").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-    rest = (few.join(mixed, "token")
-            .where((F.col("comp") != F.col("xc")) & ((F.col("comp") == F.col("top")) | (F.col("x") < F.col("sig")))
-                   & (F.least("n", "xn") * den >= F.greatest("n", "xn") * num))
-            .select(F.least("x", "sig").alias("a"), F.greatest("x", "sig").alias("b")).distinct()
-            .join(pairs, ["a", "b"], "left_anti"))
+    sizes = at.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("of"))
+    mixed = (sizes.groupBy("token").agg(F.max(F.struct("m", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps"), F.sum("m").alias("m"), F.sum("of").alias("of"))
+             .where("comps > 1").groupBy("of", "m").agg(F.min(F.struct("token", "largest.comp")).alias("t"))  # buckets of the same classes: one
+             .select("t.token", F.col("t.comp").alias("top"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
+    units = (at.join(mixed, "token").withColumn("side", F.pmod(F.xxhash64("sig", F.lit("side")), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "sig", "n", "comp", "top", "side")
+             .join(marks, "sig"))
+    rest = written(units.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "sig")
+                   .mapInArrow(_units(num, den), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "shingle-rest")
     more = _compare(rest, marks, texts, k, num, den, shipped)
     classes = connected(first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
                         .unionByName(more))
