@@ -42,7 +42,7 @@ SYMBOLS = END + 1
 STATES = 8
 ITERATIONS = 5
 SEGMENT = 512
-FREQUENT = 1 << 20
+FREQUENT = 1 << 18
 SEED = 11
 #: Symbols handled at a time: in training with their forward values, in scoring without.
 TRAIN_BATCH, SCORE_BATCH = 1 << 19, 1 << 22
