@@ -19,8 +19,8 @@ Groups of copies stay linear:
   Components of these links settle most buckets;
 * only classes of one bucket that are still in different components are then
   compared, by the bound below and where it allows a link by their sets. Buckets
-  of the same classes are taken once, and those of more than ``BLOCK`` classes are
-  cut into pairs of blocks, each a unit of work of bounded size. No link between
+  with the same least class are joined into one, and those of more than ``BLOCK`` classes
+  are cut into pairs of blocks, each a unit of work of bounded size. No link between
   different components is left out, so components are exact.
 
 Before any set is shipped, a candidate must pass a bound on its overlap: each
@@ -288,7 +288,7 @@ def unsettled(sig, n, comp, top, side, marks, cell, num: int, den: int) -> list[
 
 
 def _units(num: int, den: int):
-    """Rows sorted by (token, i, j): the unsettled pairs of each unit."""
+    """Rows sorted by (anchor, i, j): the unsettled pairs of each unit."""
     def solve(cell, rows):
         sig, n, comp, top, side, marks = zip(*rows, strict=True)
         pairs = unsettled(np.array(sig), np.array(n, np.int64), np.array(comp), np.array(top), np.array(side), marks, cell, num, den)
@@ -298,7 +298,7 @@ def _units(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, rows = None, []
         for batch in batches:
-            cols = [tb.column(batch, c).to_pylist() for c in ("token", "i", "j", "sig", "n", "comp", "top", "side", "lanes")]
+            cols = [tb.column(batch, c).to_pylist() for c in ("anchor", "i", "j", "sig", "n", "comp", "top", "side", "lanes")]
             for row in zip(*cols, strict=True):
                 if row[:3] != unit:
                     if len(rows) > 1:
@@ -431,15 +431,18 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int
     # what a star cannot settle: classes of one bucket in different components
     at = members.join(first.withColumnRenamed("node", "sig"), "sig", "left").select(
         "token", "sig", "n", F.coalesce("component", "sig").alias("comp"))
-    sizes = at.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("of"))
-    mixed = (sizes.groupBy("token").agg(F.max(F.struct("m", "comp")).alias("largest"), F.count(F.lit(1)).alias("comps"), F.sum("m").alias("m"), F.sum("of").alias("of"))
-             .where("comps > 1").groupBy("of", "m").agg(F.min(F.struct("token", "largest.comp")).alias("t"))  # buckets of the same classes: one
-             .select("t.token", F.col("t.comp").alias("top"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    units = (at.join(mixed, "token").withColumn("side", F.pmod(F.xxhash64("sig", F.lit("side")), F.col("blocks")).cast("int"))
+    # buckets of one least class are taken together: those of a shared passage hold much the same classes
+    anchors = (at.groupBy("token").agg(F.min("sig").alias("anchor"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+               .where("lo <> hi").select("token", "anchor"))
+    mixed = at.join(anchors, "token").select("anchor", "sig", "n", "comp").distinct()
+    sizes = mixed.groupBy("anchor", "comp").agg(F.count(F.lit(1)).alias("m"))
+    tops = sizes.groupBy("anchor").agg(F.max(F.struct("m", "comp")).alias("t"), F.sum("m").alias("m")).select(
+        "anchor", F.col("t.comp").alias("top"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    units = (mixed.join(tops, "anchor").withColumn("side", F.pmod(F.xxhash64("sig", F.lit("side")), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "sig", "n", "comp", "top", "side")
+             .select("anchor", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "sig", "n", "comp", "top", "side")
              .join(marks, "sig"))
-    rest = written(units.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "sig")
+    rest = written(units.repartition(parts, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "sig")
                    .mapInArrow(_units(num, den), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "shingle-rest")
     more = _compare(rest, marks, texts, k, num, den, shipped)
     classes = connected(first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
