@@ -4,7 +4,8 @@ Features are byte n-grams (1 to 3 bytes of the lower-cased text, all ASCII but
 letters as blanks), hashed into ``FEATURES`` counts and weighted by inverse
 document frequency; vectors have length one. Each language gets ``CENTROIDS``
 centroids by spherical k-means; a text goes to the language of the nearest one
-by cosine, and is rejected where that cosine is below a floor of its language.
+by cosine, and is rejected where that cosine is below a floor of its language
+(texts of fewer than ``EVIDENCE`` n-grams are not).
 
 Document frequencies are counted over every labelled training text. The
 centroids are fitted on a sample chosen by a hash of doc_id: about
@@ -37,7 +38,9 @@ CENTROIDS = 4
 SAMPLE = 2000
 ROUNDS = 10
 #: Rejected below this share of the cosine that all but FLOOR_SHARE of a language's sample reach.
-FLOOR, FLOOR_SHARE = 0.5, 0.002
+FLOOR, FLOOR_SHARE = 0.4, 0.002
+#: Texts of fewer n-grams (about a third as many characters) lie far from any centroid by chance, so distance does not reject them.
+EVIDENCE = 300
 
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[:128] = 32
@@ -133,7 +136,7 @@ class Model:
         near = weighted(raw, self.idf) @ self.centres.T
         best = near.argmax(axis=1)
         score = near[np.arange(len(near)), best].astype(np.float64)
-        return [self.langs[i] for i in best], np.clip(score, 0, 1), score < self.floors[best]
+        return [self.langs[i] for i in best], np.clip(score, 0, 1), (score < self.floors[best]) & (raw.sum(axis=1) >= EVIDENCE)
 
 
 def fit(docs: DataFrame, train: Column) -> Model | None:

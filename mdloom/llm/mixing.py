@@ -99,7 +99,9 @@ def mixed(sizes: DataFrame, weight: Column | None = None, blocks: int = BLOCKS,
             .withColumn("step", F.when(F.col("blocks") % PRIMES[0] != 0, F.lit(PRIMES[0])).otherwise(F.lit(PRIMES[1])) % F.col("blocks"))
             .withColumn("shift", F.pmod(F.xxhash64("rank", F.lit(seed)), F.col("blocks")))
             .select("rank", F.col("source").alias("of"), "source_size", "target", "length", "blocks", "full", "part", "step", "shift"))
-    stream = ranked(table.withColumn("mark", F.xxhash64("doc_id", "tkey", F.lit(seed))), ["source"], ["mark", "doc_id", "tkey"],
+    # numbering joins on its group columns, so a null source is told by a flag
+    marked = table.withColumns({"mark": F.xxhash64("doc_id", "tkey", F.lit(seed)), "named": F.coalesce("source", F.lit("")), "nameless": F.col("source").isNull()})
+    stream = ranked(marked, ["named", "nameless"], ["mark", "doc_id", "tkey"],
                     seq_col="place", sum_cols={"upto": "size"})
     rows = stream.join(plan, F.col("source").eqNullSafe(F.col("of")))
     start = F.col("upto") - F.col("size")
