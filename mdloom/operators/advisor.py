@@ -50,9 +50,13 @@ NO_ISSUE = ("R00", "NONE", "NONE", "no problems detected", "no changes needed")
 
 def run_rates(runs: DataFrame) -> DataFrame:
     """The rates the rules test; NULL where the denominator is zero."""
+    return runs.select("run_id", *_rates())
+
+
+def _rates() -> list[Column]:
+    """The rates, as columns of a run's own row."""
     c = F.col
-    return runs.select(
-        "run_id",
+    return [
         F.try_divide(c("network_errors"), c("total_crawled") + c("total_failed")).alias("network_rate"),
         F.try_divide(c("content_errors"), c("total_processed")).alias("content_rate"),
         F.try_divide(c("images_failed"), c("images_downloaded") + c("images_failed")).alias("image_fail_rate"),
@@ -62,7 +66,7 @@ def run_rates(runs: DataFrame) -> DataFrame:
                F.try_divide(c("total_skipped"), c("total_crawled") + c("total_skipped"))).alias("skip_rate"),
         F.try_divide(c("network_errors") + c("content_errors") + c("fs_errors") + c("config_errors"),
                      c("total_crawled") + c("total_failed") + c("total_processed")).alias("error_rate"),
-    )
+    ]
 
 
 def _conditions(r: DataFrame) -> dict[str, Column]:
@@ -90,8 +94,7 @@ def _conditions(r: DataFrame) -> dict[str, Column]:
 
 def advisor(runs: DataFrame) -> DataFrame:
     """One row per fired rule: (run_id, rule_id, priority, category, issue, suggestion)."""
-    rates = run_rates(runs)
-    r = runs.join(rates, "run_id")
+    r = runs.select("*", *_rates())
     conds = _conditions(r)
     items = F.array(*[F.struct(F.coalesce(conds[rid], F.lit(False)).alias("fired"), F.lit(rid).alias("rule_id"),
                                F.lit(p).alias("priority"), F.lit(cat).alias("category"),

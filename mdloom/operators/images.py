@@ -60,7 +60,7 @@ def image_manifest(images: DataFrame, assets: DataFrame, image_dir: str = DEFAUL
     """S8 + P11: ``images(page_id, img_id, abs_url)`` ⋈ ``assets(url, status,
     content_type, bytes)`` → outcome and local path. A missing asset row is a
     failed download."""
-    a = assets.select(F.col("url").alias("abs_url"), "status", "content_type", "bytes")
+    a = assets.select(F.col("url").alias("abs_url"), "status", F.lower("content_type").alias("content_type"), "bytes")
     j = images.join(a, "abs_url", "left")
     ok_url = image_url_valid(F.col("abs_url"))
     outcome = (F.when(~ok_url, F.lit("invalid_url"))

@@ -77,9 +77,10 @@ def _field(path: str) -> str:
 
 
 def parse_profiles(raw: DataFrame, json_col: str = "profile_json") -> DataFrame:
-    """S3: JSON text → VARIANT; NULL or blank documents are ``{}``."""
+    """S3: JSON text → VARIANT; NULL, blank and malformed documents are ``{}``, so one bad
+    row fails on the required keys it lacks and not the whole table."""
     txt = F.when(F.coalesce(F.trim(F.col(json_col)), F.lit("")) == "", F.lit("{}")).otherwise(F.col(json_col))
-    return raw.withColumn("v", F.parse_json(txt))
+    return raw.withColumn("v", F.coalesce(F.try_parse_json(txt), F.parse_json(F.lit("{}"))))
 
 
 def _kind(v: Column, path: str) -> Column:

@@ -187,7 +187,9 @@ def q_frontier_lookup(spark, sf_dir):
     from mdloom.sources.pages import snapshot_lookup
     links, keys = _links_and_keys(spark, sf_dir)
     fr = CR.frontier_new(links, keys).select(F.col("dst_key").alias("url_key"), "dst_url")
-    snap = OU.dedup_first(page_scan(spark, sf_dir, with_html=True).select("url_key", "page_id", "html"))
+    # only whether there is html takes part, so the texts themselves are not shuffled
+    has = F.when(F.col("html").isNotNull(), F.lit("")).alias("html")
+    snap = OU.dedup_first(page_scan(spark, sf_dir, with_html=True).select("url_key", "page_id", has))
     return snapshot_lookup(fr, snap.drop("n_variants")).select("url_key", "dst_url", "page_id", "fetched")
 
 

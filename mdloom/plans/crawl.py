@@ -51,10 +51,11 @@ def closure(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "ds
 
 def frontier_new(links: DataFrame, visited_keys: DataFrame) -> DataFrame:
     """Link targets not yet visited, one row per target key; the first
-    reference (page_id, pos) supplies the URL and the priority."""
-    fresh = links.join(visited_keys.select(F.col("url_key").alias("dst_key")), "dst_key", "left_anti")
+    reference (page_id, pos) supplies the URL and the priority. Links are aggregated
+    first, so a target that every page links to is one row in the join."""
     first = F.min_by(F.struct("dst_url", "priority", "page_id", "pos"), F.struct("page_id", "pos"))
-    return (fresh.groupBy("dst_key").agg(first.alias("f"), F.count(F.lit(1)).alias("n_refs"))
+    return (links.groupBy("dst_key").agg(first.alias("f"), F.count(F.lit(1)).alias("n_refs"))
+            .join(visited_keys.select(F.col("url_key").alias("dst_key")), "dst_key", "left_anti")
             .select("dst_key", "f.dst_url", "f.priority", F.col("f.page_id").alias("first_page_id"),
                     F.col("f.pos").alias("first_pos"), "n_refs"))
 

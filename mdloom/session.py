@@ -40,8 +40,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     An already active checkpoint folder is used as-is; else the session's
-    ``spark.checkpoint.dir`` (the cluster's shared folder). Only when both are
-    unset (local tests) is one created under /tmp.
+    ``spark.checkpoint.dir`` (the cluster's shared folder). When both are unset
+    one is created under /tmp for a local master (tests); a cluster's executors
+    do not share that folder, so there it is an error.
     """
     try:
         sc = spark.sparkContext
@@ -52,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return active
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="mdloom-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     sc.setCheckpointDir(current)

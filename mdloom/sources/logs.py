@@ -46,8 +46,10 @@ def context_map(text) -> Column:
     t = F.col(text) if isinstance(text, str) else text
     tail = F.regexp_extract(t, r" \| ([^|=]+=.*)$", 1)
     pairs = F.filter(F.split(tail, r" \| "), lambda p: F.contains(p, F.lit("=")))
-    keys = F.transform(pairs, lambda p: F.substring_index(p, "=", 1))
-    vals = F.transform(pairs, lambda p: F.regexp_extract(p, r"^[^=]*=(.*)$", 1))
+    keys = F.array_distinct(F.transform(pairs, lambda p: F.substring_index(p, "=", 1)))
+    # of a repeated key the last entry holds
+    vals = F.transform(keys, lambda k: F.regexp_extract(
+        F.element_at(F.filter(pairs, lambda p: F.substring_index(p, "=", 1) == k), -1), r"^[^=]*=(.*)$", 1))
     return F.when(tail == "", F.create_map().cast("map<string,string>")) \
         .otherwise(F.map_from_arrays(keys, vals))
 

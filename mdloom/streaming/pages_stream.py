@@ -30,8 +30,16 @@ WATERMARK = "10 minutes"
 
 def _source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     schema = spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet")).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", 1000).parquet(sf_dir))
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000)
+    path = os.path.join(sf_dir, f"{table}.parquet")
+    if _is_folder(spark, path):  # a table written as part files
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
 def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,3 +215,30 @@ def test_read_logs_from_files(spark):
     assert sorted((r.logger, r.level) for r in errs) == [("markdown_converter", "CRITICAL"), ("web_crawler", "ERROR")]
     assert p.where("continuation").count() == 1
     assert {r.file.rsplit("/", 1)[-1] for r in p.select("file").distinct().collect()} == {"crawler.log", "converter.log"}
+
+
+def test_patterns_in_java_terms(spark):
+    from mdloom.functions import urls as U
+    from mdloom.operators.urls import valid_patterns
+    pats = valid_patterns([r"(?i)/SEARCH", r"(?P<a_b>x)y(?P=a_b)", r"/v\d+\Z", "(", r"a\\Zb"])
+    assert len(pats) == 4
+    df = spark.createDataFrame([("/search?q",), ("xyx",), ("/v12",), ("/v12/",), (r"a\Zb",)], "u string")
+    got = [r[0] for r in df.select(U.first_matching_pattern(F.col("u"), pats)).collect()]
+    assert [g is not None for g in got] == [True, True, True, False, True]
+
+
+def test_repeated_log_key_and_bad_profile(spark):
+    from mdloom.operators.profiles import parse_profiles
+    from mdloom.sources.logs import context_map
+    df = spark.createDataFrame([("m | url=a | n=1 | url=b=c",)], "t string")
+    assert df.select(context_map("t")).first()[0] == {"url": "b=c", "n": "1"}
+    bad = spark.createDataFrame([("p", "{bad")], "profile_id string, profile_json string")
+    assert parse_profiles(bad).select(F.to_json("v")).first()[0] == "{}"
+
+
+def test_stream_reads_a_table_folder(spark, tmp_path):
+    from mdloom.streaming.pages_stream import _source
+    spark.range(30).withColumnRenamed("id", "page_id").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+    _source(spark, str(tmp_path), "pages").writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(out).count() == 30
