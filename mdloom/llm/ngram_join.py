@@ -16,7 +16,8 @@ Groups of copies stay linear:
 * in each bucket of a prefix token, every class is first compared with one class
   of its length range only (a star), the one with the least share of rare
   tokens: of a group of edited copies, the one that the others stem from.
-  Components of these links settle most buckets;
+  Components of these links settle most buckets; a class leaves its bucket if that
+  comparison was the only one its length allows;
 * only classes of one bucket that are still in different components are then
   compared, by the bound below and where it allows a link by their sets. Buckets
   with the same least class are joined into one, and those of more than ``BLOCK`` classes
@@ -40,6 +41,7 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +54,7 @@ from mdloom.llm.common import load, text_key, written
 from mdloom.llm.components import connected
 
 HOT_TOKENS = 1 << 18
+HELD = 1 << 14
 SEEDS = (0x51ED270B76A1F3C5, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)
 HOT_BIT = np.uint64(1) << np.uint64(63)
 
@@ -155,7 +158,7 @@ def _frequent(tokens: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(k: int, num: int, den: int, shipped):
-    """(key, hot, token, sig, n, rare) for the prefix tokens of each class met in this task."""
+    """(hot, token, sig, n, rare) for the prefix tokens of each class met in this task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = shipped.value
         seen: set[int] = set()
@@ -189,8 +192,8 @@ def _prefixes(k: int, num: int, den: int, shipped):
                 rare.append(np.full(len(first), (own < HOT_BIT).mean(), np.float32))
             tok, hot_col, sig_col = tb.signed(np.concatenate(tok)), np.concatenate(hot_col), np.concatenate(sig_col)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.where(hot_col, sig_col, tok)), pa.array(hot_col), pa.array(tok), pa.array(sig_col),
-                 pa.array(np.concatenate(n_col)), pa.array(np.concatenate(rare))], ["key", "hot", "token", "sig", "n", "rare"])
+                [pa.array(hot_col), pa.array(tok), pa.array(sig_col),
+                 pa.array(np.concatenate(n_col)), pa.array(np.concatenate(rare))], ["hot", "token", "sig", "n", "rare"])
     return run
 
 
@@ -198,15 +201,31 @@ _BUCKET_NAMES = ["kind", "token", "sig", "n", "rare", "hub", "hub_n"]
 _BUCKET_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float32(), pa.int64(), pa.int32())
 
 
-def _buckets(num: int, den: int):
-    """Rows come sorted by (token, rare, n, sig). For a token of one class nothing goes out; else a row
-    per class (kind 0) and its comparison with the first class of its length range (kind 1). Hubs
-    are of different length ranges, so they are few; no bucket is held."""
+def unmet(held: list[list], num: int, den: int) -> Iterator[list]:
+    """Of a bucket's classes [sig, n, rare, met], those whose length range holds more than the ``met`` classes
+    they have been compared with (themselves included)."""
+    ns = sorted(c[1] for c in held or [])
+    for c in held or []:
+        if bisect_right(ns, c[1] * den // num) - bisect_left(ns, needed(c[1], num, den)) > c[3]:
+            yield c
+
+
+def _buckets(num: int, den: int, most: int = HELD):
+    """Rows come sorted by (token, rare, n, sig). Each class of a token is compared with the first class of its
+    length range, its hub (kind 1), and goes out (kind 0) if it may link with others of the bucket. Hubs are of
+    different length ranges, so they are few; a bucket of over ``most`` classes is not held but goes out whole."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, last, sent, hubs = None, None, False, []
+        token, last, held, hubs = None, None, [], []
+        out: list[tuple] = []
+
+        def leave():
+            out.extend((0, token, s, n, rare, None, None) for s, n, rare, _ in unmet(held, num, den))
+
+        def table():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _BUCKET_KINDS, strict=True)], _BUCKET_NAMES)
+
         for batch in batches:
             hot, tok, sig, n, rare = (tb.column(batch, c).to_numpy(zero_copy_only=False) for c in ("hot", "token", "sig", "n", "rare"))
-            out: list[tuple] = []
             rows = np.flatnonzero(hot)
             same = np.zeros(len(tok), bool)
             same[1:] = tok[1:] == tok[:-1]
@@ -217,29 +236,38 @@ def _buckets(num: int, den: int):
             near[-1:] = True  # the next batch may go on with it
             near &= ~hot
             for i in np.flatnonzero(near).tolist():
-                t, s, m = int(tok[i]), int(sig[i]), int(n[i])
+                t, s, m, r = int(tok[i]), int(sig[i]), int(n[i]), float(rare[i])
                 if t != token:
-                    token, last, sent, hubs = t, (s, m, float(rare[i])), False, [(s, m)]
-                    continue
-                if last[0] == s:
+                    leave()
+                    token, last, held, hubs = t, None, [], []
+                if last == s:
                     continue
-                if not sent:
-                    out.append((0, t, *last, None, None))
-                    sent = True
-                last = (s, m, float(rare[i]))
-                out.append((0, t, *last, None, None))
-                for hub, hub_n in hubs:
-                    if min(hub_n, m) * den >= max(hub_n, m) * num:
-                        out.append((1, None, *last, hub, hub_n))
+                last, one = s, [s, m, r, 1]
+                for hub in hubs:
+                    if min(hub[1], m) * den >= max(hub[1], m) * num:
+                        out.append((1, None, s, m, r, hub[0], hub[1]))
+                        hub[3] += 1
+                        one[3] = 2
                         break
                 else:
-                    hubs.append((s, m))
+                    hubs.append(one)
+                if held is None:
+                    out.append((0, t, s, m, r, None, None))
+                    continue
+                held.append(one)
+                if len(held) > most:
+                    out.extend((0, t, *c[:3], None, None) for c in held)
+                    held = None
             if len(rows):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(rows), 2, np.int32)), pa.array(tok[rows]), pa.array(sig[rows]), pa.array(n[rows]), pa.array(rare[rows]),
                      pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int32())], _BUCKET_NAMES)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), _BUCKET_KINDS, strict=True)], _BUCKET_NAMES)
+                yield table()
+                out.clear()
+        leave()
+        if out:
+            yield table()
     return run
 
 
@@ -407,9 +435,9 @@ def near_duplicate_classes(docs: DataFrame, k: int = 5, num: int = 80, den: int
     rows = found.where("kind = 0").select("doc_id", "tkey", "n", "sig", "lanes")
     shipped = spark.sparkContext.broadcast(_frequent(found.where("kind = 1")))
     posted = (own.select("text").where(F.col("text").isNotNull())
-              .mapInArrow(_prefixes(k, num, den, shipped), "key long, hot boolean, token long, sig long, n int, rare float"))
+              .mapInArrow(_prefixes(k, num, den, shipped), "hot boolean, token long, sig long, n int, rare float"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = written(posted.repartition(parts, "key").sortWithinPartitions("token", "rare", "n", "sig")
+    buckets = written(posted.repartition(parts, F.when(F.col("hot"), F.col("sig")).otherwise(F.col("token"))).sortWithinPartitions("token", "rare", "n", "sig")
                       .mapInArrow(_buckets(num, den), "kind int, token long, sig long, n int, rare float, hub long, hub_n int"),
                       "shingle-buckets", by="kind")
     # a frequent token's length ranges: powers of den/num

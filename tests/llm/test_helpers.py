@@ -124,6 +124,30 @@ def test_bounds_never_drop_a_link():
             assert ngram_join.may_link(ngram_join.lanes(x), ngram_join.lanes(y), 85, 100) or not true
 
 
+@pytest.mark.parametrize("most", [0, 3, 100])
+def test_buckets_leave_no_pair_uncompared(most):
+    rng = np.random.default_rng(5)
+    n_of = rng.choice([3, 40, 41, 45, 50, 60, 70, 72, 400], 30)
+    rows = []
+    for token in range(60):
+        for s in rng.choice(30, rng.integers(1, 9), replace=False).tolist():
+            rows += [(token == 7, token, s, int(n_of[s]), s / 32)] * int(rng.integers(1, 3))
+    rows.sort(key=lambda r: (r[1], r[4], r[3], r[2]))
+    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.float32())
+    table = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["hot", "token", "sig", "n", "rare"])
+    batches = [table.slice(i, 7) for i in range(0, table.num_rows, 7)]
+    found = [r for b in ngram_join._buckets(85, 100, most)(iter(batches)) for r in b.to_pylist()]
+    met = {frozenset((r["sig"], r["hub"])) for r in found if r["kind"] == 1}
+    left = [(r["token"], r["sig"]) for r in found if r["kind"] == 0]
+    assert len(left) == len(set(left))
+    for token in set(range(60)) - {7}:
+        here = {r[2] for r in rows if r[1] == token}
+        for x, y in itertools.combinations(here, 2):
+            if min(n_of[x], n_of[y]) * 100 >= max(n_of[x], n_of[y]) * 85:
+                assert frozenset((x, y)) in met or {(token, x), (token, y)} <= set(left)
+    assert sum(r["kind"] == 2 for r in found) == sum(r[0] for r in rows)
+
+
 def test_tables_for_recall():
     bits, same = 12, 1 - math.acos(0.93) / math.pi
     n = embedding_dedup.tables_for(0.93, bits, 0.99)
