@@ -34,6 +34,8 @@ from mdloom.llm import textbatch as tb
 from mdloom.llm.common import crc_mod, load
 
 FEATURES = 1 << 13
+#: Bytes whose n-grams are held at once.
+STEP = 1 << 20
 CENTROIDS = 4
 SAMPLE = 2000
 ROUNDS = 10
@@ -53,29 +55,43 @@ def counts(texts: pa.Array) -> np.ndarray:
     out = np.zeros((len(texts), FEATURES), np.float32)
     if not len(data):
         return out
-    x = _BLANK[data].astype(np.uint32)
+    x = _BLANK[data]
     keep = np.ones(len(x), bool)
     keep[1:] = (x[1:] != 32) | (x[:-1] != 32)  # blanks in a row count once
     keep[offs[:-1][offs[:-1] < len(x)]] = True
-    place = np.concatenate(([0], np.cumsum(keep)))
-    x, offs = x[keep], place[offs]
+    offs = np.concatenate(([0], np.cumsum(keep)))[offs]
+    x = x[keep]
+    at = 0
+    while at < len(texts):  # rows of about STEP bytes together; a longer row alone, in steps
+        end = max(at + 1, int(np.searchsorted(offs, offs[at] + STEP, side="right")) - 1)
+        for s in range(int(offs[at]), int(offs[end]), STEP):
+            e = min(s + STEP, int(offs[end]))
+            h = _grams(x[s:e + 2])
+            for i in range(at, end):
+                a, b, stop = max(s, int(offs[i])), min(e, int(offs[i + 1])), int(offs[i + 1])
+                if b > a:
+                    own = np.concatenate([g[a - s:max(a, min(b, stop - n)) - s] for n, g in enumerate(h)])
+                    out[i] += np.bincount(own, minlength=FEATURES)
+        at = end
+    return out
+
+
+def _grams(x: np.ndarray) -> list[np.ndarray]:
+    """The features of the 1, 2 and 3 bytes from each place on (the last places lack the longer ones)."""
+    x = x.astype(np.uint32)
     shift = 32 - (FEATURES.bit_length() - 1)
     two = np.zeros(len(x), np.uint32)
     two[:-1] = (x[:-1] << 8 | x[1:]) + (1 << 16)
     three = np.zeros(len(x), np.uint32)
     three[:-2] = (x[:-2] << 16 | x[1:-1] << 8 | x[2:]) + (1 << 25)
-    h = [(g * np.uint32(0x9E3779B1)) >> np.uint32(shift) for g in (x, two, three)]
-    for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
-        if b > a:
-            own = np.concatenate([g[a:max(a, b - n)] for n, g in enumerate(h)])
-            out[i] = np.bincount(own, minlength=FEATURES)
-    return out
+    return [(g * np.uint32(0x9E3779B1)) >> np.uint32(shift) for g in (x, two, three)]
 
 
 def weighted(raw: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = raw * idf
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    return x / np.where(norm > 0, norm, 1)
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    x /= np.where(norm > 0, norm, 1)
+    return x
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,6 +127,7 @@ def _fit(idf: np.ndarray):
         for i, (a, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
             raw[i, np.frombuffer(a, np.int32)] = np.frombuffer(n, np.float32)
         x = weighted(raw, idf)
+        del raw, rows["at"], rows["n"]
         k = min(CENTROIDS, len(x))
         picked = [0]  # start: each next centre is the row furthest from those so far
         best = x @ x[0]
@@ -120,7 +137,8 @@ def _fit(idf: np.ndarray):
         centres = x[picked]
         for _ in range(ROUNDS):
             own = (x @ centres.T).argmax(axis=1)
-            sums = np.stack([x[own == j].sum(axis=0) if (own == j).any() else centres[j] for j in range(k)])
+            member = (own == np.arange(k)[:, None]).astype(np.float32)
+            sums = np.where(member.any(axis=1)[:, None], member @ x, centres)
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
             centres = sums / np.where(norm > 0, norm, 1)
         floor = FLOOR * float(np.quantile((x @ centres.T).max(axis=1), FLOOR_SHARE))
