@@ -36,6 +36,8 @@ from mdloom.llm.common import crc_mod, load
 FEATURES = 1 << 13
 #: Bytes whose n-grams are held at once.
 STEP = 1 << 20
+#: Texts whose counts are held at once.
+ROWS = 128
 CENTROIDS = 4
 SAMPLE = 2000
 ROUNDS = 10
@@ -87,8 +89,9 @@ def _grams(x: np.ndarray) -> list[np.ndarray]:
     return [(g * np.uint32(0x9E3779B1)) >> np.uint32(shift) for g in (x, two, three)]
 
 
-def weighted(raw: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = raw * idf
+def weighted(raw: np.ndarray, idf: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Rows of length one; ``out`` may be ``raw`` itself."""
+    x = np.multiply(raw, idf, out=out)
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
     x /= np.where(norm > 0, norm, 1)
     return x
@@ -106,8 +109,8 @@ def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in tb.pieces(batches, "text"):
-        for at in range(0, part.num_rows, 512):
-            yield part.slice(at, 512)
+        for at in range(0, part.num_rows, ROWS):
+            yield part.slice(at, ROWS)
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +129,8 @@ def _fit(idf: np.ndarray):
         raw = np.zeros((len(rows), FEATURES), np.float32)
         for i, (a, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
             raw[i, np.frombuffer(a, np.int32)] = np.frombuffer(n, np.float32)
-        x = weighted(raw, idf)
-        del raw, rows["at"], rows["n"]
+        del rows["at"], rows["n"]
+        x = weighted(raw, idf, out=raw)
         k = min(CENTROIDS, len(x))
         picked = [0]  # start: each next centre is the row furthest from those so far
         best = x @ x[0]
@@ -142,6 +145,8 @@ def _fit(idf: np.ndarray):
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
             centres = sums / np.where(norm > 0, norm, 1)
         floor = FLOOR * float(np.quantile((x @ centres.T).max(axis=1), FLOOR_SHARE))
+        del x, raw
+        tb.release()
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "centroid": range(k), "vector": [c.astype(np.float32).tobytes() for c in centres], "floor": floor})
     return run
 

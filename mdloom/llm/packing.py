@@ -34,6 +34,8 @@ from mdloom.llm.tokenwords import encoder, tokenizer_path
 GROUP = 20_000
 FAN_IN = 4
 ROUNDS = 3
+#: Bytes of text tokenised at once.
+STEP = 1 << 20
 #: A sequence with less room than this share of its capacity is final.
 NEARLY = 0.002
 _ROW = "home long, bin long, done boolean, doc_id long, piece int, start long, length int, ids_crc32 long, offset long"
@@ -43,7 +45,7 @@ def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         end = np.array([end_id], "<u4")
-        for part in tb.pieces(batches, "text"):
+        for part in tb.pieces(batches, "text", STEP):
             ids, counts = enc.encode(*tb.text_buffer(tb.column(part, "text")))
             docs, out, at = tb.column(part, "doc_id").to_pylist(), [], 0
             for doc, n in zip(docs, counts.tolist(), strict=True):
@@ -105,6 +107,7 @@ def _round(capacity: int, level: int):
         new[by], place[by] = bins, places
         done = np.asarray(room, np.int64)[new] < least
         home = int(key[0])
+        tb.release()
         return pd.DataFrame({
             "home": home, "bin": (np.int64(level) << 58) | (np.int64(home) << 26) | new[item], "done": done[item],
             "doc_id": rows["doc_id"].astype("Int64"), "piece": rows["piece"], "start": rows["start"], "length": rows["length"],

@@ -10,6 +10,7 @@ in proportion to its number of words, not a multiple of its bytes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -166,8 +167,21 @@ def shingle_sets(w: Words, k: int) -> Iterator[np.ndarray]:
             yield np.empty(0, U64)
 
 
+#: Only glibc has it.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give what finished work left in this worker's pools back to the system: Spark keeps
+    workers for later tasks, and their free memory counts against the executor's."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], name: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts hold about ``most`` bytes (a longer text alone)."""
+    release()
     for batch in batches:
         _, offs = text_buffer(column(batch, name))
         at, n = 0, batch.num_rows
@@ -175,6 +189,7 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str, most: int = 1 << 22) ->
             end = max(at + 1, int(np.searchsorted(offs, offs[at] + most, side="right")) - 1)
             yield batch.slice(at, end - at)
             at = end
+    release()
 
 
 def signed(x: np.ndarray) -> np.ndarray:
