@@ -25,6 +25,9 @@ from mdloom.streaming import pages_stream as ST
 SCOPE_PREFIX = "https://"
 # state snapshot cadence (pages) of the default profile
 SNAPSHOT_EVERY = 10
+# kinds and HTTP states that failed attempts are given in turn
+FAILURE_KINDS = ["timeout", "connection", "request", "http", "unexpected"]
+FAILURE_STATUS = [404, 429, 403, 500, 502, 503, 504]
 # ----------------------------------------------------------------------------
 
 
@@ -200,11 +203,11 @@ def q_frontier_order(spark, sf_dir):
 
 
 def q_url_inventory(spark, sf_dir):
-    return CR.url_inventory(page_scan(spark, sf_dir))
+    return CR.url_inventory(OU.dedup_first(page_scan(spark, sf_dir)))
 
 
 def q_snapshot_points(spark, sf_dir):
-    return CR.snapshot_points(page_scan(spark, sf_dir), SNAPSHOT_EVERY)
+    return CR.snapshot_points(OU.dedup_first(page_scan(spark, sf_dir)), SNAPSHOT_EVERY)
 
 
 def _closure(spark, sf_dir, scoped: bool):
@@ -228,10 +231,14 @@ def q_crawl_order(spark, sf_dir):
     return ranked(_closure(spark, sf_dir, True), [], ["depth", "node"], seq_col="crawl_seq")
 
 
+def _scoped_links(spark, sf_dir):
+    """Nav links, each with its page's origin as the scope."""
+    parsed = C.parsed_pages(spark, sf_dir).withColumn("scope_prefix", F.concat(U.origin_of("url"), F.lit("/")))
+    return C.links(parsed, keep=["scope_prefix"])
+
+
 def _site_crawl(spark, sf_dir):
-    parsed = C.parsed_pages(spark, sf_dir)
-    scope = F.concat(U.origin_of("url"), F.lit("/")).alias("scope_prefix")
-    links = C.links(parsed).join(parsed.select("page_id", scope), "page_id")
+    links = _scoped_links(spark, sf_dir)
     pages = page_scan(spark, sf_dir).select("page_id", "url", "url_key", "host")
     seeds = pages.groupBy("host").agg(F.min("page_id").alias("node")).select("node")
     return CR.site_crawl(links, pages, seeds, U.DEFAULT_EXCLUDE_PATTERNS), pages
@@ -271,12 +278,26 @@ def q_crawl_stats(spark, sf_dir):
 
 def q_backoff_schedule(spark, sf_dir):
     """Delay before the retry that follows each failed attempt (k = failures
-    of the URL so far, 0-based)."""
-    a = OA.auto_skip(attempts_from_events(spark, sf_dir)).where("failed")
+    of the URL so far, 0-based). Successes don't count, so they go before the ranking."""
+    a = OA.auto_skip(attempts_from_events(spark, sf_dir).where("failed"))
     return a.select("attempt_id", "url_id", "prior_failures",
                     OA.backoff_delay(F.col("prior_failures")).alias("retry_delay"))
 
 
+def q_fetch_classify(spark, sf_dir):
+    """Outcome class of every attempt. The log only tells failures from
+    successes, so the kind of a failure and its HTTP status follow from its id."""
+    a = attempts_from_events(spark, sf_dir)
+    nth = lambda values, by: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(by, F.lit(len(values))) + 1).cast("int"))
+    outcome = F.when(~F.col("failed"), F.lit("ok")).otherwise(nth(FAILURE_KINDS, F.col("attempt_id")))
+    a = a.select("attempt_id", outcome.alias("outcome"))
+    status = (F.when(F.col("outcome") == "ok", F.lit(200))
+              .when(F.col("outcome") == "http", nth(FAILURE_STATUS, F.floor(F.col("attempt_id") / len(FAILURE_KINDS)))))
+    a = a.withColumn("status", status)
+    return a.select("attempt_id", "outcome", "status", OA.classify_fetch("outcome", "status").alias("c")).select(
+        "attempt_id", "outcome", "status", "c.*")
+
+
 def q_throughput(spark, sf_dir):
     """T4 (batch form): successful fetches per minute."""
     a = attempts_from_events(spark, sf_dir).where(~F.col("failed"))
@@ -320,15 +341,10 @@ def q_advisor_report(spark, sf_dir):
 
 
 def q_crawl_progress(spark, sf_dir):
-    """Per site, in crawl order, pages processed so far and the progress
-    total = processed + links discovered so far (the queue grows by every
-    enqueued link; snapshot links never hit another page, so none is popped)."""
-    p = C.parsed_pages(spark, sf_dir)
-    per_page = p.select("host", "page_id", F.size(C.valid_nav_links(F.col("nodes"))).alias("n_links"))
-    r = ranked(per_page, ["host"], ["page_id"], seq_col="processed", sum_cols={"links_found": "n_links"},
-               stage_input=True)
-    return r.select("host", "page_id", "processed", "links_found",
-                    (F.col("processed") + F.col("links_found")).alias("total"))
+    """Per site, in crawl order, pages processed so far and the total shown
+    with each (processed + queued at that moment)."""
+    pages = OU.dedup_first(page_scan(spark, sf_dir))
+    return CR.crawl_progress(_scoped_links(spark, sf_dir), pages, U.DEFAULT_EXCLUDE_PATTERNS)
 
 
 def q_page_priority(spark, sf_dir):
@@ -400,6 +416,13 @@ def q_log_context(spark, sf_dir):
                     F.col("ctx")["url"].alias("url"), LG.level_rank("level").alias("level_rank"))
 
 
+def q_log_tail(spark, sf_dir):
+    """The last 50 lines of the crawler log."""
+    from mdloom.sources import logs as LG
+    t = LG.log_tail(_attempt_logs(spark, sf_dir))
+    return t.select(F.col("ctx")["attempt"].cast("long").alias("attempt_id"), "level", F.col("ctx")["url"].alias("url"))
+
+
 # ---------------------------------------------------------------- streaming
 def q_stream_pages(spark, sf_dir):
     """Pages with a new URL key, run incrementally (availableNow) into a
@@ -456,6 +479,7 @@ QUERIES = {
     "top_failures": q_top_failures,
     "crawl_stats": q_crawl_stats,
     "backoff_schedule": q_backoff_schedule,
+    "fetch_classify": q_fetch_classify,
     "throughput": q_throughput,
     "error_union": q_error_union,
     "error_summary": q_error_summary,
@@ -472,6 +496,7 @@ QUERIES = {
     "profile_checksum": q_profile_checksum,
     "log_stats": q_log_stats,
     "log_context": q_log_context,
+    "log_tail": q_log_tail,
     "stream_pages": q_stream_pages,
     "stream_failures": q_stream_failures,
 }

@@ -26,11 +26,7 @@ def closure(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "ds
     remove out-of-scope edges beforehand. Returns (node, depth)."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
-    # edges are written once, hash-partitioned by source: every level then
-    # shuffles only the frontier (or broadcasts it when AQE sees it is small)
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    e = (edges.select(F.col(src).alias("_src"), F.col(dst).alias("node")).where(F.col("node").isNotNull())
-         .distinct().repartition(n_parts, "_src").checkpoint())
+    e = _by_source(edges.select(F.col(src).alias("_src"), F.col(dst).alias("node")).where(F.col("node").isNotNull()).distinct())
     frontier = seeds.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     levels = [frontier]
     depth = 0
@@ -49,6 +45,20 @@ def closure(edges: DataFrame, seeds: DataFrame, src: str = "src", dst: str = "ds
     return reduce(DataFrame.unionByName, levels)
 
 
+def _by_source(edges: DataFrame) -> DataFrame:
+    """The edges, written once and hash-partitioned by ``_src``: a level then shuffles
+    only its frontier. An adaptive plan forgets the partitioning of what it
+    checkpoints, so this one write is planned without it."""
+    spark = edges.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return edges.repartition(n_parts, "_src").checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def frontier_new(links: DataFrame, visited_keys: DataFrame) -> DataFrame:
     """Link targets not yet visited, one row per target key; the first
     reference (page_id, pos) supplies the URL and the priority. Links are aggregated
@@ -79,16 +89,49 @@ def frontier_order(frontier: DataFrame, host_col: str = "host") -> DataFrame:
 
 
 def url_inventory(pages: DataFrame) -> DataFrame:
-    """Numbered list of collected URLs per site (crawl order = page_id)."""
+    """Numbered list of collected URLs per site (crawl order = page_id). ``pages``
+    has one row per URL key: a later spelling of a visited URL is skipped, not listed."""
     return ranked(pages.select("host", "page_id", "url"), ["host"], ["page_id"], seq_col="n")
 
 
 def snapshot_points(pages: DataFrame, every: int) -> DataFrame:
-    """State snapshots every ``every`` fetched pages per site; ``redo`` counts
-    the pages after the last snapshot (work repeated after a crash)."""
+    """State snapshots every ``every`` fetched pages per site (one row per URL
+    key); ``redo`` counts the pages since the last snapshot, the work repeated if
+    the run ends right after this page."""
     r = ranked(pages.select("host", "page_id"), ["host"], ["page_id"], seq_col="n")
     return (r.withColumn("snapshot", (F.col("n") % every) == 0)
-            .withColumn("snapshot_no", (F.col("n") / every).cast("long")))
+            .withColumn("snapshot_no", (F.col("n") / every).cast("long"))
+            .withColumn("redo", F.col("n") % every))
+
+
+def crawl_progress(links: DataFrame, pages: DataFrame, patterns: list[str]) -> DataFrame:
+    """Per site, in crawl order, the number of pages processed and the total
+    shown with each: processed + URLs queued at that moment.
+
+    ``pages`` has one row per URL key; ``links`` needs (page_id, dst_url, dst_key,
+    scope_prefix). Queued are the links of earlier pages that pass the scope and
+    the exclude patterns and were not visited when found, repeats counted, less
+    one for each page so far that was taken from the queue."""
+    from mdloom.functions import urls as U
+    from mdloom.operators.urls import valid_patterns
+    p = pages.select("page_id", "host", "url_key")
+    found = links.where(U.allowed_prefix(F.col("dst_url"), F.col("scope_prefix"))
+                        & ~F.coalesce(U.any_pattern(F.col("dst_url"), valid_patterns(patterns)), F.lit(False)))
+    target = p.select(F.col("url_key").alias("dst_key"), F.col("page_id").alias("dst"))
+    queued = (found.select("page_id", "dst_key").join(p.select("page_id"), "page_id", "left_semi")
+              .join(target, "dst_key", "left").where(F.col("dst").isNull() | (F.col("dst") > F.col("page_id"))))
+    # links found by a page, and a mark on every page that an earlier one has queued: one aggregate
+    marks = queued.select(F.explode(F.array(
+        F.struct(F.col("page_id").alias("page_id"), F.lit(1).alias("n"), F.lit(0).alias("popped")),
+        F.struct(F.col("dst").alias("page_id"), F.lit(0).alias("n"), F.lit(1).alias("popped")))).alias("m")).select("m.*")
+    per_page = marks.where("page_id IS NOT NULL").groupBy("page_id").agg(
+        F.sum("n").alias("n"), F.max("popped").alias("popped"))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    rows = p.join(per_page, "page_id", "left").select("host", "page_id", z("n"), z("popped"))
+    r = ranked(rows, ["host"], ["page_id"], seq_col="processed", sum_cols={"_found": "n", "_popped": "popped"},
+               stage_input=True)
+    return (r.withColumn("queued", F.col("_found") - F.col("n") - F.col("_popped"))
+            .select("host", "page_id", "processed", "queued", (F.col("processed") + F.col("queued")).alias("total")))
 
 
 def crawl_edges(links: DataFrame, pages: DataFrame, patterns) -> tuple[DataFrame, DataFrame]:

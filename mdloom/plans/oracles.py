@@ -99,6 +99,11 @@ def _with(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+#: One row per URL key: the page visited first.
+_FIRSTS = f""",
+  firsts AS (SELECT page_id, url, {HOST} AS host, scheme || '://' || netloc || '/' AS scope, {KEY} AS url_key FROM pp
+             QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY page_id) = 1)"""
+
 ORACLES: dict[str, str] = {
     "page_scan": _with(PAGES_P, f"SELECT page_id, url, {HOST} AS host, CAST(length(html) AS INTEGER) AS n_chars FROM pp"),
     "url_normalize": _with(PAGES_P, f"SELECT page_id, url, {KEY} AS url_key FROM pp"),
@@ -191,9 +196,9 @@ ORACLES.update({
   fh2 AS (SELECT *, {HOST} AS host FROM fh)""",
         "SELECT host, row_number() OVER (PARTITION BY host ORDER BY priority, first_page_id, first_pos, dst_key) AS pop_seq, "
         "dst_key, dst_url, priority FROM fh2"),
-    "url_inventory": _with(PAGES_P, f"SELECT {HOST} AS host, page_id, url, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) AS n FROM pp"),
-    "snapshot_points": _with(PAGES_P + f", s AS (SELECT {HOST} AS host, page_id, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) AS n FROM pp)",
-                             "SELECT host, page_id, n, n % 10 = 0 AS snapshot, n // 10 AS snapshot_no FROM s"),
+    "url_inventory": _with(PAGES_P + _FIRSTS, "SELECT host, page_id, url, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM firsts"),
+    "snapshot_points": _with(PAGES_P + _FIRSTS + ", s AS (SELECT host, page_id, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM firsts)",
+                             "SELECT host, page_id, n, n % 10 = 0 AS snapshot, n // 10 AS snapshot_no, n % 10 AS redo FROM s"),
     "crawl_closure": _closure_sql(True),
     "crawl_closure_all": _closure_sql(False),
     "crawl_order": "WITH c AS (" + _closure_sql(True) + ") SELECT node, depth, row_number() OVER (ORDER BY depth, node) AS crawl_seq FROM c",
@@ -304,12 +309,34 @@ ORACLES.update({
 _KW = ("CASE WHEN lower(title) SIMILAR TO '.*(index|overview|introduction|getting-started).*' THEN {h} "
        "WHEN lower(title) SIMILAR TO '.*(appendix|reference|changelog|history).*' THEN {l} ELSE {n} END")
 ORACLES.update({
-    "crawl_progress": _with(PAGES_P + f""",
-  c AS (SELECT {HOST} AS host, page_id,
-               len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]+"')) AS n_links FROM pp)""",
-        """SELECT host, page_id, row_number() OVER w AS processed, CAST(sum(n_links) OVER w AS BIGINT) AS links_found,
-                  CAST(row_number() OVER w + sum(n_links) OVER w AS BIGINT) AS total
-           FROM c WINDOW w AS (PARTITION BY host ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""),
+    # a queue entry: a valid link whose target no page up to the one holding it has visited
+    "crawl_progress": _with(LINKS_CTE + _FIRSTS + """,
+  entries AS (SELECT f.host, l.page_id, l.dst_key FROM links l JOIN firsts f ON f.page_id = l.page_id
+              WHERE starts_with(l.dst_url, f.scope)
+                AND NOT regexp_matches(l.dst_url, '.*#.*') AND NOT regexp_matches(l.dst_url, '.*/search\\.html')
+                AND NOT regexp_matches(l.dst_url, '.*/genindex\\.html')
+                AND NOT EXISTS (SELECT 1 FROM firsts v WHERE v.url_key = l.dst_key AND v.page_id <= l.page_id)),
+  added AS (SELECT page_id, count(*) AS n FROM entries GROUP BY page_id),
+  c AS (SELECT f.host, f.page_id, coalesce(a.n, 0) AS n,
+               CASE WHEN EXISTS (SELECT 1 FROM entries e WHERE e.dst_key = f.url_key AND e.page_id < f.page_id) THEN 1 ELSE 0 END AS popped
+        FROM firsts f LEFT JOIN added a ON a.page_id = f.page_id),
+  q AS (SELECT host, page_id, row_number() OVER (PARTITION BY host ORDER BY page_id) AS processed,
+               coalesce(sum(n) OVER (PARTITION BY host ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+               - sum(popped) OVER (PARTITION BY host ORDER BY page_id) AS queued FROM c)""",
+        "SELECT host, page_id, processed, CAST(queued AS BIGINT) AS queued, CAST(processed + queued AS BIGINT) AS total FROM q"),
+    "fetch_classify": """WITH o AS (SELECT event_id AS attempt_id, CASE WHEN event_type = 'error' THEN
+           list_extract(['timeout', 'connection', 'request', 'http', 'unexpected'], CAST(event_id % 5 + 1 AS INTEGER)) ELSE 'ok' END AS outcome FROM events),
+  s AS (SELECT *, CASE outcome WHEN 'ok' THEN 200 WHEN 'http' THEN
+           list_extract([404, 429, 403, 500, 502, 503, 504], CAST((event_id_5 % 7) + 1 AS INTEGER)) END AS status
+        FROM (SELECT *, attempt_id // 5 AS event_id_5 FROM o))
+        SELECT attempt_id, outcome, CAST(status AS INTEGER) AS status,
+               CASE WHEN outcome <> 'ok' THEN 'network_error' END AS error_type,
+               CASE WHEN outcome IN ('timeout', 'connection', 'request') THEN 'MEDIUM'
+                    WHEN outcome = 'http' THEN CASE WHEN status IN (429, 500, 502, 503, 504) THEN 'MEDIUM' ELSE 'LOW' END
+                    WHEN outcome = 'unexpected' THEN 'HIGH' END AS severity,
+               CASE WHEN outcome IN ('timeout', 'connection', 'request') THEN true
+                    WHEN outcome = 'http' THEN status IN (429, 500, 502, 503, 504)
+                    WHEN outcome = 'unexpected' THEN false END AS retry FROM s""",
     "page_priority": f"""WITH t AS (SELECT page_id, url, trim({_decode("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title FROM pages)
         SELECT page_id, url, title, {_KW.format(h="'high'", l="'low'", n="'none'")} AS keyword,
                CAST(greatest(0, 10 + (length(url) - length(replace(url, '/', ''))) - 3 + {_KW.format(h=-5, l=5, n=0)}) AS INTEGER) AS priority
@@ -317,6 +344,12 @@ ORACLES.update({
     "log_stats": _with(PAGES_P + f", pk AS (SELECT page_id FROM pp)",
         """SELECT 'web_crawler' AS logger, CASE WHEN event_type = 'error' THEN 'WARNING' ELSE 'INFO' END AS level, count(*) AS n
            FROM events e JOIN pk ON e.user_id = pk.page_id GROUP BY ALL"""),
+    "log_tail": _with(PAGES_P + """,
+  l AS (SELECT event_id AS attempt_id, pp.url, CASE WHEN event_type = 'error' THEN 'WARNING' ELSE 'INFO' END AS level,
+               CASE WHEN event_type = 'error' THEN 'fetch failed - retry' ELSE 'fetched' END AS message, strftime(ts, '%Y-%m-%d %H:%M:%S') AS secs
+        FROM events e JOIN pp ON e.user_id = pp.page_id)""",
+        """SELECT attempt_id, level, url FROM l
+           ORDER BY secs DESC, concat(level, ' - ', message, ' | url=', url, ' | attempt=', attempt_id) DESC LIMIT 50"""),
     "log_context": _with(PAGES_P,
         """SELECT e.event_id AS attempt_id, CASE WHEN event_type = 'error' THEN 'fetch failed - retry' ELSE 'fetched' END AS message,
                   pp.url, CASE WHEN event_type = 'error' THEN 30 ELSE 20 END AS level_rank

@@ -57,9 +57,10 @@ def site_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("status") == "success").alias("total_success"),
         F.count_if(F.col("status") == "failed").alias("convert_failed"),
         F.count_if(F.col("error_severity").isNotNull()).alias("content_errors"))
-    att = site_attempts(spark, sf_dir)
-    per_url = att.groupBy("host", "url_id").agg(F.count_if("failed").alias("f"),
-                                                 F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    # attempts are counted per URL before the join, so a URL fetched very often is one row in it
+    per_url = (attempts_from_events(spark, sf_dir).groupBy("url_id")
+               .agg(F.count_if("failed").alias("f"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+               .join(page_scan(spark, sf_dir).select(F.col("page_id").alias("url_id"), "host"), "url_id"))
     att_side = per_url.groupBy("host").agg(
         F.sum("f").alias("total_failed"),
         F.count_if(F.col("f") >= DEFAULT_SKIP_AFTER).alias("auto_skipped"),

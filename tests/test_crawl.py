@@ -181,3 +181,33 @@ def test_run_profiles_two_sites(spark):
     md = {r.page_id: r.markdown for r in out["documents"].collect()}
     assert md == {0: "A0\n", 1: "A1\n", 3: "B0\n", 4: "B1\n"}
     assert {r.profile_id for r in out["rejected"].collect()} == {"bad"}
+
+
+def test_progress_counts_the_queue(spark):
+    # page 0 queues b, c and x; page 1 (b) queues c again, not the visited a; page 2 (c) finds x
+    pages = spark.createDataFrame([(0, "h", "https://h/a"), (1, "h", "https://h/b"), (2, "h", "https://h/c"), (5, "i", "https://i/")],
+                                  "page_id long, host string, url_key string")
+    links = spark.createDataFrame(
+        [(0, "https://h/b"), (0, "https://h/c"), (0, "https://h/x"), (0, "https://h/search.html"), (0, "https://other/y"),
+         (1, "https://h/c"), (1, "https://h/a"), (2, "https://h/x"), (9, "https://h/z")], "page_id long, dst_url string") \
+        .select("page_id", "dst_url", F.col("dst_url").alias("dst_key"), F.lit("https://h/").alias("scope_prefix"))
+    got = {r.page_id: (r.processed, r.queued, r.total) for r in CR.crawl_progress(links, pages, [r".*/search\.html"]).collect()}
+    assert got == {0: (1, 0, 1), 1: (2, 2, 4), 2: (3, 2, 5), 5: (1, 0, 1)}
+
+
+def test_inventory_and_snapshots(spark):
+    pages = spark.range(7).select(F.col("id").alias("page_id"), F.lit("h").alias("host"), F.lit("u").alias("url"))
+    got = [(r.n, r.snapshot, r.snapshot_no, r.redo) for r in CR.snapshot_points(pages, 3).orderBy("n").collect()]
+    assert got == [(1, False, 0, 1), (2, False, 0, 2), (3, True, 1, 0), (4, False, 1, 1), (5, False, 1, 2), (6, True, 2, 0), (7, False, 2, 1)]
+
+
+def test_closure_edges_keep_their_partitioning(spark):
+    edges = CR._by_source(spark.range(100).select(F.col("id").alias("_src"), (F.col("id") + 1).alias("node")))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = spark.range(5).select(F.col("id").alias("_src")).join(edges, "_src")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("Exchange hashpartitioning") == 1, plan
