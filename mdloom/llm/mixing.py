@@ -14,6 +14,9 @@ All steps are DataFrame operations.
    other along a seeded permutation of the stream's blocks, which starts again once all
    are drawn. A document is taken with the words it has in drawn blocks, once per pass.
 
+``as_mixed`` returns whole documents: shares taken of them are rounded without
+bias, so that each source keeps its sum (see ``rounded``).
+
 The stream order of a source is numbered by range partitions and offsets, so a
 source that holds a third of all rows spans many tasks. The number of sources
 is taken to be far smaller than that of documents; quotients are BLOCKS + 16 per source at most.
@@ -39,6 +42,11 @@ SEED = 17
 PASSES = 3
 #: Multipliers of the seeded permutation: primes, of which the first that does not divide the number of blocks is used.
 PRIMES = (1_000_003, 2_147_483_647)
+#: Shares of documents are summed as whole numbers of 2**-ONE_BITS, so that every task gets the same sums.
+ONE_BITS = 20
+ONE = 1 << ONE_BITS
+#: Stands for a null doc_id in joins.
+NO_ID = -(1 << 63)
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
@@ -116,16 +124,46 @@ def mixed(sizes: DataFrame, weight: Column | None = None, blocks: int = BLOCKS,
     return rows.select("doc_id", "tkey", "source", "size", "source_size", "target", taken.alias("taken")), per_shard
 
 
+def rounded(found: DataFrame) -> DataFrame:
+    """(_id, _tkey, _of, _rows, _times): how often the mix takes each document whole.
+
+    Equal rows of a source are one document with ``_rows`` rows. Along each source's documents in the
+    order of their sizes, the share taken / size is summed up from a seeded start, and a document is
+    taken once for each whole number that the sum passes. So each is taken its share on average, rounded
+    up or down, and the words of a source differ from those taken by less than two of its longest documents.
+    """
+    share = F.round(F.col("t").cast("double") / F.col("size") * ONE).cast("long")
+    units = (found.where("size > 0").groupBy("doc_id", "tkey", "source").agg(F.sum("taken").alias("t"), F.first("size").alias("size"), F.count(F.lit(1)).alias("_rows"))
+             .withColumns({"share": share, "mark": F.xxhash64("doc_id", "tkey", F.lit(SEED)), "named": F.coalesce("source", F.lit("")), "nameless": F.col("source").isNull()}))
+    along = ranked(units, ["named", "nameless"], ["size", "mark", "doc_id", "tkey"], seq_col="place", sum_cols={"upto": "share"})
+    upto = F.col("upto") + F.pmod(F.xxhash64("named", "nameless", F.lit(SEED)), F.lit(ONE))
+    return along.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("tkey").alias("_tkey"), F.col("source").alias("_of"), "_rows",
+                        (F.shiftright(upto, ONE_BITS) - F.shiftright(upto - F.col("share"), ONE_BITS)).cast("int").alias("_times")).where("_times > 0")
+
+
 def as_mixed(docs: DataFrame, weight: Column | None = None) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it: taken / size, rounded, so 0 to PASSES times."""
+    """The rows of docs, each 0 to PASSES times, so that the words of each source come to those taken."""
     cols = docs.columns
-    least = F.lit(-(1 << 63))
     found, _ = mixed(sizes_of(docs), weight)
-    times = (found.groupBy(F.coalesce("doc_id", least).alias("_id"), F.col("tkey").alias("_tkey"))
-             .agg(F.sum("taken").alias("t"), F.sum("size").alias("n")).where("n > 0")
-             .select("_id", "_tkey", F.round(F.col("t") / F.col("n")).cast("int").alias("_times")).where("_times > 0"))
-    rows = docs.withColumns({"_id": F.coalesce("doc_id", least), "_tkey": text_key()}).join(times, ["_id", "_tkey"])
-    return rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[f"`{c}`" for c in cols])
+    times = written(rounded(found), "mix-times")
+    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NO_ID)), "_tkey": text_key()})
+
+    def emitted(rows: DataFrame, n: Column) -> DataFrame:
+        return (rows.withColumn("_n", n.cast("int")).where("_n > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+                .select(*[f"`{c}`" for c in cols]))
+
+    def joined(part: DataFrame) -> DataFrame:
+        return keyed.join(part.withColumnsRenamed({"_id": "_i", "_tkey": "_t"}),
+                          (F.col("_id") == F.col("_i")) & (F.col("_tkey") == F.col("_t")) & F.col("source").eqNullSafe(F.col("_of")))
+
+    uneven = times.where(F.col("_times") % F.col("_rows") != 0)
+    if uneven.isEmpty():
+        return emitted(joined(times), F.col("_times") / F.col("_rows"))
+    # of equal rows, the first _times % _rows are taken once more
+    even = emitted(joined(times.where(F.col("_times") % F.col("_rows") == 0)), F.col("_times") / F.col("_rows"))
+    row = joined(uneven).withColumns({"_mark": F.xxhash64(*[f"`{c}`" for c in cols]), "_o": F.coalesce("_of", F.lit("")), "_null": F.col("_of").isNull()})
+    placed = ranked(row, ["_id", "_tkey", "_o", "_null"], ["_mark"], seq_col="_place")
+    return even.unionByName(emitted(placed, F.floor(F.col("_times") / F.col("_rows")) + (F.col("_place") <= F.col("_times") % F.col("_rows")).cast("int")))
 
 
 def q_op2(spark: SparkSession, sf_dir: str) -> DataFrame:

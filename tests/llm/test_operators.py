@@ -95,6 +95,30 @@ def test_mix(docs, nothing):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_mixed_documents_come_to_their_targets(spark):
+    data, at = [], 0
+    for source, n in (("a", 1500), ("b", 200), ("c", 60), (None, 400), ("d", 25)):
+        for i in range(n):
+            data.append((at, " ".join(f"v{at}x{j}" for j in range(1 + (i * 37) % 150)), "en", source, i))
+            at += 1
+    data += [(None, "same words here", "en", "a", i) for i in range(40)] + [(at, "", "en", "a", 0), (at, None, "en", "b", 0)]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    goal = {r.source: r for r in mixing.targets(mixing.sizes_of(table)).collect()}
+    got = mixing.as_mixed(table).collect()
+    assert got[0].__fields__ == table.columns
+    for source, r in goal.items():
+        words_out = sum(len(words(g.text)) for g in got if g.source == source)
+        assert abs(words_out - r.target) <= 2 * 150 + 0.01 * r.target, (source, words_out, r.target)
+    assert min(r.target / r.source_size for r in goal.values()) < 0.3 and max(r.target / r.source_size for r in goal.values()) == 3.0
+    a, taken = goal["a"], {}
+    for g in got:
+        taken[g.doc_id, g.n_chars] = taken.get((g.doc_id, g.n_chars), 0) + 1
+    assert max(taken.values()) <= 3 and all(len(words(g.text)) for g in got)
+    same = sum(n for (i, _), n in taken.items() if i is None)
+    assert abs(same - 40 * a.target / a.source_size) < 1.5
+    assert sorted(map(str, got)) == sorted(map(str, mixing.as_mixed(table).collect()))
+
+
 def test_quotas_are_sainte_lague(spark):
     goal = spark.createDataFrame([("a", 0, 5300.0, 1.0), ("b", 1, 2400.0, 1.0), ("c", 2, 2300.0, 1.0)], "source string, rank int, target double, weight double")
     got = {r["source"]: r["q"] for r in mixing.quotas(goal, 100, 8).groupBy("source").agg({"quota": "sum"}).withColumnRenamed("sum(quota)", "q").collect()}
