@@ -4,8 +4,11 @@ Features are byte n-grams (1 to 3 bytes of the lower-cased text, all ASCII but
 letters as blanks), hashed into ``FEATURES`` counts and weighted by inverse
 document frequency; vectors have length one. Each language gets ``CENTROIDS``
 centroids by spherical k-means; a text goes to the language of the nearest one
-by cosine, and is rejected where that cosine is below a floor of its language
-(texts of fewer than ``EVIDENCE`` n-grams are not).
+by cosine, and is rejected where that cosine is below the floor of its language
+for texts of its length. Short texts lie further from any centroid by chance, so
+floors are told by classes of length (doublings of the number of n-grams, the
+last without an end): a low quantile of the cosines of the sample's texts and of
+passages cut from them at the lower end of each class.
 
 Document frequencies are counted over every labelled training text. The
 centroids are fitted on a sample chosen by a hash of doc_id: about
@@ -41,10 +44,13 @@ ROWS = 128
 CENTROIDS = 4
 SAMPLE = 2000
 ROUNDS = 10
-#: Rejected below this share of the cosine that all but FLOOR_SHARE of a language's sample reach.
-FLOOR, FLOOR_SHARE = 0.4, 0.002
-#: Texts of fewer n-grams (about a third as many characters) lie far from any centroid by chance, so distance does not reject them.
-EVIDENCE = 300
+#: The floor is the cosine that all but this share of the texts and passages of a class reach, less one part in
+#: the square root of their number.
+FLOOR_SHARE = 0.01
+#: Classes of length: 2**c n-grams or more, of which those from FIRST on have floors; in the last also all longer texts.
+FIRST, CLASSES = 3, 13
+#: A class with fewer texts and passages has the floor of the class before (0 before the first).
+FEW = 10
 
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[:128] = 32
@@ -113,23 +119,56 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.slice(at, ROWS)
 
 
+def length_class(grams: np.ndarray) -> np.ndarray:
+    return np.clip(np.frexp(grams)[1] - 1, 0, CLASSES - 1)
+
+
+def _passages(texts: list[str], places: list[int], kind: int) -> tuple[list[int], list[str]]:
+    """Of each text long enough, a passage of about 2**kind n-grams (three per character) from a place of its own."""
+    size = (1 << kind) * 35 // 100 + 1
+    long = [i for i, t in enumerate(texts) if len(t) >= size]
+    starts = [(places[i] * 0x9E3779B1 + kind * 0x85EBCA6B >> 7) % (len(texts[i]) - size + 1) for i in long]
+    return long, [texts[i][a:a + size] for i, a in zip(long, starts, strict=True)]
+
+
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each text, and of its passages (class of length, or -1 for the text)."""
     for part in _rows(batches):
-        raw = counts(tb.column(part, "text"))
-        at = [np.flatnonzero(r).astype(np.int32) for r in raw]
-        yield pa.RecordBatch.from_arrays(
-            [tb.column(part, "lang"), tb.column(part, "place"), pa.array([a.tobytes() for a in at], pa.binary()),
-             pa.array([r[a].tobytes() for r, a in zip(raw, at, strict=True)], pa.binary())], ["lang", "place", "at", "n"])
+        langs, places, texts = (tb.column(part, c).to_pylist() for c in ("lang", "place", "text"))
+        for kind in (-1, *range(FIRST, CLASSES)):
+            rows, cut = (range(len(texts)), texts) if kind < 0 else _passages(texts, places, kind)
+            raw = counts(pa.array(cut, tb.column(part, "text").type))
+            at = [np.flatnonzero(r).astype(np.int32) for r in raw]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([langs[i] for i in rows], pa.string()), pa.array([places[i] for i in rows], pa.int64()), pa.array([kind] * len(cut), pa.int32()),
+                 pa.array([a.tobytes() for a in at], pa.binary()), pa.array([r[a].tobytes() for r, a in zip(raw, at, strict=True)], pa.binary())],
+                ["lang", "place", "kind", "at", "n"])
+
+
+def _filled(rows: pd.DataFrame) -> np.ndarray:
+    raw = np.zeros((len(rows), FEATURES), np.float32)
+    for i, (a, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
+        raw[i, np.frombuffer(a, np.int32)] = np.frombuffer(n, np.float32)
+    return raw
+
+
+def floors_of(cosines: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The floor of each class of length."""
+    out, kinds = np.zeros(CLASSES), length_class(grams)
+    for c in range(FIRST, CLASSES):
+        own = cosines[kinds == c]
+        out[c] = out[c - 1] if len(own) < FEW else float(np.quantile(own, FLOOR_SHARE, method="lower")) * (1 - len(own) ** -0.5)
+    return out
 
 
 def _fit(idf: np.ndarray):
     """Spherical k-means of one language's sample, at most about SAMPLE rows."""
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place", kind="stable")
-        raw = np.zeros((len(rows), FEATURES), np.float32)
-        for i, (a, n) in enumerate(zip(rows["at"], rows["n"], strict=True)):
-            raw[i, np.frombuffer(a, np.int32)] = np.frombuffer(n, np.float32)
-        del rows["at"], rows["n"]
+        rows = rows.sort_values(["kind", "place"], kind="stable")
+        whole = rows[rows["kind"] < 0]
+        cut = rows[rows["kind"] >= 0]
+        raw = _filled(whole)
+        grams = [raw.sum(axis=1)]
         x = weighted(raw, idf, out=raw)
         k = min(CENTROIDS, len(x))
         picked = [0]  # start: each next centre is the row furthest from those so far
@@ -144,10 +183,16 @@ def _fit(idf: np.ndarray):
             sums = np.where(member.any(axis=1)[:, None], member @ x, centres)
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
             centres = sums / np.where(norm > 0, norm, 1)
-        floor = FLOOR * float(np.quantile((x @ centres.T).max(axis=1), FLOOR_SHARE))
+        cosines = [(x @ centres.T).max(axis=1)]
         del x, raw
+        for i in range(0, len(cut), ROWS):
+            part = _filled(cut.iloc[i:i + ROWS])
+            grams.append(part.sum(axis=1))
+            cosines.append((weighted(part, idf, out=part) @ centres.T).max(axis=1))
+        floors = floors_of(np.concatenate(cosines), np.concatenate(grams))
         tb.release()
-        return pd.DataFrame({"lang": rows["lang"].iloc[0], "centroid": range(k), "vector": [c.astype(np.float32).tobytes() for c in centres], "floor": floor})
+        return pd.DataFrame({"lang": rows["lang"].iloc[0], "centroid": range(k), "vector": [c.astype(np.float32).tobytes() for c in centres],
+                             "floors": [floors.tolist()] * k})
     return run
 
 
@@ -159,7 +204,7 @@ class Model:
         near = weighted(raw, self.idf) @ self.centres.T
         best = near.argmax(axis=1)
         score = near[np.arange(len(near)), best].astype(np.float64)
-        return [self.langs[i] for i in best], np.clip(score, 0, 1), (score < self.floors[best]) & (raw.sum(axis=1) >= EVIDENCE)
+        return [self.langs[i] for i in best], np.clip(score, 0, 1), score < self.floors[best, length_class(raw.sum(axis=1))]
 
 
 def fit(docs: DataFrame, train: Column) -> Model | None:
@@ -176,12 +221,12 @@ def fit(docs: DataFrame, train: Column) -> Model | None:
     place = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 31))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, SAMPLE / n) * (1 << 31)))])
     sample = rows.withColumn("place", place).where(F.col("place") < F.element_at(share, F.col("lang"))).select("lang", "place", "text")
-    found = (sample.mapInArrow(_sparse, "lang string, place long, at binary, n binary").groupBy("lang")
-             .applyInPandas(_fit(idf), "lang string, centroid int, vector binary, floor double").orderBy("lang", "centroid").collect())
+    found = (sample.mapInArrow(_sparse, "lang string, place long, kind int, at binary, n binary").groupBy("lang")
+             .applyInPandas(_fit(idf), "lang string, centroid int, vector binary, floors array<double>").orderBy("lang", "centroid").collect())
     if not found:
         return None
     return Model([r["lang"] for r in found], idf, np.stack([np.frombuffer(r["vector"], np.float32) for r in found]),
-                 np.array([r["floor"] for r in found]))
+                 np.array([r["floors"] for r in found]))
 
 
 ADDED = ("lang_pred", "score", "rejected")

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mdloom.llm import embedding_dedup, fingerprints, hmm_lm, language_id, mixing, ngram_join, packing, secrets, suffix_dedup, token_files
@@ -188,6 +189,34 @@ def test_languages(spark, docs, nothing):
     assert language_id.identify(nothing, None, ["doc_id"]).count() == 0
 
 
+PROSE = {"en": "the old house by the river was quiet and nobody had opened its windows since the long winter when their father went away to work in another town",
+         "de": "das alte haus am fluss war still und niemand hatte seine fenster geöffnet seit dem langen winter als ihr vater fortging um in einer anderen stadt zu arbeiten",
+         "fi": "talossa asuu vanha mies joka ei koskaan lähde ulos ilman hattua koska hän pelkää että tuuli vie hänen ajatuksensa järven yli ja metsän taakse",
+         "tr": "evde yaşlı bir adam oturuyor ve şapkasız asla dışarı çıkmıyor çünkü rüzgarın düşüncelerini gölün ötesine ve ormanın arkasına götürmesinden korkuyor",
+         "pl": "w domu mieszka stary człowiek który nigdy nie wychodzi bez kapelusza ponieważ boi się że wiatr zabierze jego myśli przez jezioro i za las"}
+
+
+def test_texts_unlike_any_language_are_rejected(spark):
+    import base64
+    import random
+
+    rng = random.Random(11)
+
+    def prose(lang, n):
+        return " ".join(rng.choice(PROSE[lang].split()) for _ in range(n))
+
+    learned = [(i, prose(x, rng.randrange(3, 400)), x) for i, x in enumerate(["en", "de"] * 150)]
+    model = language_id.fit(spark.createDataFrame(learned, "doc_id long, text string, lang string").repartition(3), F.lit(True))
+    odd = [prose(x, n) for x in ("fi", "tr", "pl") for n in (40, 150, 600)]
+    for n in (150, 500, 3000):
+        odd += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz      ") for _ in range(n)), base64.b64encode(rng.randbytes(n)).decode(), "q" * n]
+    clean = [prose(x, n) for x in ("en", "de") for n in (2, 3, 5, 8, 20, 100, 400, 3000) for _ in range(10)]
+    asked = [(i, t, None) for i, t in enumerate([*odd, *clean])]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model, ["doc_id"]).collect()}
+    assert [odd[i][:40] for i in range(len(odd)) if not got[i].rejected] == []
+    assert sum(got[i].rejected for i in range(len(odd), len(asked))) <= len(clean) // 50
+
+
 def test_fingerprints(docs, nothing):
     got = fingerprints.fingerprint_edited(docs).collect()
     order = sorted([r for r in rows() if r[0] != 3], key=lambda r: (r[0] is not None, r[0] or 0))
