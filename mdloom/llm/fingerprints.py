@@ -7,12 +7,15 @@ wide vector, and vectors are added lane by lane modulo powers of two:
 * one count modulo 2**32,
 * ``DENSE`` lanes modulo 2**16, all changed by every paragraph: equal multisets have
   equal lanes, others differ but for a chance of 2**-256,
-* ``SPARSE`` lanes modulo 2**8, of which a paragraph changes one.
+* ``STABLE`` lanes modulo 2**32, to each of which a paragraph adds a Cauchy number
+  drawn by its hash (in units of 1 / ``UNIT``).
 
 Order does not matter, and paragraphs are inserted or deleted by addition or
-subtraction. The share of sparse lanes that differ estimates the size of the
-symmetric difference, and from it and the counts the likeness of two multisets:
-1 for equal ones, near 0 for strangers.
+subtraction. The difference of a stable lane is Cauchy again, as wide as the
+symmetric difference of the multisets is large, repeats counted. Its width is the median
+over the lanes (standard error 14 % at any size up to about 10 million
+paragraphs), and with the counts it gives the likeness of two multisets: 1 for
+equal ones, near 0 for strangers.
 
 ``fingerprint_edited`` compares a text with an edit of it (its last quarter
 replaced from the next document in the order of doc_id) by deleting and
@@ -40,10 +43,37 @@ from pyspark.sql import functions as F
 from mdloom.llm import textbatch as tb
 from mdloom.llm.common import load, text_key
 
-LONG = 256
+LONG = 64
 DENSE = 16
-SPARSE = 128
-_LANES = np.array([1 << 32] + [1 << 16] * DENSE + [1 << 8] * SPARSE, np.int64)
+STABLE = 128
+UNIT = 64
+#: Paragraphs whose numbers are held at once.
+STEP = 512
+_LANES = np.array([1 << 32] + [1 << 16] * DENSE + [1 << 32] * STABLE, np.int64)
+_SEEDS = np.arange(1, STABLE // 2 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _cauchy(u: np.ndarray, bits: int) -> np.ndarray:
+    """Quantiles of the Cauchy distribution, in whole units."""
+    return np.rint(np.tan(np.pi * ((u + 0.5) / (1 << bits) - 0.5)) * UNIT).astype(np.int64)
+
+
+_QUANTILES = _cauchy(np.arange(1 << 16), 16)
+#: Places of the table at either end, where the numbers are far apart and all 32 bits count.
+_ENDS = 64
+
+
+def _stable(keys: np.ndarray) -> np.ndarray:
+    """The sum over the keys of STABLE Cauchy numbers each."""
+    out = np.zeros(STABLE, np.int64)
+    for i in range(0, len(keys), STEP):
+        u = tb.mix(keys[i:i + STEP, None] ^ _SEEDS).view("<u4")
+        top = (u >> np.uint32(16)).astype(np.uint16)
+        x = _QUANTILES[top]
+        ends = np.nonzero(top + np.uint16(_ENDS) < 2 * _ENDS)
+        x[ends] = _cauchy(u[ends], 32)
+        out += x.sum(axis=0)
+    return out
 
 
 def paragraphs(text: str) -> list[str]:
@@ -57,13 +87,13 @@ def paragraphs(text: str) -> list[str]:
 
 def vector(parts: list[str]) -> np.ndarray:
     """The sum of the paragraphs' vectors, each lane modulo its power of two."""
-    out = np.zeros(1 + DENSE + SPARSE, np.int64)
+    out = np.zeros(1 + DENSE + STABLE, np.int64)
     if parts:
-        raw = b"".join([hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=2 * DENSE + 4).digest() for p in parts])
-        rows = np.frombuffer(raw, "<u2").reshape(len(parts), DENSE + 2)
+        raw = b"".join([hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=2 * DENSE + 8).digest() for p in parts])
+        rows = np.frombuffer(raw, "<u2").reshape(len(parts), DENSE + 4)
         out[0] = len(parts)
         out[1:1 + DENSE] = rows[:, :DENSE].sum(axis=0, dtype=np.int64)
-        out[1 + DENSE:] = np.bincount(rows[:, DENSE] % SPARSE, weights=rows[:, DENSE + 1] | 1, minlength=SPARSE)
+        out[1 + DENSE:] = _stable(np.ascontiguousarray(rows[:, DENSE:]).view("<u8")[:, 0])
     return out % _LANES
 
 
@@ -76,7 +106,7 @@ def deleted(vec: np.ndarray, parts: list[str]) -> np.ndarray:
 
 
 def as_text(vec: np.ndarray) -> str:
-    return (vec[:1].astype("<u4").tobytes() + vec[1:1 + DENSE].astype("<u2").tobytes() + vec[1 + DENSE:].astype(np.uint8).tobytes()).hex()
+    return (vec[:1].astype("<u4").tobytes() + vec[1:1 + DENSE].astype("<u2").tobytes() + vec[1 + DENSE:].astype("<u4").tobytes()).hex()
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -84,10 +114,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     if np.array_equal(a, b):
         return 1.0
     total = int(a[0] + b[0])
-    same = float((a[1 + DENSE:] == b[1 + DENSE:]).mean())
-    if same <= 0.0 or not total:
-        return 0.0
-    apart = max(1.0, -SPARSE * math.log(same))
+    least = max(1, abs(int(a[0] - b[0])))
+    lanes = (a[1 + DENSE:] - b[1 + DENSE:] + (1 << 31)) % (1 << 32) - (1 << 31)
+    apart = max(least, float(np.median(np.abs(lanes))) / UNIT)
     return max(0.0, (total - apart) / (total + apart))
 
 

@@ -85,6 +85,26 @@ def test_fingerprints_insert_and_delete():
     assert 0.4 < near < 0.8 and fingerprints.likeness(fingerprints.vector(many), fingerprints.vector([f"x{i}" for i in range(40)])) < 0.2
 
 
+@pytest.mark.parametrize("n", [1, 4, 1000, 20000])
+def test_likeness_at_any_number_of_paragraphs(n):
+    def vec(a, b):
+        return fingerprints.vector([f"paragraph {i}" for i in range(a, b)])
+
+    for seed in range(0, 12 * n, 3 * n):
+        one, edit, other = vec(seed, seed + n), vec(seed + n // 4, seed + n + n // 4), vec(seed + 3 * 10**6, seed + 3 * 10**6 + n)
+        assert fingerprints.likeness(one, one.copy()) == 1.0 and fingerprints.likeness(one, other) < 0.3
+        assert n < 4 or abs(fingerprints.likeness(one, edit) - 0.6) < 0.15
+    many = fingerprints.vector(["a line of its own"] * n + ["kept"] * n)
+    assert abs(fingerprints.likeness(many, fingerprints.vector(["kept"] * n)) - 0.5) < 0.15
+    assert fingerprints.as_text(fingerprints.deleted(fingerprints.inserted(one, ["x", "y"]), ["y", "x"])) == fingerprints.as_text(one)
+
+
+def test_likeness_of_short_texts():
+    text = " ".join(f"word{i}" for i in range(35))
+    near = fingerprints.edited(text, "something else " * 20)
+    assert 200 < len(text) < 257 and fingerprints.likeness(*(fingerprints.vector(fingerprints.paragraphs(t)) for t in (text, near))) > 0.25
+
+
 def test_forward_recursion_sums_over_all_paths():
     rng = np.random.default_rng(3)
     s, m = hmm_lm.STATES, hmm_lm.SYMBOLS
