@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from mdloom.llm import textbatch as tb
 from mdloom.llm.common import load, written
-from mdloom.llm.tokenwords import encoder, tokenizer_path
+from mdloom.llm.tokenwords import encoder, forget, tokenizer_path
 
 GROUP = 20_000
 FAN_IN = 4
@@ -58,6 +58,7 @@ def _pieces(path: str, end_id: int, capacity: int):
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
                                              ["doc_id", "piece", "start", "length", "ids_crc32"])
+        forget()
     return run
 
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE = 1 << 21
+SLICE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
@@ -74,13 +74,13 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0]:offs[-1]], offs - offs[0]
 
 
-def _slices(data: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
+def _slices(data: np.ndarray, size: int = SLICE, space: np.ndarray = IS_SPACE) -> Iterator[tuple[int, int]]:
     """Cuts behind white space, about ``size`` bytes each."""
     at, n = 0, len(data)
     while at < n:
         end = min(n, at + size)
         while end < n:
-            found = np.flatnonzero(IS_SPACE[data[end - 1:min(n, end + 65536)]])
+            found = np.flatnonzero(space[data[end - 1:min(n, end + 65536)]])
             if len(found):
                 end = end - 1 + int(found[0]) + 1
                 break
@@ -103,12 +103,13 @@ class Words:
         return np.diff(self.offs)
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> Words:
+def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = IS_SPACE) -> Words:
+    """All words: runs of bytes that ``space`` (a flag per byte) does not hold."""
     hs, ss, es = [], [], []
-    for a, b in _slices(data):
+    for a, b in _slices(data, space=space):
         part = data[a:b]
         n = len(part)
-        solid = ~IS_SPACE[part]
+        solid = ~space[part]
         before = np.empty(n, bool)
         before[0] = False
         before[1:] = solid[:-1]
@@ -125,7 +126,7 @@ def words(data: np.ndarray, offs: np.ndarray) -> Words:
         after[inner] = False
         starts = np.flatnonzero(first)
         ends = np.flatnonzero(solid & ~after) + 1
-        if a and len(starts) and solid[0] and not IS_SPACE[data[a - 1]] and a not in offs:
+        if a and len(starts) and solid[0] and not space[data[a - 1]] and a not in offs:
             raise AssertionError("a slice starts inside a word")
         sums = np.empty(n + 1, dtype=U64)
         sums[0] = 0
@@ -174,6 +175,7 @@ _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 def release() -> None:
     """Give what finished work left in this worker's pools back to the system: Spark keeps
     workers for later tasks, and their free memory counts against the executor's."""
+    _POWERS.clear()
     pa.default_memory_pool().release_unused()
     if _TRIM is not None:
         _TRIM(0)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from mdloom.llm import textbatch as tb
 from mdloom.llm.common import load, text_key, written
-from mdloom.llm.tokenwords import encoder, tokenizer_path
+from mdloom.llm.tokenwords import encoder, forget, tokenizer_path
 from mdloom.session import scratch_path
 
 RUN = 1024
@@ -158,6 +158,7 @@ def _tokenised(path: str, end_id: int):
             yield pa.RecordBatch.from_arrays(
                 [tb.column(part, "doc_id"), tb.column(part, "tkey"), pa.array(counts + 1, pa.int64()),
                  pa.array(np.full(len(cells), width, np.int32)), pa.array(cells, pa.binary())], ["doc_id", "tkey", "n", "width", "ids"])
+        forget()
     return run
 
 

@@ -6,7 +6,7 @@ run of ASCII and Latin letters (U+00C0 to U+027F) is cut further into letters,
 single digits and signs, as the file's own rule does; a run with any other
 character, an apostrophe (contractions) or ``<`` (special tokens) goes through
 the tokenizer whole. Each distinct run is encoded
-once per Python worker while a table of fixed size holds it; the rest is numpy.
+once per task while a table of fixed size holds it; the rest is numpy.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ import numpy as np
 from mdloom.llm import textbatch as tb
 
 U64 = np.uint64
-SLOT_BITS = 21
-MOST_IDS = 1 << 24
+SLOT_BITS = 19
+MOST_IDS = 1 << 22
 #: The cutting rule that the finer cut of plain ASCII runs stands for.
 KNOWN_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -181,12 +181,18 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def encoder(path: str) -> WordEncoder:
-    """One per Python worker and file, kept between tasks."""
+    """One per task and file; ``forget`` drops it when the task's batches end."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Drop the tokenizers and their tables: Spark keeps the worker for other tasks."""
+    _ENCODERS.clear()
+    tb.release()
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
