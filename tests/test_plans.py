@@ -1,10 +1,10 @@
-"""Plan-shape guards over every registered query (sf0.001): no cartesian or
+"""Plan-shape guards over every query of the core catalog (sf0.001): no cartesian or
 nested-loop joins, no row-at-a-time Python UDFs, and `html` is read only by
 queries that parse pages or measure them."""
 
 import re
 
-import __spark_entry__ as E
+from mdloom.plans import catalog
 
 from conftest import SF_SMALL
 
@@ -19,7 +19,7 @@ SKIP = {"stream_pages", "stream_failures"}   # executed eagerly into a table, re
 
 def test_registered_plans(spark):
     bad = []
-    for name, q in E.queries().items():
+    for name, q in catalog.QUERIES.items():
         if name in SKIP:
             continue
         plan = q(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
