@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mdloom.llm import (embedding_dedup, fingerprints, hmm_lm, language_id, mixing, ngram_join, packing, secrets,
+from mdloom.llm import (decontaminate, embedding_dedup, fingerprints, hmm_lm, language_id, mixing, ngram_join, packing, secrets,
                         suffix_dedup, token_files)
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_packing": packing.q_op8,
     "op9_embedding_dedup": embedding_dedup.q_op9,
     "op10_ngram_join": ngram_join.q_op10,
+    "op11_decontamination": decontaminate.q_op11,
 }
 #: The other operators hold seeded, trained or encoded results that SQL cannot express; tests/llm compares them with brute force.
-ORACLES = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
+ORACLES = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op10_ngram_join": ngram_join.ORACLE, "op11_decontamination": decontaminate.ORACLE}
