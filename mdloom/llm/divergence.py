@@ -6,7 +6,7 @@ language the terms of at least ``least_docs`` of its documents are kept. Every
 p = 1 + floor(10**9 * (count + 5) / (N + 5 V)), N the group's occurrences of kept terms, V their number.
 
 1. One pass over the texts counts terms per group. A term is a 64-bit digest
-   from then on; beside each task's counts stands its own dictionary: per digest the
+   from then on; beside a task's counts stand dictionaries of its batches: per digest the
    least and the greatest string. Only counts by digest are shuffled.
 2. Of the dictionaries only the digests that are kept somewhere are read (a bitmap of fixed
    size tells most others apart before anything is shuffled). Where the least and the greatest string
@@ -46,15 +46,15 @@ U64 = np.uint64
 LEAST_DOCS = 30
 MOST = 50
 #: Values of kept terms in a bucket, on average.
-BUCKET = 1 << 17
+BUCKET = 1 << 16
 #: Cells of the matrix that a bucket fills at once, and sources compared with all others at once.
 CELLS, SOURCES = 1 << 20, 1 << 10
 #: Slots of the bitmap of kept digests.
 SLOTS = 1 << 24
 #: Bits of a digest; tests take fewer, so that terms share them.
 DIGEST_BITS = 64
-#: Rows of counts and strings that a task gathers before it hands them on.
-HELD, WORDS = 1 << 19, 1 << 17
+#: Rows of counts that a task gathers before it hands them on.
+HELD = 1 << 19
 
 #: A term is a run of letters and all bytes from 0x80 on.
 IS_GAP = np.ones(256, dtype=bool)
@@ -72,12 +72,16 @@ def _terms(data: np.ndarray, offs: np.ndarray, bits: int) -> tuple[np.ndarray, n
     return digest, np.repeat(np.arange(len(offs) - 1), w.counts), w
 
 
-def _strings(data: np.ndarray, w: tb.Words, rows: np.ndarray) -> list[bytes]:
-    return [tb.LOWER[data[a:b]].tobytes() for a, b in zip(w.starts[rows].tolist(), w.ends[rows].tolist(), strict=True)]
+def _strings(data: np.ndarray, w: tb.Words, rows: np.ndarray) -> pa.Array:
+    """The lower-cased strings of the words at ``rows``."""
+    size = (w.ends - w.starts)[rows]
+    offs = np.concatenate(([0], np.cumsum(size)))
+    place = np.repeat(w.starts[rows] - offs[:-1], size) + np.arange(offs[-1])
+    return pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(offs.astype(np.int64).tobytes()), pa.py_buffer(tb.LOWER[data[place]].tobytes())).cast(pa.string())
 
 
-def _extremes(data: np.ndarray, w: tb.Words, digest: np.ndarray) -> tuple[np.ndarray, list[bytes], list[bytes]]:
-    """Each digest of a batch with the least and the greatest string that has it there.
+def _extremes(data: np.ndarray, w: tb.Words, digest: np.ndarray) -> pa.Table:
+    """Each digest of a batch with the least string that has it there, and the greatest (null: the same).
 
     All occurrences are compared byte by byte with the first one of their digest; only where
     one differs are the strings of the digest made and put in order."""
@@ -100,28 +104,22 @@ def _extremes(data: np.ndarray, w: tb.Words, digest: np.ndarray) -> tuple[np.nda
         unlike = tb.LOWER[data[w.starts[by[part]][row] + inside]] != tb.LOWER[data[w.starts[head[part]][row] + inside]]
         differ[part[row[unlike]]] = True
         at = till
-    least = _strings(data, w, by[first])
-    most = list(least)
-    for at in np.flatnonzero(differ).tolist():
-        i = int(np.searchsorted(first, at, side="right")) - 1
-        s = _strings(data, w, by[at:at + 1])[0]
-        least[i], most[i] = min(least[i], s), max(most[i], s)
-    return ordered[first], least, most
+    table = pa.table({"digest": pa.array(ordered[first].view(np.int64)), "least": _strings(data, w, by[first]), "most": pa.nulls(len(first), pa.string())})
+    if not differ.any():
+        return table
+    others = pa.table({"digest": pa.array(ordered[differ].view(np.int64)), "least": _strings(data, w, by[differ])})
+    every = pa.concat_tables([table.select(["digest", "least"]), others]).group_by("digest").aggregate([("least", "min"), ("least", "max")])
+    least, most = every.column("least_min"), every.column("least_max")
+    return pa.table({"digest": every.column("digest"), "least": least, "most": pc.if_else(pc.equal(least, most), pa.scalar(None, pa.string()), most)})
 
 
-class _Gathered:
-    """Counts and the dictionary of a task, summed up over its batches and handed on when they are many."""
+class _Counts:
+    """Counts of a task, summed up over its batches and handed on when they are many."""
 
     def __init__(self):
         self.groups: dict[tuple[str, str], int] = {}
         self.parts: list[np.ndarray] = []  # (group, digest, n, docs) as columns
         self.rows = 0
-        self.clear()
-
-    def clear(self):
-        self.least: dict[int, bytes] = {}
-        self.most: dict[int, bytes] = {}  # only where it is another string than the least
-        self.bytes = 0
 
     def add(self, group: np.ndarray, digest: np.ndarray, n: np.ndarray, docs: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.parts.append(np.stack([group, digest.view(np.int64), n, docs]))
@@ -130,21 +128,7 @@ class _Gathered:
             self.parts = [self._summed()]
             self.rows = self.parts[0].shape[1]
             if self.rows > HELD:
-                yield from self.counts()
-
-    def strings(self, digest: np.ndarray, least: list[bytes], most: list[bytes]) -> Iterator[pa.RecordBatch]:
-        for d, a, b in zip(digest.tolist(), least, most, strict=True):
-            have = self.least.get(d)
-            if have is None:
-                self.least[d] = a
-                self.bytes += len(a)
-                if a != b:
-                    self.most[d] = b
-            elif have != a or b != a:
-                self.most[d] = max(self.most.get(d, have), b)
-                self.least[d] = min(have, a)
-        if len(self.least) > WORDS or self.bytes > 1 << 23:
-            yield from self.dictionary()
+                yield from self.batches()
 
     def _summed(self) -> np.ndarray:
         group, digest, n, docs = np.concatenate(self.parts, axis=1) if self.parts else np.zeros((4, 0), np.int64)
@@ -157,56 +141,48 @@ class _Gathered:
             return np.zeros((4, 0), np.int64)
         return np.stack([group[first], digest[first], np.add.reduceat(n, first), np.add.reduceat(docs, first)])
 
-    def counts(self) -> Iterator[pa.RecordBatch]:
+    def names(self) -> tuple[pa.Array, pa.Array]:
+        names = list(self.groups)
+        return pa.array([a for a, _ in names], pa.string()), pa.array([b for _, b in names], pa.string())
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
         group, digest, n, docs = self._summed()
         self.parts, self.rows = [], 0
-        names = list(self.groups)
-        lang, source = pa.array([a for a, _ in names], pa.string()), pa.array([b for _, b in names], pa.string())
+        lang, source = self.names()
         for a in range(0, len(group), 1 << 16):
             cut = slice(a, a + (1 << 16))
-            none = pa.nulls(len(group[cut]), pa.string())
             at = pa.array(group[cut])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(at), np.int32)), lang.take(at), source.take(at), pa.array(digest[cut]), none, none, pa.array(n[cut]), pa.array(docs[cut])],
-                schema=_COUNTED)
-
-    def dictionary(self) -> Iterator[pa.RecordBatch]:
-        keys = list(self.least)
-        for a in range(0, len(keys), 1 << 14):
-            part = keys[a:a + (1 << 14)]
-            m = len(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(m, np.int32)), pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), pa.array(np.array(part, np.uint64).view(np.int64)),
-                 pa.array([self.least[k].decode() for k in part], pa.string()), pa.array([self.most.get(k, self.least[k]).decode() for k in part], pa.string()),
-                 pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], schema=_COUNTED)
-        self.clear()
+            yield _rows(0, len(at), lang=lang.take(at), source=source.take(at), digest=pa.array(digest[cut]), n=pa.array(n[cut]), docs=pa.array(docs[cut]))
+
+
+def _rows(kind: int, size: int, **cols: pa.Array) -> pa.RecordBatch:
+    cols["kind"] = pa.array(np.full(size, kind, np.int32))
+    return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(size, f.type) for f in _COUNTED], schema=_COUNTED)
 
 
 def _counted(bits: int):
-    """Rows of kind 0: counts and numbers of documents per group and digest; kind 1: least and greatest string per
-    digest; kind 2: the groups that occur. Each sums up what a task has met since the last such rows."""
+    """Rows of kind 0: counts and numbers of documents per group and digest, of a task or a large part of it; kind 1: least
+    and greatest string per digest of a batch; kind 2: the groups that occur."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered = _Gathered()
+        counts = _Counts()
         for part in tb.pieces(batches, "text"):
             data, offs = tb.text_buffer(tb.column(part, "text"))
             digest, row, w = _terms(data, offs, bits)
-            groups = gathered.groups
+            groups = counts.groups
             of = np.array([groups.setdefault(g, len(groups)) for g in zip(tb.column(part, "lang").to_pylist(), tb.column(part, "source").to_pylist(), strict=True)], np.int64)
-            if len(digest):
-                by = np.lexsort((digest, row))
-                d, r = digest[by], row[by]
-                new = np.ones(len(by), bool)
-                new[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1])
-                first = np.flatnonzero(new)
-                yield from gathered.add(of[r[first]], d[first], np.diff(np.append(first, len(by))), np.ones(len(first), np.int64))
-                yield from gathered.strings(*_extremes(data, w, digest))
-        yield from gathered.counts()
-        yield from gathered.dictionary()
-        m = len(gathered.groups)
-        names = list(gathered.groups)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(m, 2, np.int32)), pa.array([a for a, _ in names], pa.string()), pa.array([b for _, b in names], pa.string())]
-            + [pa.nulls(m, t) for t in _COUNTED.types[3:]], schema=_COUNTED)
+            if not len(digest):
+                continue
+            by = np.lexsort((digest, row))
+            d, r = digest[by], row[by]
+            new = np.ones(len(by), bool)
+            new[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1])
+            first = np.flatnonzero(new)
+            yield from counts.add(of[r[first]], d[first], np.diff(np.append(first, len(by))), np.ones(len(first), np.int64))
+            for batch in _extremes(data, w, digest).combine_chunks().to_batches(max_chunksize=1 << 16):
+                yield _rows(1, len(batch), **{c: tb.column(batch, c) for c in ("digest", "least", "most")})
+        yield from counts.batches()
+        lang, source = counts.names()
+        yield _rows(2, len(lang), lang=lang, source=source)
     return run
 
 
@@ -221,7 +197,7 @@ def _split(bits: int, shipped):
             lang, source = tb.column(part, "lang"), tb.column(part, "source")
             rows = pa.array(row[at])
             table = pa.table({"row": rows, "lang": lang.take(rows), "source": source.take(rows), "digest": pa.array(digest[at].view(np.int64)),
-                              "term": pa.array([s.decode() for s in _strings(data, w, at)], pa.string())})
+                              "term": _strings(data, w, at)})
             per_doc = table.group_by(["row", "lang", "source", "digest", "term"]).aggregate([([], "count_all")])
             out = per_doc.group_by(["lang", "source", "digest", "term"]).aggregate([("count_all", "sum"), ([], "count_all")])
             yield from out.select(["lang", "source", "digest", "term", "count_all_sum", "count_all"]).rename_columns(
@@ -274,13 +250,13 @@ def kept_terms(docs: DataFrame, least_docs: int = LEAST_DOCS, bits: int = DIGEST
     (term_id, term) of all kept terms. ``term_id`` is the digest, and where several terms share one, the digest and the term."""
     spark = docs.sparkSession
     texts = docs.select(*[F.coalesce(docs[c], F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    pass_one = written(texts.mapInArrow(_counted(bits), _COUNTED_SQL), "terms", by="kind")
+    pass_one = written(texts.mapInArrow(_counted(bits), _COUNTED_SQL), "terms")
     groups = written(pass_one.where("kind = 2").select("lang", "source").distinct(), "term-groups")
     by_digest = written(pass_one.where("kind = 0").groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "term-counts")
     often = written(by_digest.groupBy("lang", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs), "term-kept")
     bitmap = spark.sparkContext.broadcast(_bitmap(often))
     found = (pass_one.where("kind = 1").select("digest", "least", "most").mapInArrow(_filtered(bitmap), "digest long, least string, most string")
-             .groupBy("digest").agg(F.min("least").alias("least"), F.max("most").alias("most")))
+             .groupBy("digest").agg(F.min("least").alias("least"), F.max(F.coalesce("most", "least")).alias("most")))
     strings = written(found.join(often.select("digest").distinct(), "digest", "left_semi"), "term-strings")
     shared = strings.where("least < most").select("digest")
     single = (strings.where("least = most").select(_id(F.col("digest")).alias("term_id"), F.col("least").alias("term")))
@@ -349,8 +325,7 @@ _DISTANCES = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item",
 
 def pairs(groups: DataFrame, values: DataFrame) -> DataFrame:
     """(lang, source, item, value) for each two sources of a language. ``groups`` has zero (p of count 0) and v, ``values`` p of all counts over 0."""
-    spark = groups.sparkSession
-    buckets = max(-(-values.count() // BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(-(-values.count() // BUCKET), 1)
     heads = groups.select("lang", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), F.lit(None).cast("long").alias("digest"),
                           F.lit("").alias("apart"), "source", F.col("zero").alias("p"))
     cells = values.select("lang", F.pmod(F.xxhash64("term_id"), F.lit(buckets)).cast("int").alias("bucket"), "term_id.digest", "term_id.apart", "source", "p")
