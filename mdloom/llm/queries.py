@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mdloom.llm import (decontaminate, divergence, embedding_dedup, fingerprints, hmm_lm, language_id, mixing, ngram_join, packing, secrets,
+from mdloom.llm import (decontaminate, divergence, embedding_dedup, fingerprints, hmm_lm, language_id, mixing, ngram_join, packing, prefix_trie, secrets,
                         suffix_dedup, token_files)
 
 QUERIES = {
@@ -17,8 +17,9 @@ QUERIES = {
     "op9_embedding_dedup": embedding_dedup.q_op9,
     "op10_ngram_join": ngram_join.q_op10,
     "op11_decontamination": decontaminate.q_op11,
+    "op12_prefix_trie": prefix_trie.q_op12,
     "op13_source_divergence": divergence.q_op13,
 }
 #: The other operators hold seeded, trained or encoded results that SQL cannot express; tests/llm compares them with brute force.
 ORACLES = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op10_ngram_join": ngram_join.ORACLE, "op11_decontamination": decontaminate.ORACLE,
-           "op13_source_divergence": divergence.ORACLE}
+           "op12_prefix_trie": prefix_trie.ORACLE, "op13_source_divergence": divergence.ORACLE}
