@@ -267,7 +267,7 @@ def q_op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Paths as lists of turn digests; crc32 by its table of 256 remainders.
 ORACLE = r"""
-WITH bits AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 9), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS t),
+WITH bits AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS t),
 turns AS (
   SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), left(coalesce(text, ''), 64)) AS pos
