@@ -228,31 +228,6 @@ def allowed_prefix(url, prefix) -> Column:
     return F.when(F.coalesce(p, F.lit("")) == "", F.lit(True)).otherwise(_c(url).startswith(p))
 
 
-def first_matching_pattern(url, patterns) -> Column:
-    """first pattern (in list order) that matches anywhere in the URL, else NULL.
-    ``patterns`` is an ARRAY<STRING> column or a Python list of already-validated
-    patterns (see ``operators.profiles.valid_patterns``)."""
-    u = _c(url)
-    if isinstance(patterns, (list, tuple)):
-        out = F.lit(None).cast("string")
-        for p in reversed(list(patterns)):
-            out = F.when(u.rlike(p), F.lit(p)).otherwise(out)
-        return out
-    return F.try_element_at(F.filter(_c(patterns), lambda p: F.regexp_like(u, p)), F.lit(1))
-
-
-def any_pattern(url, patterns: list[str]) -> Column:
-    """True when any pattern matches anywhere in the URL: one combined
-    alternation (one regex pass), unless a pattern uses back-references, whose
-    numbering would shift when patterns are joined."""
-    u = _c(url)
-    if not patterns:
-        return F.lit(False)
-    if any(re.search(r"\\[1-9]|\(\?P=", p) for p in patterns):
-        return first_matching_pattern(u, patterns).isNotNull()
-    return u.rlike("|".join(f"(?:{p})" for p in patterns))
-
-
 def path_slash_count(url) -> Column:
     u = _c(url)
     return F.length(u) - F.length(F.replace(u, F.lit("/"), F.lit("")))

@@ -9,7 +9,6 @@ stop-at-first validator reports.
 
 from __future__ import annotations
 
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -112,18 +111,14 @@ def merge_profiles(parsed: DataFrame) -> DataFrame:
 
 def _valid_regex_udf():
     from pyspark.sql.functions import pandas_udf
+    from mdloom.functions.patterns import compiled
 
     @pandas_udf("boolean")
     def all_compile(pats: pd.Series) -> pd.Series:
         def ok(lst):
             if lst is None:
                 return True
-            for p in lst:
-                try:
-                    re.compile(p)
-                except (re.error, TypeError):
-                    return False
-            return True
+            return all(p is not None for p in lst) and len(compiled(lst)) == len(lst)
         return pats.apply(ok)
     return all_compile
 

@@ -3,51 +3,18 @@ path collisions (W3)."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mdloom.functions import patterns as P
 from mdloom.functions import urls as U
 
 
-def valid_patterns(patterns: list[str] | None) -> list[str]:
-    """Exclude patterns that compile in Python's dialect, written in Java's; invalid
-    ones are dropped (they are warned about and ignored at match time)."""
-    out = []
-    for p in patterns or []:
-        try:
-            re.compile(p)
-        except re.error:
-            continue
-        out.append(java_pattern(p))
-    return out
-
-
-def java_pattern(pattern: str) -> str:
-    """A valid Python pattern in Java's dialect: named groups (Java's names have
-    letters and digits only), references to them, the end anchor and inline flags."""
-    names = {n: f"g{i}" for i, n in enumerate(re.compile(pattern).groupindex, 1)}
-
-    def put(m: re.Match) -> str:
-        if m["group"]:
-            return f"(?<{names[m['group']]}>"
-        if m["back"]:
-            return f"\\k<{names[m['back']]}>"
-        if m["flags"] is not None:
-            kept = "".join(c for c in m["flags"] if c in "imsx")
-            return f"(?{kept})" if kept else ""
-        return "\\z" if m[0] == "\\Z" else m[0]
-
-    return re.sub(r"\(\?P<(?P<group>\w+)>|\(\?P=(?P<back>\w+)\)|\(\?(?P<flags>[aiLmsux]+)\)|\\.", put, pattern, flags=re.S)
-
-
 def url_verdict(url: Column, is_duplicate: Column, allowed_prefix: str | Column,
                 patterns: list[str]) -> Column:
     """ordered verdict struct(verdict, reason):
     empty → duplicate → domain → pattern → valid."""
-    pats = valid_patterns(patterns)
-    hit = U.first_matching_pattern(url, pats) if pats else F.lit(None).cast("string")
+    hit = P.first_match(url, P.compiled(patterns))
     prefix = F.lit(allowed_prefix) if isinstance(allowed_prefix, str) else allowed_prefix
     verdict = (F.when(F.coalesce(url, F.lit("")) == "", F.lit("empty"))
                .when(is_duplicate, F.lit("duplicate"))

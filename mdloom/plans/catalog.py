@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mdloom.functions import patterns as P
 from mdloom.functions import urls as U
 from mdloom.operators import html as H
 from mdloom.operators import urls as OU
@@ -66,9 +67,27 @@ def q_url_allowed(spark, sf_dir):
 
 
 def q_url_exclude(spark, sf_dir):
-    pats = OU.valid_patterns(U.DEFAULT_EXCLUDE_PATTERNS)
+    pats = P.compiled(U.DEFAULT_EXCLUDE_PATTERNS)
     return read_table(spark, sf_dir, "pages").select(
-        "page_id", "url", U.first_matching_pattern("url", pats).alias("matched_pattern"))
+        "page_id", "url", P.first_match(F.col("url"), pats).alias("matched_pattern"))
+
+
+#: Valid Python patterns whose syntax or meaning Java does not share, as profiles may hold them.
+DIALECT_PATTERNS = [r"/{version}/", r"e{,1}x/[[]", r"(?P<mark>#)top\Z", r"(?P<mark>[?])page=(?P<n>\d{,3})&(?P=mark)?", r"(/)?(?(1)\w+|x)[.]html$",
+                    r"(?a)\bref=\w+", r"/[]x[]", r"(?i)UTM_(?:SOURCE|medium)=(?P<s>f)e{2}d", r"[^\D_]+/$"]
+
+
+def q_url_exclude_dialect(spark, sf_dir):
+    """the first pattern of each page's own list that matches, lists standing in the rows of a table (per-row form),
+    and whether any of all patterns does (one joined Java pattern)."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    # list i holds the patterns from the i-th on; page_id % 9 picks a page's list
+    lists = spark.range(len(DIALECT_PATTERNS)).select(
+        F.col("id").alias("list"), F.slice(F.array(*[F.lit(p) for p in DIALECT_PATTERNS]), F.col("id").cast("int") + 1, F.lit(len(DIALECT_PATTERNS))).alias("patterns"))
+    lists = lists.select("list", P.compiled_array("patterns").alias("compiled"))
+    return (pages.withColumn("list", F.col("page_id") % len(DIALECT_PATTERNS)).join(F.broadcast(lists), "list")  # nine rows
+            .select("page_id", "url", "list", P.first_match(F.col("url"), F.col("compiled")).alias("matched_pattern"),
+                    P.any_match(F.col("url"), P.compiled(DIALECT_PATTERNS)).alias("any_match")))
 
 
 def q_url_validate(spark, sf_dir):
@@ -448,6 +467,7 @@ QUERIES = {
     "path_collisions": q_path_collisions,
     "url_allowed": q_url_allowed,
     "url_exclude": q_url_exclude,
+    "url_exclude_dialect": q_url_exclude_dialect,
     "url_validate": q_url_validate,
     "url_verdict_counts": q_url_verdict_counts,
     "page_nodes": q_page_nodes,

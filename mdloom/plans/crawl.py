@@ -112,11 +112,11 @@ def crawl_progress(links: DataFrame, pages: DataFrame, patterns: list[str]) -> D
     scope_prefix). Queued are the links of earlier pages that pass the scope and
     the exclude patterns and were not visited when found, repeats counted, less
     one for each page so far that was taken from the queue."""
+    from mdloom.functions import patterns as P
     from mdloom.functions import urls as U
-    from mdloom.operators.urls import valid_patterns
     p = pages.select("page_id", "host", "url_key")
     found = links.where(U.allowed_prefix(F.col("dst_url"), F.col("scope_prefix"))
-                        & ~F.coalesce(U.any_pattern(F.col("dst_url"), valid_patterns(patterns)), F.lit(False)))
+                        & ~F.coalesce(P.any_match(F.col("dst_url"), P.compiled(patterns)), F.lit(False)))
     target = p.select(F.col("url_key").alias("dst_key"), F.col("page_id").alias("dst"))
     queued = (found.select("page_id", "dst_key").join(p.select("page_id"), "page_id", "left_semi")
               .join(target, "dst_key", "left").where(F.col("dst").isNull() | (F.col("dst") > F.col("page_id"))))
@@ -142,12 +142,13 @@ def crawl_edges(links: DataFrame, pages: DataFrame, patterns) -> tuple[DataFrame
     matches no exclude pattern (F3). Returns (edges(src, dst) between snapshot pages, misses(dst_key,
     src)) — a miss is an in-scope target the snapshot does not hold, i.e. a
     failed fetch."""
-    from mdloom.operators.urls import dedup_first, valid_patterns
+    from mdloom.functions import patterns as P
     from mdloom.functions import urls as U
-    if isinstance(patterns, str):      # per-row ARRAY<STRING> column (validated profiles)
-        hit = U.first_matching_pattern(F.col("dst_url"), F.col(patterns))
+    from mdloom.operators.urls import dedup_first
+    if isinstance(patterns, str):      # per-row column as of patterns.compiled_array
+        hit = P.first_match(F.col("dst_url"), F.col(patterns))
     else:
-        hit = F.when(U.any_pattern(F.col("dst_url"), valid_patterns(patterns)), F.lit("x"))
+        hit = F.when(P.any_match(F.col("dst_url"), P.compiled(patterns)), F.lit("x"))
     ok = links.where(U.allowed_prefix(F.col("dst_url"), F.col("scope_prefix")) & hit.isNull())
     snap = dedup_first(pages.select("url_key", "page_id")).select(
         F.col("url_key").alias("dst_key"), F.col("page_id").alias("dst"))

@@ -104,6 +104,19 @@ _FIRSTS = f""",
   firsts AS (SELECT page_id, url, {HOST} AS host, scheme || '://' || netloc || '/' AS scope, {KEY} AS url_key FROM pp
              QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY page_id) = 1)"""
 
+# what the patterns of url_exclude_dialect mean, said without their syntax
+DIALECT_HITS = r"""[
+  {'i': 0, 'p': '/{version}/', 'm': contains(url, '/{version}/')},
+  {'i': 1, 'p': 'e{,1}x/[[]', 'm': contains(url, 'x/[')},
+  {'i': 2, 'p': '(?P<mark>#)top\Z', 'm': ends_with(url, '#top')},
+  {'i': 3, 'p': '(?P<mark>[?])page=(?P<n>\d{,3})&(?P=mark)?', 'm': regexp_matches(url, '[?]page=[0-9]{0,3}&')},
+  {'i': 4, 'p': '(/)?(?(1)\w+|x)[.]html$', 'm': regexp_matches(url, '(/[A-Za-z0-9_]+|x)[.]html$')},
+  {'i': 5, 'p': '(?a)\bref=\w+', 'm': regexp_matches(url, '[^A-Za-z0-9_]ref=[A-Za-z0-9_]')},
+  {'i': 6, 'p': '/[]x[]', 'm': contains(url, '/]') OR contains(url, '/x') OR contains(url, '/[')},
+  {'i': 7, 'p': '(?i)UTM_(?:SOURCE|medium)=(?P<s>f)e{2}d', 'm': contains(lower(url), 'utm_source=feed') OR contains(lower(url), 'utm_medium=feed')},
+  {'i': 8, 'p': '[^\D_]+/$', 'm': regexp_matches(url, '[0-9]/$')}]"""
+
+
 ORACLES: dict[str, str] = {
     "page_scan": _with(PAGES_P, f"SELECT page_id, url, {HOST} AS host, CAST(length(html) AS INTEGER) AS n_chars FROM pp"),
     "url_normalize": _with(PAGES_P, f"SELECT page_id, url, {KEY} AS url_key FROM pp"),
@@ -126,6 +139,10 @@ ORACLES: dict[str, str] = {
         "FROM m GROUP BY md_path HAVING count(*) > 1"),
     "url_allowed": "SELECT page_id, url, starts_with(url, 'https://') AS allowed FROM pages",
     "url_exclude": f"SELECT page_id, url, {EXCLUDE_CASE} AS matched_pattern FROM pages",
+    "url_exclude_dialect": f"""
+SELECT page_id, url, page_id % 9 AS list, list_filter({DIALECT_HITS}, lambda x: x.m AND x.i >= page_id % 9)[1].p AS matched_pattern,
+       len(list_filter({DIALECT_HITS}, lambda x: x.m)) > 0 AS any_match
+FROM pages""",
     "url_validate": _with(PAGES_P + f""",
   k AS (SELECT page_id, url, {KEY} AS url_key FROM pp),
   d AS (SELECT *, page_id <> min(page_id) OVER (PARTITION BY url_key) AS dup FROM k),

@@ -87,6 +87,7 @@ def run_profiles(spark: SparkSession, pages: DataFrame, profiles_raw: DataFrame)
     belongs to the profile with the longest ``allowed_domain`` prefix (J4) and
     is crawled and converted with that profile's selectors, scope and patterns.
     Profiles with violations are left out and returned in ``rejected``."""
+    from mdloom.functions.patterns import compiled_array
     from mdloom.functions.selectors import SelectorSwitch
     merged = PR.merge_profiles(PR.parse_profiles(profiles_raw))
     violations = PR.profile_violations(merged)
@@ -96,7 +97,7 @@ def run_profiles(spark: SparkSession, pages: DataFrame, profiles_raw: DataFrame)
                      fld("target_site.allowed_domain").alias("scope_prefix"),
                      fld("crawler.navigation_selector").alias("nav_selector"),
                      fld("extractor.content_selector").alias("content_selector"),
-                     fld("crawler.exclude_patterns").alias("exclude_patterns"))
+                     compiled_array(fld("crawler.exclude_patterns")).alias("exclude_patterns"))
     sels = prof.select(F.explode(F.array("nav_selector", "content_selector")).alias("s")).distinct() \
         .limit(MAX_DISTINCT_SELECTORS + 1).collect()
     if len(sels) > MAX_DISTINCT_SELECTORS:

@@ -218,12 +218,11 @@ def test_read_logs_from_files(spark):
 
 
 def test_patterns_in_java_terms(spark):
-    from mdloom.functions import urls as U
-    from mdloom.operators.urls import valid_patterns
-    pats = valid_patterns([r"(?i)/SEARCH", r"(?P<a_b>x)y(?P=a_b)", r"/v\d+\Z", "(", r"a\\Zb"])
+    from mdloom.functions import patterns as P
+    pats = P.compiled([r"(?i)/SEARCH", r"(?P<a_b>x)y(?P=a_b)", r"/v\d+\Z", "(", r"a\\Zb"])
     assert len(pats) == 4
     df = spark.createDataFrame([("/search?q",), ("xyx",), ("/v12",), ("/v12/",), (r"a\Zb",)], "u string")
-    got = [r[0] for r in df.select(U.first_matching_pattern(F.col("u"), pats)).collect()]
+    got = [r[0] for r in df.select(P.first_match(F.col("u"), pats)).collect()]
     assert [g is not None for g in got] == [True, True, True, False, True]
 
 

@@ -5,6 +5,7 @@ from urllib.parse import urljoin, urlparse, urlunparse
 
 from pyspark.sql import functions as F
 
+from mdloom.functions import patterns as P
 from mdloom.functions import urls as U
 from mdloom.operators import urls as OU
 
@@ -81,7 +82,7 @@ def test_validate_order(spark):
     got = [(r.verdict, r.reason) for r in df.select(v["verdict"].alias("verdict"), v["reason"].alias("reason")).collect()]
     assert got == [("empty", None), ("duplicate", None), ("domain", "https://a"), ("pattern", r".*#.*"),
                    ("pattern", r".*/search\.html"), ("valid", None)]
-    assert OU.valid_patterns(pats) == pats[1:]
+    assert [p.text for p in P.compiled(pats)] == pats[1:]
 
 
 def test_dedup_first_wins(spark):
@@ -95,6 +96,6 @@ def test_any_pattern_matches_per_pattern(spark):
     urls = ["http://h/a#b", "http://h/search.html", "http://h/aa", "https://x/y", "http://h/ok"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     for p_list in (pats, pats[:2] + pats[3:]):
-        rows = df.select("url", U.any_pattern("url", p_list).alias("a"),
-                         U.first_matching_pattern("url", p_list).isNotNull().alias("b")).collect()
+        good = P.compiled(p_list)
+        rows = df.select("url", P.any_match(F.col("url"), good).alias("a"), P.first_match(F.col("url"), good).isNotNull().alias("b")).collect()
         assert all(r.a == r.b for r in rows)
