@@ -64,7 +64,7 @@ def translate(pattern: str, first: int = 1) -> tuple[str, int]:
 def compiled(patterns: list[str] | None) -> list[Pattern]:
     """The patterns that have a Java form; others are ignored at match time (they are violations of their profile)."""
     out = []
-    for p in patterns or []:
+    for p in patterns if patterns is not None else []:
         try:
             out.append(Pattern(p, translate(p)[0]))
         except PatternError:

@@ -154,34 +154,6 @@ def selector_predicate(selector: str, nodes: Column):
     return pred
 
 
-class SelectorSwitch:
-    """A per-row choice among known selector lists: ``column`` holds the
-    selector text of the row's site profile; each distinct text in ``choices``
-    is compiled once and the row's predicate is picked with CASE. Rows whose
-    selector is not among ``choices`` match nothing."""
-
-    def __init__(self, column: Column, choices: list[str]):
-        self.column = column
-        self.choices = sorted({c for c in choices if c is not None})
-
-    def predicate(self, nodes: Column):
-        preds = [(c, selector_predicate(c, nodes)) for c in self.choices]
-
-        def pred(n: Column) -> Column:
-            out = F.lit(False)
-            for text, p in reversed(preds):
-                out = F.when(self.column == F.lit(text), p(n)).otherwise(out)
-            return out
-        return pred
-
-
-def as_predicate(selector, nodes: Column):
-    """Predicate for a selector string or a ``SelectorSwitch``."""
-    if isinstance(selector, SelectorSwitch):
-        return selector.predicate(nodes)
-    return selector_predicate(selector, nodes)
-
-
 def is_valid_selector(selector: str) -> bool:
     try:
         parse_selector(selector)

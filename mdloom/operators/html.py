@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mdloom.functions.selectors import as_predicate, selector_predicate
+from mdloom.functions.selector_rows import MatchedNodes
+from mdloom.functions.selectors import selector_predicate
 from mdloom.functions.urls import let
 
 NODE_TYPE = T.StructType([
@@ -113,9 +114,11 @@ def node_text(nodes: Column, n: Column, strip: bool = False, sep: str = "") -> C
 
 
 def matches(nodes: Column, selector) -> Column:
-    """H2: nodes matching a selector list (or a per-row ``SelectorSwitch``), in
-    document order."""
-    return F.filter(nodes, as_predicate(selector, nodes))
+    """H2: nodes matching a selector list, in document order; ``MatchedNodes`` brings
+    the matches of each row's own selector."""
+    if isinstance(selector, MatchedNodes):
+        return selector.nodes(nodes)
+    return F.filter(nodes, selector_predicate(selector, nodes))
 
 
 def content_root(nodes: Column, selector=DEFAULT_CONTENT_SELECTOR) -> Column:

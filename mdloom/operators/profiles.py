@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdloom.functions import urls as U
+from mdloom.operators.scope import longest_scope
 
 # --- fixed values: defaults of a profile (path, Spark type, default) ---------
 DEFAULTS = [
@@ -192,16 +192,8 @@ def resume_gate(merged: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def page_profile(pages: DataFrame, merged: DataFrame) -> DataFrame:
-    """Each page's profile = the longest ``allowed_domain`` that prefixes its
-    URL. An equi-join on host plus ``startswith`` keeps this a hash join (no
-    cross product); profiles with a blank domain are not assigned here."""
-    prof = merged.select("profile_id", F.col(_field("target_site.allowed_domain")).alias("allowed_domain")) \
-        .where(F.coalesce(F.col("allowed_domain"), F.lit("")) != "") \
-        .withColumn("host", U.url_host("allowed_domain"))
-    cand = pages.select("page_id", "url", U.url_host("url").alias("host")).join(prof, "host") \
-        .where(F.col("url").startswith(F.col("allowed_domain")))
-    best = cand.groupBy("page_id").agg(
-        F.max_by(F.struct("profile_id", "allowed_domain"),
-                 F.struct(F.length("allowed_domain"), F.col("profile_id"))).alias("b"))
-    return pages.select("page_id", "url").join(best, "page_id", "left").select(
-        "page_id", "url", F.col("b.profile_id").alias("profile_id"), F.col("b.allowed_domain").alias("allowed_domain"))
+    """Each page's profile = the longest ``allowed_domain`` that prefixes its URL; a
+    profile with a blank one takes the pages of no other."""
+    prof = merged.select("profile_id", F.col(_field("target_site.allowed_domain")).alias("allowed_domain"))
+    found = longest_scope(pages.select("page_id", "url"), prof, "page_id", "profile_id", prefix="allowed_domain")
+    return pages.select("page_id", "url").join(found, "page_id").select("page_id", "url", "profile_id", "allowed_domain")

@@ -16,6 +16,7 @@ from mdloom.operators import attempts as OA
 from mdloom.operators import errors as OE
 from mdloom.operators.order import ranked
 from mdloom.plans import crawl as CR
+from mdloom.plans.closure import reach
 from mdloom.plans import runs as R
 from mdloom.session import scratch_path
 from mdloom.sources.pages import attempts_from_events, page_scan, read_table
@@ -271,6 +272,24 @@ def q_site_crawl(spark, sf_dir):
         .select(F.col("node").alias("page_id"), "url", "depth")
 
 
+def _derived_links(spark, sf_dir):
+    """Nav links whose targets stand in the snapshot: the href and the page pick a page by a digest. Profile k crawls the links with k more
+    in their digest, so that profiles reach pages in common by other ways."""
+    n = read_table(spark, sf_dir, "pages").agg(F.count(F.lit(1))).scalar()
+    links = C.links(C.parsed_pages(spark, sf_dir)).select("page_id", "pos", "href", "priority")
+    links = links.withColumn("profile", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    digest = F.md5(F.concat_ws("|", "href", "page_id", "profile"))
+    target = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
+    # the path's depth and keywords give few priorities: a digit of the digest adds more, ties stay
+    return links.select("profile", F.col("page_id").alias("src"), target.alias("dst"), (F.col("priority") + F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 4).alias("priority"), "pos")
+
+
+def q_site_order(spark, sf_dir):
+    """G4 and G5 over links derived from the pages: three profiles crawl the snapshot from page 0 on; depth and place of each page."""
+    seeds = spark.range(3).select(F.col("id").cast("int").alias("profile"), F.lit(0).cast("long").alias("node"))
+    return reach(_derived_links(spark, sf_dir), seeds, ["profile"], ordered=True).select("profile", "node", F.col("depth").cast("int").alias("depth"), "seq")
+
+
 def q_site_crawl_misses(spark, sf_dir):
     """S2 inside a crawl: in-scope targets of crawled pages missing from the snapshot."""
     (_reached, misses), _pages = _site_crawl(spark, sf_dir)
@@ -493,6 +512,7 @@ QUERIES = {
     "crawl_closure_all": q_crawl_closure_all,
     "crawl_order": q_crawl_order,
     "site_crawl": q_site_crawl,
+    "site_order": q_site_order,
     "site_crawl_misses": q_site_crawl_misses,
     "auto_skip": q_auto_skip,
     "failed_urls": q_failed_urls,

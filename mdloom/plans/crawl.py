@@ -3,9 +3,9 @@
 The reference pops URLs one at a time from a heap. Here a crawl is a
 level-synchronous closure: each level joins the frontier to the edge table,
 drops what was already visited (anti join) and de-duplicates; the reached set
-equals the sequential crawl's (see SURVEY Q13). Each level is checkpointed to
-the cluster's shared checkpoint folder, so lineage stays short and a lost
-executor recomputes at most one level.
+equals the sequential crawl's (see SURVEY Q13). Each level is written to the cluster's
+shared folder, so lineage stays short and a lost executor recomputes at most one level;
+crawls of several sites, and ordered ones, stand in ``plans.closure``.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mdloom.operators.order import ranked
+from mdloom.plans.closure import reach
 from mdloom.session import ensure_checkpoint_dir
 
 
@@ -134,13 +135,13 @@ def crawl_progress(links: DataFrame, pages: DataFrame, patterns: list[str]) -> D
             .select("host", "page_id", "processed", "queued", (F.col("processed") + F.col("queued")).alias("total")))
 
 
-def crawl_edges(links: DataFrame, pages: DataFrame, patterns) -> tuple[DataFrame, DataFrame]:
+def crawl_edges(links: DataFrame, pages: DataFrame, patterns, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Scope-checked link edges between snapshot pages.
 
     ``links`` needs (page_id, pos, dst_url, dst_key, scope_prefix); a link is in
     scope when its URL starts with ``scope_prefix`` (blank allows all, F2) and
-    matches no exclude pattern (F3). Returns (edges(src, dst) between snapshot pages, misses(dst_key,
-    src)) — a miss is an in-scope target the snapshot does not hold, i.e. a
+    matches no exclude pattern (F3). Returns (edges(src, dst, priority, pos) between snapshot pages, misses(dst_key,
+    src)), both with the columns ``by`` of links (the profile a link was found under) — a miss is an in-scope target the snapshot does not hold, i.e. a
     failed fetch."""
     from mdloom.functions import patterns as P
     from mdloom.functions import urls as U
@@ -152,17 +153,21 @@ def crawl_edges(links: DataFrame, pages: DataFrame, patterns) -> tuple[DataFrame
     ok = links.where(U.allowed_prefix(F.col("dst_url"), F.col("scope_prefix")) & hit.isNull())
     snap = dedup_first(pages.select("url_key", "page_id")).select(
         F.col("url_key").alias("dst_key"), F.col("page_id").alias("dst"))
-    j = ok.select(F.col("page_id").alias("src"), "dst_key").join(snap, "dst_key", "left")
-    edges = j.where(F.col("dst").isNotNull()).select("src", "dst")
-    misses = j.where(F.col("dst").isNull()).select("dst_key", "src")
+    by = by or []
+    j = ok.select(*by, F.col("page_id").alias("src"), "dst_key", "priority", "pos").join(snap, "dst_key", "left")
+    edges = j.where(F.col("dst").isNotNull()).select(*by, "src", "dst", "priority", "pos")
+    misses = j.where(F.col("dst").isNull()).select(*by, "dst_key", "src")
     return edges, misses
 
 
-def site_crawl(links: DataFrame, pages: DataFrame, seeds: DataFrame, patterns) -> tuple[DataFrame, DataFrame]:
-    """G4 on real pages: from the seed pages (column ``node`` = page_id), every
-    snapshot page reachable through in-scope nav links, with its depth; plus
-    the misses met from crawled pages (one row per target key, first source)."""
-    edges, misses = crawl_edges(links, pages, patterns)
-    reached = closure(edges, seeds)
-    met = misses.join(reached.select(F.col("node").alias("src")), "src", "left_semi")
-    return reached, met.groupBy("dst_key").agg(F.min("src").alias("first_src"), F.count(F.lit(1)).alias("n_refs"))
+def site_crawl(links: DataFrame, pages: DataFrame, seeds: DataFrame, patterns, by: list[str] | None = None,
+               ordered: bool = False) -> tuple[DataFrame, DataFrame]:
+    """G4 on real pages: from the seed pages (columns ``by`` and ``node`` = page_id), every
+    snapshot page reachable through in-scope nav links, with its depth (and with ``ordered`` its place
+    ``seq`` in the crawl order, G5); plus the misses met from crawled pages (one row per target key, first source).
+    Sites told apart by ``by`` crawl on their own and may share pages."""
+    by = by or []
+    edges, misses = crawl_edges(links, pages, patterns, by)
+    reached = reach(edges, seeds, by, ordered)
+    met = misses.join(reached.select(*by, F.col("node").alias("src")), [*by, "src"], "left_semi")
+    return reached, met.groupBy(*by, "dst_key").agg(F.min("src").alias("first_src"), F.count(F.lit(1)).alias("n_refs"))

@@ -502,3 +502,21 @@ ORACLES["image_extract"] = _with(PAGES_P + f""",
                 unnest(regexp_extract_all({BODY_CLEAN.replace("html", "pp.html")}, '<img[^>]*\\ssrc="([^"]+)"', 1)) AS src
          FROM pp)""",
     "SELECT page_id, src, CASE WHEN src LIKE '/%' AND src NOT LIKE '//%' THEN scheme || '://' || netloc || src END AS abs_url FROM im")
+
+
+def _site_order_sql(levels: int = 40) -> str:
+    """One relation per level: new pages by (priority, place of the parent, position), numbered on from the levels before."""
+    parts = [LINKS_CTE, """dl AS MATERIALIZED (
+  SELECT k AS profile, page_id AS src, ('0x' || substr(h, 1, 8))::BIGINT % (SELECT count(*) FROM pages) AS dst, priority + ('0x' || substr(h, 9, 1))::INT % 4 AS priority, pos
+  FROM (SELECT *, md5(href || '|' || page_id || '|' || k) AS h FROM links, (SELECT unnest([0, 1, 2]) AS k)))""",
+             "v0 AS MATERIALIZED (SELECT k AS profile, 0::BIGINT AS node, 0 AS depth, 1::BIGINT AS seq FROM (SELECT unnest([0, 1, 2]) AS k))"]
+    for d in range(1, levels + 1):
+        parts.append(f"""c{d} AS (SELECT l.profile, l.dst AS node, min({{'p': l.priority, 's': v.seq, 'o': l.pos}}) AS w
+  FROM dl l JOIN v{d - 1} v ON v.profile = l.profile AND v.node = l.src AND v.depth = {d - 1}
+  WHERE NOT EXISTS (SELECT 1 FROM v{d - 1} x WHERE x.profile = l.profile AND x.node = l.dst) GROUP BY ALL)""")
+        parts.append(f"""v{d} AS MATERIALIZED (SELECT * FROM v{d - 1} UNION ALL
+  SELECT profile, node, {d}, (SELECT count(*) FROM v{d - 1} x WHERE x.profile = c{d}.profile) + row_number() OVER (PARTITION BY profile ORDER BY w, node) FROM c{d})""")
+    return "WITH " + ", ".join(parts) + f" SELECT profile, node, depth, seq FROM v{levels}"
+
+
+ORACLES["site_order"] = _site_order_sql()

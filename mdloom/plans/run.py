@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdloom.functions import urls as U
+from mdloom.functions.patterns import compiled_array
+from mdloom.functions.selector_rows import MatchedNodes, matched_nodes, parsed_steps
 from mdloom.operators import advisor as AD
 from mdloom.operators import html as H
 from mdloom.operators import profiles as PR
+from mdloom.operators.scope import scopes
 from mdloom.plans import corpus as C
 from mdloom.plans import crawl as CR
 
@@ -78,41 +81,40 @@ def run_profile(spark: SparkSession, pages: DataFrame, profile: dict | str | Non
     return out
 
 
-# distinct selector texts compiled into one plan; more than this is refused
-MAX_DISTINCT_SELECTORS = 256
-
-
 def run_profiles(spark: SparkSession, pages: DataFrame, profiles_raw: DataFrame) -> dict[str, DataFrame]:
-    """Many sites at once: ``profiles_raw(profile_id, profile_json)``; each page
-    belongs to the profile with the longest ``allowed_domain`` prefix (J4) and
-    is crawled and converted with that profile's selectors, scope and patterns.
-    Profiles with violations are left out and returned in ``rejected``."""
-    from mdloom.functions.patterns import compiled_array
-    from mdloom.functions.selectors import SelectorSwitch
+    """Many sites at once: ``profiles_raw(profile_id, profile_json)``. Each profile crawls the
+    snapshot pages in its ``allowed_domain`` on its own, with its selectors, scope and patterns, so
+    a page in the scope of nested profiles belongs to each that reaches it. ``reached`` has
+    (profile_id, node, depth, seq); ``documents`` is per profile and page. Profiles with
+    violations, or with a selector that cannot be read, are left out and returned in ``rejected``.
+
+    Scopes are found by prefix before any page is parsed; what a profile needs travels with its pages,
+    so no node array is shuffled."""
     merged = PR.merge_profiles(PR.parse_profiles(profiles_raw))
     violations = PR.profile_violations(merged)
     ok = merged.join(violations.select("profile_id").distinct(), "profile_id", "left_anti")
     fld = lambda p: F.col(PR._field(p))
+    paths = {"nav_steps": "crawler.navigation_selector", "content_steps": "extractor.content_selector"}
     prof = ok.select("profile_id", fld("target_site.start_url").alias("start_url"),
                      fld("target_site.allowed_domain").alias("scope_prefix"),
-                     fld("crawler.navigation_selector").alias("nav_selector"),
-                     fld("extractor.content_selector").alias("content_selector"),
+                     *[parsed_steps(fld(path)).alias(name) for name, path in paths.items()],
                      compiled_array(fld("crawler.exclude_patterns")).alias("exclude_patterns"))
-    sels = prof.select(F.explode(F.array("nav_selector", "content_selector")).alias("s")).distinct() \
-        .limit(MAX_DISTINCT_SELECTORS + 1).collect()
-    if len(sels) > MAX_DISTINCT_SELECTORS:
-        raise ProfileError(f"more than {MAX_DISTINCT_SELECTORS} distinct selectors in one run")
-    choices = [r.s for r in sels]
-    assign = PR.page_profile(pages.select("page_id", "url"), ok).where(F.col("profile_id").isNotNull())
-    parsed = H.parse_pages(pages.select("page_id", "url", "html")).select(
-        "page_id", "url", U.normalize_url("url").alias("url_key"), U.url_host("url").alias("host"), "nodes")
-    site_pages = parsed.join(assign.select("page_id", "profile_id"), "page_id").join(prof, "profile_id")
-    nav = SelectorSwitch(F.col("nav_selector"), choices)
-    links = C.links(site_pages, nav, keep=["scope_prefix", "exclude_patterns"])
-    keys = site_pages.select("page_id", "url", "url_key")
-    seeds = site_pages.where(F.col("url_key") == U.normalize_url(F.col("start_url"))) \
-        .groupBy("profile_id").agg(F.min("page_id").alias("node")).select("node")
-    reached, misses = CR.site_crawl(links, keys, seeds, "exclude_patterns")
-    crawled = site_pages.join(reached.select(F.col("node").alias("page_id"), "depth"), "page_id")
-    docs = C.documents(crawled, SelectorSwitch(F.col("content_selector"), choices))
-    return {"reached": reached, "misses": misses, "documents": docs, "rejected": violations}
+    prof = prof.checkpoint()  # a row per profile; its parses are used several times
+    unread = [prof.where(F.col(name).isNull()).select("profile_id", F.lit(rule).alias("rule_id"), F.lit(300 + i).alias("rule_rank"), F.lit(path).alias("path"),
+                                                      F.lit("selector cannot be read").alias("message"))
+              for i, (rule, (name, path)) in enumerate(zip(("H2N", "H2C"), paths.items(), strict=True))]
+    rejected = violations.unionByName(unread[0]).unionByName(unread[1])
+    prof = prof.where(F.col("nav_steps").isNotNull() & F.col("content_steps").isNotNull())
+    scoped = scopes(pages.select("page_id", "url"), prof, prefix="scope_prefix")
+    parsed = H.parse_pages(pages.select("page_id", "html").join(scoped, "page_id")).select(
+        "*", U.normalize_url("url").alias("url_key"), U.url_host("url").alias("host"))
+    nav = parsed.withColumn("nav_nodes", matched_nodes(F.col("nodes"), F.col("nav_steps")))
+    links = C.links(nav, MatchedNodes(F.col("nav_nodes")), keep=["profile_id", "scope_prefix", "exclude_patterns"])
+    keys = pages.select("page_id", "url", U.normalize_url("url").alias("url_key"))
+    starts = prof.select("profile_id", U.normalize_url("start_url").alias("url_key"))
+    seeds = keys.join(starts, "url_key").groupBy("profile_id").agg(F.min("page_id").alias("node"))
+    reached, misses = CR.site_crawl(links, keys, seeds, "exclude_patterns", ["profile_id"], ordered=True)
+    crawled = parsed.join(reached.select("profile_id", F.col("node").alias("page_id"), "depth"), ["profile_id", "page_id"], "left_semi")
+    crawled = crawled.withColumn("content_nodes", matched_nodes(F.col("nodes"), F.col("content_steps"), only_first=True))
+    docs = C.documents(crawled, MatchedNodes(F.col("content_nodes"))).drop("nav_steps", "content_steps", "exclude_patterns", "content_nodes")
+    return {"reached": reached, "misses": misses, "documents": docs, "rejected": rejected}

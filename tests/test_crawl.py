@@ -201,6 +201,52 @@ def test_inventory_and_snapshots(spark):
     assert got == [(1, False, 0, 1), (2, False, 0, 2), (3, True, 1, 0), (4, False, 1, 1), (5, False, 1, 2), (6, True, 2, 0), (7, False, 2, 1)]
 
 
+def test_nested_profiles_and_many_selectors(spark):
+    """Nested scopes crawl on their own; thousands of distinct selectors run; one that cannot be read is an error row."""
+    import json
+    from mdloom.plans import run as RUN
+    pages = [(0, "https://a.org/", '<body><nav><a href="/docs/">Reference</a><a href="/z">Index</a><a href="/y">y</a></nav><main>top</main></body>'),
+             (1, "https://a.org/docs/", '<body><nav><a href="x">x</a><a href="/z">z</a></nav><div class="box c7"><p>D</p></div></body>'),
+             (2, "https://a.org/docs/x", '<body><section id="s"><div class="box"><b title="t7">B</b></div></section><p>X</p></body>'),
+             (3, "https://a.org/z", '<body><main>Z</main></body>'), (4, "https://a.org/y", '<body><nav><a href="/z?q">z</a></nav><main>Y</main></body>')]
+    site = lambda start, scope, **k: json.dumps({"target_site": {"start_url": start, "allowed_domain": scope}, **k})
+    profiles = [("all", site("https://a.org/", "https://a.org/")),
+                ("docs", site("https://a.org/docs/", "https://a.org/docs/", extractor={"content_selector": "section > .box b[title^='t'], div.c7"})),
+                ("odd", site("https://a.org/", "https://a.org/", extractor={"content_selector": "p:hover"}))]
+    profiles += [(f"m{i}", site(f"https://m{i}.org/", f"https://m{i}.org/", crawler={"navigation_selector": f".nav{i}"}, extractor={"content_selector": f"#c{i} > p"})) for i in range(2500)]
+    pages += [(100 + i, f"https://m{i}.org/", f'<body><div class="nav{i}"><a href="/n">n</a></div><main id="c{i}"><p>own {i}</p></main></body>') for i in range(0, 2500, 500)]
+    pages += [(9000, "https://m500.org/n", "<body><p>next</p></body>")]
+    out = RUN.run_profiles(spark, spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame(profiles, "profile_id string, profile_json string"))
+    reached = {(r.profile_id, r.node): (r.depth, r.seq) for r in out["reached"].collect()}
+    # Index (5 less) before y before Reference (5 more): priorities 5, 10 and 16
+    assert {k: v for k, v in reached.items() if k[0] in ("all", "docs")} == {
+        ("all", 0): (0, 1), ("all", 3): (1, 2), ("all", 4): (1, 3), ("all", 1): (1, 4), ("all", 2): (2, 5), ("docs", 1): (0, 1), ("docs", 2): (1, 2)}
+    assert reached["m500", 9000] == (1, 2) and len(reached) == 7 + 6
+    docs = {(r.profile_id, r.page_id): (r.markdown.strip(), r.source) for r in out["documents"].collect()}
+    assert docs["docs", 1] == ("D", "selector") and docs["docs", 2][1] == "selector" and docs["all", 3] == ("Z", "selector")
+    assert docs["m500", 600] == ("own 500", "selector") and docs["m2000", 2100] == ("own 2000", "selector")
+    assert [(r.profile_id, r.rule_id) for r in out["rejected"].collect()] == [("odd", "H2C")]
+
+
+def test_levels_shuffle_only_what_they_find(spark):
+    from mdloom.plans.closure import _Bucketed
+    table, seen = _Bucketed(spark, "edges", ["node"], 8), _Bucketed(spark, "visited", ["node"], 8)
+    table.add(spark.range(1000).select(F.col("id").alias("node"), (F.col("id") + 1).alias("dst")))
+    seen.add(spark.range(10).select(F.col("id").alias("node"), F.lit(0).alias("depth")))
+    seen.add(spark.range(10, 20).select(F.col("id").alias("node"), F.lit(1).alias("depth")))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        now = seen.read()
+        found = now.where("depth = 1").join(table.read(), "node").select(F.col("dst").alias("node")).distinct().join(now.select("node"), "node", "left_anti")
+        assert {r.node for r in found.collect()} == {20}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    final = plan.split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") == 1, final
+
+
 def test_closure_edges_keep_their_partitioning(spark):
     edges = CR._by_source(spark.range(100).select(F.col("id").alias("_src"), (F.col("id") + 1).alias("node")))
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"

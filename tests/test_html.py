@@ -139,12 +139,22 @@ def test_parse_pages_chunked_output(spark, monkeypatch):
     assert len(got) == 41 and got[99] is None and all(v == 4 for k, v in got.items() if k != 99 and k % 7)
 
 
-def test_selector_switch_per_row(spark):
-    from mdloom.functions.selectors import SelectorSwitch
-    html = '<body><nav>n</nav><main>m</main><div class="side">s</div></body>'
-    rows = [(1, "u", html, "nav"), (2, "u", html, ".side"), (3, "u", html, "article")]
-    df = H.parse_pages(spark.createDataFrame(rows, "page_id long, url string, html string, sel string"))
-    sw = SelectorSwitch(F.col("sel"), ["nav", ".side"])          # 'article' was not compiled
-    got = {r.page_id: r.tags for r in df.select(
-        "page_id", F.transform(H.matches(F.col("nodes"), sw), lambda n: n["tag"]).alias("tags")).collect()}
-    assert got == {1: ["nav"], 2: ["div"], 3: []}
+def test_selectors_as_data_equal_compiled_ones(spark):
+    from mdloom.functions.selector_rows import MatchedNodes, matched_nodes, parsed_steps
+    deep = "<div class='d'>" * 300 + "<p id='low'>x</p>" + "</div>" * 300
+    pages = ['<body><nav>n</nav><main>m</main><div class="side">s</div></body>', None, "", "plain",
+             '<body><div class="a b" data-k="v w"><p>1</p><ul><li><p>2</p></li></ul></div><p class="b">3</p><section><div><div><a href="/x-y">4</a></div></div></section></body>',
+             f"<body>{deep}</body>"]
+    selectors = ["nav", ".side", "article", "div p", "div > p", "ul > li p, .b", "*", "body > *", "div div > a[href^='/x']", "[data-k~='w']", "[data-k='v']", "a[href$='y']",
+                 "a[href*='-'], #low", ".a.b", "div.d div.d > p#low", "section a, nav", "[href|='/x']", "p:hover", "", None, "div >", "[data-k]"]
+    rows = [(i, "u", h, s) for i, (h, s) in enumerate((h, s) for h in pages for s in selectors)]
+    df = H.parse_pages(spark.createDataFrame(rows, "page_id long, url string, html string, sel string")).withColumn("steps", parsed_steps("sel"))
+    df = df.withColumn("ids", matched_nodes(F.col("nodes"), F.col("steps"))).withColumn("first", matched_nodes(F.col("nodes"), F.col("steps"), only_first=True))
+    df = df.select("*", F.transform(H.matches(F.col("nodes"), MatchedNodes(F.col("ids"))), lambda n: n["node_id"]).alias("back")).checkpoint()
+    unread = {r.sel for r in df.where("steps is null").collect()}
+    assert unread == {"p:hover", "", None, "div >"}
+    for sel in set(selectors) - unread:
+        want = F.coalesce(F.transform(H.matches(F.col("nodes"), sel), lambda n: n["node_id"]), F.array().cast("array<int>"))
+        for r in df.where(F.col("sel") == sel).select("ids", "first", "back", want.alias("want")).collect():
+            assert (r.ids, r.first, r.back) == (r.want, r.want[:1], r.want), sel
+    assert all(r.ids == [] for r in df.where("steps is null").collect())

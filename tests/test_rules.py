@@ -87,7 +87,22 @@ def test_page_profile_longest_prefix(spark):
     pages = spark.createDataFrame([(1, "https://docs.python.org/3/library/os.html"), (2, "https://example.com/docs/x"),
                                    (3, "https://other.org/")], "page_id long, url string")
     got = {r.page_id: r.profile_id for r in PR.page_profile(pages, m).collect()}
-    assert got == {1: "python_docs", 2: "minimal", 3: None}
+    assert got == {1: "python_docs", 2: "minimal", 3: "nullfile"}   # a blank domain takes what is left
+
+
+def test_scopes_by_prefix_length(spark):
+    from mdloom.operators.scope import longest_scope, scopes
+    prefixes = [("a", "https://"), ("b", "https://h/docs/"), ("b2", "https://h/docs/"), ("c", "/local"), ("d", None), ("e", ""), ("f", "https://é/"), ("g", "http")]
+    urls = ["https://h/docs/x", "https://h/", "/local/y", "ftp://z", "https://é/ü", "", "http://h/docs/x", None, "https://h/docs/"]
+    u = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    p = spark.createDataFrame(prefixes, "profile_id string, prefix string")
+    want = {(i, name) for i, url in enumerate(urls) for name, x in prefixes if x and url is not None and url.startswith(x)}
+    assert {(r.page_id, r.profile_id) for r in scopes(u, p).collect()} == want
+    best = {i: max(((len(x), n) for n, x in prefixes if x and (i, n) in want), default=(0, "e")) for i in range(len(urls))}
+    got = {r.page_id: r.profile_id for r in longest_scope(u, p, "page_id", "profile_id").collect()}
+    assert got == {i: n for i, (_, n) in best.items()}
+    nobody = longest_scope(u, p.where("prefix like 'ftps%'"), "page_id", "profile_id").collect()
+    assert len(nobody) == len(urls) and all(r.profile_id is None and r.prefix is None for r in nobody)
 
 
 # ---------------------------------------------------------------- advisor / errors
