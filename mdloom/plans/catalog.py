@@ -172,6 +172,18 @@ def q_convert_status(spark, sf_dir):
     return d.select("page_id", "source", "status", "error_severity")
 
 
+def q_convert_gaps(spark, sf_dir):
+    """H8, H3: status of pages of which some have no html or an empty one; even ones ask for article, odd ones for a selector that nothing has."""
+    from mdloom.functions.selector_rows import MatchedNodes, matched_nodes, parsed_steps
+    asks = spark.createDataFrame([(0, "article"), (1, "main > .absent, #none")], "odd int, sel string").select("odd", parsed_steps("sel").alias("steps"))
+    pid = F.col("page_id")
+    html = F.when(pid % 7 == 0, F.lit(None)).when(pid % 11 == 0, F.lit("")).otherwise(F.col("html")).alias("html")
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", html, (pid % 2).cast("int").alias("odd"))
+    parsed = H.parse_pages(pages.join(F.broadcast(asks), "odd"))  # two rows
+    hit = parsed.withColumn("hit", matched_nodes(F.col("nodes"), F.col("steps"), only_first=True))
+    return C.documents(hit, MatchedNodes(F.col("hit"))).select("page_id", "source", "status", "error_severity")
+
+
 def q_convert_stats(spark, sf_dir):
     """A2: per host processed / success / failed and success rate (%)."""
     d = C.documents(C.parsed_pages(spark, sf_dir))
@@ -284,6 +296,25 @@ def _derived_links(spark, sf_dir):
     return links.select("profile", F.col("page_id").alias("src"), target.alias("dst"), (F.col("priority") + F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") % 4).alias("priority"), "pos")
 
 
+def _links_to_pages(spark, sf_dir):
+    """The derived links of profile 0 with the key of the page that each leads to, and all keys."""
+    keys = page_scan(spark, sf_dir).select("url_key", "page_id")
+    links = _derived_links(spark, sf_dir).where("profile = 0")
+    target = keys.select(F.col("page_id").alias("dst"), F.col("url_key").alias("dst_key"))
+    return links.join(target, "dst").select(F.col("src").alias("page_id"), "pos", "dst_key"), keys
+
+
+def q_derived_link_graph(spark, sf_dir):
+    """J3 over links that hit the snapshot: every page of the target's key."""
+    return CR.link_graph(*_links_to_pages(spark, sf_dir))
+
+
+def q_derived_links_seen(spark, sf_dir):
+    """Links whose target is among the visited keys, those of every third page."""
+    links, keys = _links_to_pages(spark, sf_dir)
+    return CR.frontier_seen(links, keys.where(F.col("page_id") % 3 == 0)).select("page_id", "pos", "dst_key")
+
+
 def q_site_order(spark, sf_dir):
     """G4 and G5 over links derived from the pages: three profiles crawl the snapshot from page 0 on; depth and place of each page."""
     seeds = spark.range(3).select(F.col("id").cast("int").alias("profile"), F.lit(0).cast("long").alias("node"))
@@ -427,6 +458,58 @@ def q_profile_violations(spark, sf_dir):
     return PR.profile_violations(_origin_profiles(spark, sf_dir))
 
 
+#: Profiles with something of their own, as a profile source may deliver them: (section, key, JSON value); the pages' origins fill in the
+#: site. A null key replaces the section, a null section the whole text.
+PROFILE_CASES = [
+    ("execution", "request_delay", "1.5"), ("target_site", "allowed_domain", '""'), ("target_site", "start_url", '"ftp://x/"'), ("execution", "request_delay", "-1"),
+    ("execution", "request_delay", "60"), ("execution", "request_delay", "60.5"), ("crawler", "exclude_patterns", '["ok", "("]'),
+    ("crawler", "exclude_patterns", '["/{version}/", "(a)?(?(1)b|c)"]'), ("logging", "console_level", '"TRACE"'), ("logging", "console_level", '"info"'),
+    ("retry", "max_retries", '"three"'), ("retry", "max_retries", "true"), ("retry", "max_retries", "11"), ("crawler", "navigation_selector", "null"),
+    ("recovery", "recovery_file", '" "'), ("target_site", "allowed_domain", '"example"'), (None, None, "{"), ("logging", "max_file_size_mb", "0"),
+    ("crawler", None, "5"), ("retry", "retry_status_codes", '"429"'), ("output", "download_images", '"yes"'), ("logging", "file_level", '"LOUD"'),
+    ("recovery", "save_interval", "0"), ("logging", "backup_count", "21"), ("retry", "skip_after_failures", "0"), ("retry", "backoff_factor", "0.5"),
+    ("retry", "initial_delay", "31"), ("retry", "max_delay", "301"), ("output", "base_dir", '""'), ("extractor", "content_selector", '"  "'), ("target_site", None, "{}"),
+]
+
+
+def _case_json(section: str | None, key: str | None, value: str) -> str:
+    """The profile text of a case, ``@`` standing for the origin."""
+    if section is None:
+        return value
+    site = {"start_url": '"@"', "allowed_domain": '"@"'}
+    sections = {"target_site": site, section: {**(site if section == "target_site" else {}), **({key: value} if key else {})}}
+    inner = {s: "{" + ", ".join(f'"{k}": {v}' for k, v in d.items()) + "}" for s, d in sections.items()}
+    if key is None:
+        inner[section] = value
+    return "{" + ", ".join(f'"{s}": {d}' for s, d in inner.items()) + "}"
+
+
+def _page_profiles(spark, sf_dir):
+    """One profile per page: its origin and the case that its id picks."""
+    from mdloom.operators import profiles as PR
+    p = U.parse_url("url")
+    origin = F.concat(p["scheme"], F.lit("://"), F.lower(p["netloc"]), F.lit("/"))
+    texts = F.array(*[F.lit(_case_json(*c)) for c in PROFILE_CASES])
+    text = F.replace(F.get(texts, F.pmod("page_id", F.lit(len(PROFILE_CASES))).cast("int")), F.lit("@"), origin)
+    raw = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("profile_id"), text.alias("profile_json"))
+    return PR.merge_profiles(PR.parse_profiles(raw))
+
+
+def q_profile_faults(spark, sf_dir):
+    """K/T/V: all violations of profiles of which most have a fault."""
+    from mdloom.operators import profiles as PR
+    return PR.profile_violations(_page_profiles(spark, sf_dir)).select(F.col("profile_id").alias("page_id"), "rule_id", "rule_rank", "path")
+
+
+def q_profile_merge(spark, sf_dir):
+    """Values after the merge with the defaults: absent keys take them, a null stays, a replaced section has none."""
+    m = _page_profiles(spark, sf_dir)
+    return m.select(F.col("profile_id").alias("page_id"), F.col("target_site__allowed_domain").alias("allowed_domain"),
+                    F.col("crawler__navigation_selector").alias("navigation_selector"), F.size("crawler__exclude_patterns").alias("n_patterns"),
+                    F.col("execution__request_delay").alias("request_delay"), F.col("logging__console_level").alias("console_level"),
+                    F.col("retry__skip_after_failures").alias("skip_after_failures"), F.col("output__base_dir").alias("base_dir"))
+
+
 # ---------------------------------------------------------------- logs
 def _attempt_logs(spark, sf_dir):
     from mdloom.sources import logs as LG
@@ -501,6 +584,7 @@ QUERIES = {
     "image_extract": q_image_extract,
     "convert_status": q_convert_status,
     "convert_stats": q_convert_stats,
+    "convert_gaps": q_convert_gaps,
     "frontier_new": q_frontier_new,
     "frontier_seen": q_frontier_seen,
     "link_graph": q_link_graph,
@@ -513,6 +597,8 @@ QUERIES = {
     "crawl_order": q_crawl_order,
     "site_crawl": q_site_crawl,
     "site_order": q_site_order,
+    "derived_link_graph": q_derived_link_graph,
+    "derived_links_seen": q_derived_links_seen,
     "site_crawl_misses": q_site_crawl_misses,
     "auto_skip": q_auto_skip,
     "failed_urls": q_failed_urls,
@@ -533,6 +619,8 @@ QUERIES = {
     "page_priority": q_page_priority,
     "page_profile": q_page_profile,
     "profile_violations": q_profile_violations,
+    "profile_faults": q_profile_faults,
+    "profile_merge": q_profile_merge,
     "profile_checksum": q_profile_checksum,
     "log_stats": q_log_stats,
     "log_context": q_log_context,

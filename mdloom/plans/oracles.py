@@ -520,3 +520,38 @@ def _site_order_sql(levels: int = 40) -> str:
 
 
 ORACLES["site_order"] = _site_order_sql()
+
+# what each of the 31 kinds of profile breaks: (case, rule, rank, path)
+_BROKEN = [(1, "K2", 2, "target_site.allowed_domain"), (2, "V01", 200, "target_site.start_url"), (3, "V03", 203, "execution.request_delay"),
+           (5, "V03", 203, "execution.request_delay"), (6, "V11", 211, "crawler.exclude_patterns"), (8, "V12", 212, "logging.console_level"),
+           (10, "T10", 109, "retry.max_retries"), (11, "T10", 109, "retry.max_retries"), (12, "V04", 204, "retry.max_retries"),
+           (13, "K3", 3, "crawler.navigation_selector"), (14, "V10", 210, "recovery.recovery_file"), (15, "V02", 201, "target_site.allowed_domain"),
+           (16, "K1", 1, "target_site.start_url"), (16, "K2", 2, "target_site.allowed_domain"), (17, "V14", 214, "logging.max_file_size_mb"),
+           (18, "K3", 3, "crawler.navigation_selector"), (19, "T14", 113, "retry.retry_status_codes"), (20, "T08", 107, "output.download_images"),
+           (21, "V13", 213, "logging.file_level"), (22, "V09", 209, "recovery.save_interval"), (23, "V15", 215, "logging.backup_count"),
+           (24, "V08", 208, "retry.skip_after_failures"), (25, "V05", 205, "retry.backoff_factor"), (26, "V06", 206, "retry.initial_delay"),
+           (27, "V07", 207, "retry.max_delay"), (28, "K5", 5, "output.base_dir"), (29, "K4", 4, "extractor.content_selector"),
+           (30, "K1", 1, "target_site.start_url"), (30, "K2", 2, "target_site.allowed_domain")]
+
+ORACLES["profile_faults"] = ("SELECT page_id, rule_id, rule_rank, path FROM pages JOIN (VALUES "
+                             + ", ".join(f"({c}, '{r}', {n}, '{p}')" for c, r, n, p in _BROKEN)
+                             + ") b(kind, rule_id, rule_rank, path) ON page_id % 31 = kind")
+ORACLES["profile_merge"] = _with(PAGES_P, """SELECT page_id,
+  CASE page_id % 31 WHEN 1 THEN '' WHEN 15 THEN 'example' WHEN 16 THEN '' WHEN 30 THEN '' ELSE scheme || '://' || lower(netloc) || '/' END AS allowed_domain,
+  CASE WHEN page_id % 31 IN (13, 18) THEN NULL ELSE 'nav' END AS navigation_selector,
+  CASE WHEN page_id % 31 IN (6, 7) THEN 2 WHEN page_id % 31 = 18 THEN NULL ELSE 3 END AS n_patterns,
+  CASE page_id % 31 WHEN 0 THEN 1.5 WHEN 3 THEN -1 WHEN 4 THEN 60 WHEN 5 THEN 60.5 ELSE 1 END::DOUBLE AS request_delay,
+  CASE page_id % 31 WHEN 8 THEN 'TRACE' WHEN 9 THEN 'info' ELSE 'INFO' END AS console_level,
+  CASE WHEN page_id % 31 = 24 THEN 0 ELSE 5 END AS skip_after_failures, CASE WHEN page_id % 31 = 28 THEN '' ELSE './output' END AS base_dir
+FROM pp""")
+
+_DERIVED = """dl AS (SELECT page_id AS src, pos, ('0x' || substr(md5(href || '|' || page_id || '|0'), 1, 8))::BIGINT % (SELECT count(*) FROM pages) AS dst FROM links)"""
+ORACLES["derived_link_graph"] = _with(LINKS_CTE + ", " + _DERIVED + f", kk AS (SELECT page_id, {KEY} AS url_key FROM pp)",
+    "SELECT dl.src AS src_page_id, dl.pos, t.url_key AS dst_key, q.page_id AS dst_page_id FROM dl JOIN kk t ON t.page_id = dl.dst JOIN kk q ON q.url_key = t.url_key")
+ORACLES["derived_links_seen"] = _with(LINKS_CTE + ", " + _DERIVED + f", kk AS (SELECT page_id, {KEY} AS url_key FROM pp)",
+    "SELECT dl.src AS page_id, dl.pos, t.url_key AS dst_key FROM dl JOIN kk t ON t.page_id = dl.dst WHERE EXISTS (SELECT 1 FROM kk v WHERE v.url_key = t.url_key AND v.page_id % 3 = 0)")
+ORACLES["convert_gaps"] = """SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'no_html' WHEN page_id % 11 = 0 THEN 'none'
+    WHEN regexp_matches(html, '<article[\\s>]') AND page_id % 2 = 0 THEN 'selector' ELSE 'body' END AS source,
+  CASE WHEN page_id % 7 = 0 OR page_id % 11 = 0 THEN 'failed' ELSE 'success' END AS status,
+  CASE WHEN page_id % 7 = 0 OR page_id % 11 = 0 THEN 'MEDIUM' WHEN regexp_matches(html, '<article[\\s>]') AND page_id % 2 = 0 THEN NULL ELSE 'LOW' END AS error_severity
+FROM pages"""
