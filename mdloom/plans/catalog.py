@@ -16,6 +16,7 @@ from mdloom.operators import attempts as OA
 from mdloom.operators import errors as OE
 from mdloom.operators.order import ranked
 from mdloom.plans import crawl as CR
+from mdloom.plans import log_files as LF
 from mdloom.plans.closure import reach
 from mdloom.plans import runs as R
 from mdloom.session import scratch_path
@@ -625,6 +626,8 @@ QUERIES = {
     "log_stats": q_log_stats,
     "log_context": q_log_context,
     "log_tail": q_log_tail,
+    "log_errors": LF.q_log_errors,
+    "log_error_records": LF.q_log_error_records,
     "stream_pages": q_stream_pages,
     "stream_failures": q_stream_failures,
 }

@@ -8,6 +8,8 @@ covered by tests against fixtures.
 
 from __future__ import annotations
 
+from mdloom.plans import log_oracles
+
 URL_RX = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)"
 
 
@@ -555,3 +557,5 @@ ORACLES["convert_gaps"] = """SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'no_
   CASE WHEN page_id % 7 = 0 OR page_id % 11 = 0 THEN 'failed' ELSE 'success' END AS status,
   CASE WHEN page_id % 7 = 0 OR page_id % 11 = 0 THEN 'MEDIUM' WHEN regexp_matches(html, '<article[\\s>]') AND page_id % 2 = 0 THEN NULL ELSE 'LOW' END AS error_severity
 FROM pages"""
+
+ORACLES.update(log_oracles.ORACLES)
