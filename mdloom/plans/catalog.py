@@ -17,6 +17,8 @@ from mdloom.operators import errors as OE
 from mdloom.operators.order import ranked
 from mdloom.plans import crawl as CR
 from mdloom.plans import log_files as LF
+from mdloom.plans import page_images as PI
+from mdloom.plans import recovery as RC
 from mdloom.plans.closure import reach
 from mdloom.plans import runs as R
 from mdloom.session import scratch_path
@@ -626,6 +628,11 @@ QUERIES = {
     "log_stats": q_log_stats,
     "log_context": q_log_context,
     "log_tail": q_log_tail,
+    "image_manifest": PI.q_image_manifest,
+    "image_markdown": PI.q_image_markdown,
+    "state_snapshot": RC.q_state_snapshot,
+    "state_restore": RC.q_state_restore,
+    "resume_gate": RC.q_resume_gate,
     "log_errors": LF.q_log_errors,
     "log_error_records": LF.q_log_error_records,
     "stream_pages": q_stream_pages,

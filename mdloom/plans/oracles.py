@@ -8,7 +8,7 @@ covered by tests against fixtures.
 
 from __future__ import annotations
 
-from mdloom.plans import log_oracles
+from mdloom.plans import image_oracles, log_oracles, recovery_oracles
 
 URL_RX = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)"
 
@@ -559,3 +559,5 @@ ORACLES["convert_gaps"] = """SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'no_
 FROM pages"""
 
 ORACLES.update(log_oracles.ORACLES)
+ORACLES.update(image_oracles.image_oracles(_parts('url'), MD_STEPS))
+ORACLES.update(recovery_oracles.ORACLES)

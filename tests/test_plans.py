@@ -13,7 +13,8 @@ HTML_READERS = {"page_scan", "page_nodes", "selector_match", "link_extract", "li
                 "convert_stats", "frontier_new", "frontier_seen", "link_graph", "frontier_lookup", "frontier_order",
                 "error_union", "error_summary", "error_policy", "site_runs", "run_rates", "advisor",
                 "advisor_counts", "advisor_report", "crawl_progress", "page_priority", "site_crawl",
-                "site_crawl_misses", "image_extract", "site_order", "derived_link_graph", "derived_links_seen", "convert_gaps"}
+                "site_crawl_misses", "image_extract", "site_order", "derived_link_graph", "derived_links_seen", "convert_gaps",
+                "image_manifest", "image_markdown"}
 SKIP = {"stream_pages", "stream_failures", "site_order"}   # executed eagerly into a table, read back as a scan
 
 
