@@ -16,6 +16,7 @@ from mdloom.operators import attempts as OA
 from mdloom.operators import errors as OE
 from mdloom.operators.order import ranked
 from mdloom.plans import crawl as CR
+from mdloom.plans import increments as IN
 from mdloom.plans import log_files as LF
 from mdloom.plans import page_images as PI
 from mdloom.plans import recovery as RC
@@ -637,4 +638,7 @@ QUERIES = {
     "log_error_records": LF.q_log_error_records,
     "stream_pages": q_stream_pages,
     "stream_failures": q_stream_failures,
+    "stream_restart": IN.q_stream_restart,
+    "stream_auto_skip": IN.q_stream_auto_skip,
+    "stream_throughput": IN.q_stream_throughput,
 }

@@ -8,7 +8,7 @@ covered by tests against fixtures.
 
 from __future__ import annotations
 
-from mdloom.plans import image_oracles, log_oracles, recovery_oracles
+from mdloom.plans import image_oracles, increment_oracles, log_oracles, recovery_oracles
 
 URL_RX = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)"
 
@@ -561,3 +561,4 @@ FROM pages"""
 ORACLES.update(log_oracles.ORACLES)
 ORACLES.update(image_oracles.image_oracles(_parts('url'), MD_STEPS))
 ORACLES.update(recovery_oracles.ORACLES)
+ORACLES.update(increment_oracles.increment_oracles(PAGES_P, KEY, ORACLES["auto_skip"]))

@@ -61,7 +61,9 @@ def run_auto_skip(stream: DataFrame, base: str, url: str = "url_id", skip_after:
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         old = totals.below(batch.sparkSession, batch_id, ddl, totals.touched(batch)).withColumnRenamed(url, "old")
-        j = auto_skip(batch, url, skip_after=skip_after).join(old, F.col(url).eqNullSafe(F.col("old")), "left")
+        # as a struct the missing URL is a key like the others
+        flagged = auto_skip(batch.withColumn("url_key_", F.struct(url)), "url_key_", skip_after=skip_after).drop("url_key_")
+        j = flagged.join(old, F.col(url).eqNullSafe(F.col("old")), "left")
         prior = F.col("prior_failures") + F.coalesce("failures", F.lit(0))
         out = j.select("attempt_id", url, "failed", (F.col("attempt_no") + F.coalesce("attempts", F.lit(0))).alias("attempt_no"),
                        prior.alias("prior_failures"), (prior >= skip_after).alias("skipped"))
