@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mdloom.functions.tree import any_ancestor, node_at, over_ancestors
 from mdloom.functions.urls import let
 
 BLK = "\u0001"    # block boundary (blank line)
@@ -48,8 +49,8 @@ SKIP_TAGS = ["head", "script", "style", "title", "template", "noscript"]
 # ----------------------------------------------------------------------------
 
 
-def _node_at(nodes, i):
-    return F.element_at(nodes, i + 1)
+def _inside(nodes: Column, n: Column, *tags: str) -> Column:
+    return any_ancestor(nodes, n, lambda a: a["tag"].isin(*tags))
 
 
 def _escape_text(s: Column) -> Column:
@@ -61,8 +62,8 @@ def _escape_text(s: Column) -> Column:
 def _open_piece(nodes: Column, n: Column, src_map: Column | None) -> Column:
     tag = n["tag"]
     attrs = n["attrs"]
-    parent = _node_at(nodes, n["parent_id"])
-    list_depth = F.size(F.filter(n["anc"], lambda i: _node_at(nodes, i)["tag"].isin("ul", "ol")))
+    parent = node_at(nodes, n["parent_id"])
+    list_depth = over_ancestors(nodes, n, F.lit(0), lambda d, a: d + a["tag"].isin("ul", "ol").cast("int"))
     indent = F.repeat(F.lit(SP + SP), F.greatest(list_depth - 1, F.lit(0)))
     li_no = F.size(F.filter(F.slice(nodes, n["parent_id"] + 2, n["node_id"] - n["parent_id"]),
                             lambda x: (x["parent_id"] == n["parent_id"]) & (x["tag"] == "li")))
@@ -74,10 +75,10 @@ def _open_piece(nodes: Column, n: Column, src_map: Column | None) -> Column:
     heading = F.lit("")
     for h, k in HEADINGS.items():
         heading = F.when(tag == h, F.lit(BLK + G_HASH * k + " ")).otherwise(heading)
-    in_pre = F.exists(n["anc"], lambda i: _node_at(nodes, i)["tag"] == "pre")
+    in_pre = _inside(nodes, n, "pre")
     text = F.when(in_pre, F.regexp_replace(F.regexp_replace(n["text"], " ", SP), "\n", NL)) \
         .otherwise(_escape_text(n["text"]))
-    in_skip = F.exists(n["anc"], lambda i: _node_at(nodes, i)["tag"].isin(*SKIP_TAGS))
+    in_skip = _inside(nodes, n, *SKIP_TAGS)
     return (F.when(n["kind"] == "text", F.when(in_skip, F.lit("")).otherwise(text))
             .when(tag.isin(*HEADINGS.keys()), heading)
             .when(tag == "li", F.concat(F.lit(NL), indent, bullet))
@@ -100,7 +101,8 @@ def _open_piece(nodes: Column, n: Column, src_map: Column | None) -> Column:
 
 def _close_piece(nodes: Column, n: Column) -> Column:
     tag = n["tag"]
-    table_id = F.array_max(F.filter(n["anc"], lambda i: _node_at(nodes, i)["tag"] == "table"))
+    # the nearest table: the first one on the way up
+    table_id = over_ancestors(nodes, n, F.lit(None).cast("int"), lambda t, a: F.coalesce(t, F.when(a["tag"] == "table", a["node_id"])))
     first_tr = ~F.exists(F.slice(nodes, table_id + 2, n["node_id"] - table_id - 1),
                          lambda x: x["tag"] == "tr")
     ncells = F.size(F.filter(F.slice(nodes, n["node_id"] + 2, n["end_id"] - n["node_id"]),
@@ -110,7 +112,7 @@ def _close_piece(nodes: Column, n: Column) -> Column:
             .when(tag == "li", F.lit(NL))
             .when(tag.isin("b", "strong"), F.lit(S_C))
             .when(tag.isin("i", "em"), F.lit(E_C))
-            .when((tag == "code") & ~F.exists(n["anc"], lambda i: _node_at(nodes, i)["tag"] == "pre"), F.lit("`"))
+            .when((tag == "code") & ~_inside(nodes, n, "pre"), F.lit("`"))
             .when(tag == "pre", F.lit(NL + "```" + BLK))
             .when((tag == "a") & F.map_contains_key(n["attrs"], F.lit("href")),
                   F.concat(F.lit("]("), F.element_at(n["attrs"], F.lit("href")), F.lit(")")))
@@ -118,7 +120,7 @@ def _close_piece(nodes: Column, n: Column) -> Column:
                   .otherwise(F.lit("|")))
             .when(tag.isin("td", "th"), F.lit(" "))
             .when(tag == "blockquote", F.lit(QE + BLK))
-            .when(tag.isin("ul", "ol") & F.exists(n["anc"], lambda i: _node_at(nodes, i)["tag"].isin("ul", "ol")),
+            .when(tag.isin("ul", "ol") & _inside(nodes, n, "ul", "ol"),
                   F.lit(NL))
             .when(tag.isin(*BLOCK_TAGS), F.lit(BLK))
             .otherwise(F.lit("")))

@@ -15,6 +15,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mdloom.functions.tree import any_ancestor, node_at
+
 _TOKEN = re.compile(r"""
     (?P<ws>\s*>\s*|\s+)
   | (?P<tag>[A-Za-z][A-Za-z0-9_-]*|\*)
@@ -124,10 +126,6 @@ def _compound(n: Column, c: dict) -> Column:
     return pred
 
 
-def _node_at(nodes: Column, node_id: Column) -> Column:
-    return F.element_at(nodes, node_id + 1)
-
-
 def _chain_pred(nodes: Column, n: Column, chain: list[tuple[str, dict]]) -> Column:
     comb, comp = chain[-1]
     pred = _compound(n, comp)
@@ -135,9 +133,9 @@ def _chain_pred(nodes: Column, n: Column, chain: list[tuple[str, dict]]) -> Colu
         return pred
     rest = chain[:-1]
     if comb == ">":
-        parent = _node_at(nodes, n["parent_id"])
+        parent = node_at(nodes, n["parent_id"])
         return pred & (n["parent_id"] >= 0) & F.coalesce(_chain_pred(nodes, parent, rest), F.lit(False))
-    return pred & F.exists(n["anc"], lambda i: _chain_pred(nodes, _node_at(nodes, i), rest))
+    return pred & any_ancestor(nodes, n, lambda a: _chain_pred(nodes, a, rest))
 
 
 def selector_predicate(selector: str, nodes: Column):

@@ -2,7 +2,7 @@
 
 A small helper around the standard library's ``html.parser``: it emits one
 record per element or text node, in document order, with the subtree interval
-``[node_id, end_id]`` and the ancestor ids, so every tree question afterwards
+``[node_id, end_id]`` and the parent's id, so every tree question afterwards
 (selector match, containment, first match, cleaning, Markdown order) is a
 Spark expression over the ``nodes`` array.
 
@@ -21,6 +21,7 @@ documentation pages):
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 # --- fixed values: HTML element classes -------------------------------------
@@ -44,11 +45,10 @@ SIBLING_CLOSE = {
 # -----------------------------------------------------------------------------
 
 NODE_FIELDS = ("node_id", "end_id", "parent_id", "depth", "kind", "tag", "elem_id",
-               "classes", "attrs", "text", "anc")
+               "classes", "attrs", "text")
 
 NODE_DDL = ("node_id INT, end_id INT, parent_id INT, depth INT, kind STRING, tag STRING, "
-            "elem_id STRING, classes ARRAY<STRING>, attrs MAP<STRING,STRING>, text STRING, "
-            "anc ARRAY<INT>")
+            "elem_id STRING, classes ARRAY<STRING>, attrs MAP<STRING,STRING>, text STRING")
 
 
 class _TreeBuilder(HTMLParser):
@@ -57,6 +57,7 @@ class _TreeBuilder(HTMLParser):
         self.nodes: list[list] = []
         self.stack: list[int] = []      # node ids of open elements
         self.tags: list[str] = []       # tags of open elements
+        self.n_open: Counter = Counter()  # how many of each are open
         self.has_html = False
         self.has_body = False
         self.in_head = False
@@ -72,14 +73,15 @@ class _TreeBuilder(HTMLParser):
         cls = amap.get("class")
         classes = cls.split() if cls else []
         self.nodes.append([nid, nid, parent, len(self.stack), "element", tag,
-                           amap.get("id"), classes, list(amap.items()), None, list(self.stack)])
+                           amap.get("id"), classes, list(amap.items()), None])
         if not void:
             self.stack.append(nid)
             self.tags.append(tag)
+            self.n_open[tag] += 1
 
     def _pop(self):
         nid = self.stack.pop()
-        self.tags.pop()
+        self.n_open[self.tags.pop()] -= 1
         self.nodes[nid][1] = len(self.nodes) - 1
 
     def _pop_to(self, idx):
@@ -87,6 +89,8 @@ class _TreeBuilder(HTMLParser):
             self._pop()
 
     def _find(self, names, stops):
+        if not any(self.n_open[t] for t in names):
+            return -1
         for i in range(len(self.tags) - 1, -1, -1):
             t = self.tags[i]
             if t in names:
@@ -182,8 +186,7 @@ class _TreeBuilder(HTMLParser):
             self._ensure_body()
         nid = len(self.nodes)
         parent = self.stack[-1] if self.stack else -1
-        self.nodes.append([nid, nid, parent, len(self.stack), "text", None, None, [], [],
-                           data, list(self.stack)])
+        self.nodes.append([nid, nid, parent, len(self.stack), "text", None, None, [], [], data])
 
     def close(self):
         super().close()
@@ -207,7 +210,6 @@ def node_arrow_type():
         ("depth", pa.int32()), ("kind", pa.string()), ("tag", pa.string()),
         ("elem_id", pa.string()), ("classes", pa.list_(pa.string())),
         ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
-        ("anc", pa.list_(pa.int32())),
     ])
 
 
@@ -235,7 +237,6 @@ def nodes_arrow_array(htmls):
         pa.array(cols[3], i32), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string()),
         pa.array(cols[6], pa.string()), pa.array(cols[7], str_list),
         pa.array(cols[8], pa.map_(pa.string(), pa.string())), pa.array(cols[9], pa.string()),
-        pa.array(cols[10], pa.list_(i32)),
     ]
     structs = pa.StructArray.from_arrays(arrays, fields=list(t))
     mask = None if all(valid) else pa.array([not v for v in valid])

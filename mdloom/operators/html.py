@@ -25,7 +25,6 @@ NODE_TYPE = T.StructType([
     T.StructField("classes", T.ArrayType(T.StringType())),
     T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
     T.StructField("text", T.StringType()),
-    T.StructField("anc", T.ArrayType(T.IntegerType())),
 ])
 NODES_TYPE = T.ArrayType(NODE_TYPE)
 

@@ -75,10 +75,30 @@ def test_tokenizer_tree_invariants(frags):
     nodes = tokenize("<html><body>" + "".join(frags))
     assert [n[0] for n in nodes] == list(range(len(nodes)))          # dense preorder ids
     by_id = {n[0]: n for n in nodes}
-    for nid, end, parent, depth, kind, tag, _id, _cls, _attrs, text, anc in nodes:
-        assert end >= nid and depth == len(anc)
+    for nid, end, parent, depth, kind, tag, _id, _cls, _attrs, text in nodes:
+        assert end >= nid and depth == (by_id[parent][3] + 1 if parent >= 0 else 0)
         assert (kind == "text") == (tag is None) and (kind != "text" or end == nid)
         if parent >= 0:
             p = by_id[parent]
-            assert p[0] < nid <= end <= p[1] and anc[-1] == parent   # subtree nested in parent's
+            assert p[0] < nid <= end <= p[1]   # subtree nested in parent's
             assert p[5] not in ("br", "img")                          # void elements have no children
+
+
+def test_deep_page_stays_small():
+    from mdloom.functions.tokenize import nodes_arrow_array
+    levels = 8000
+    arr = nodes_arrow_array(["<div>" * levels + "x" + "</div>" * levels])
+    nodes = arr[0]
+    assert len(nodes) == levels + 3                     # html, body and the text
+    assert nodes[-1]["depth"].as_py() == levels + 2 and nodes[-1]["parent_id"].as_py() == levels + 1
+    assert arr.nbytes < 10 * 1024 * 1024
+
+
+def test_deep_page_renders(spark):
+    from mdloom.plans import corpus as C
+    from mdloom.operators import html as H
+    n = 300
+    html = "<body><main class='m'>" + "<div>" * n + "<ul><li>a<ul><li><b>b</b></li></ul></li></ul><p>t</p>" + "</div>" * n + "</main></body>"
+    pages = spark.createDataFrame([(1, "https://a.org/x", html)], "page_id long, url string, html string")
+    row = C.documents(H.parse_pages(pages), "body .m").select("markdown", "source").collect()[0]
+    assert row.source == "selector" and row.markdown == "- a\n  - **b**\n\nt\n"
