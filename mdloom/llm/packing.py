@@ -121,7 +121,8 @@ def packed(pieces: DataFrame, capacity: int) -> DataFrame:
     table = written(pieces, "pieces")
     groups = max(1, -(-table.count() // GROUP))
     key = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
-    first = (table.withColumn("home", F.pmod(key, F.lit(groups)))
+    # the table is written, so a repeated task finds its rows at the same places
+    first = (table.withColumn("home", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
              # equal rows (a repeated document) are items of their own, in an order that repeats
              .select("home", key.alias("bin"), F.lit(False).alias("done"), "doc_id", "piece", "start", "length", "ids_crc32",
                      F.lit(0).cast("long").alias("offset")))

@@ -274,3 +274,12 @@ def test_pipeline(spark, docs, nothing):
             if name == "language":
                 assert {r.doc_id for r in before.collect()} - {r.doc_id for r in step.collect()} <= {0, 1, 10}
         corpus_pipeline.STAGES[-1][1](spark, step, "").collect()
+
+
+def test_equal_rows_are_dealt_to_all_groups(spark):
+    n = 3 * packing.GROUP
+    pieces = spark.range(n).selectExpr("cast(7 as long) doc_id", "0 piece", "cast(0 as long) start", "2048 length", "cast(1 as long) ids_crc32")
+    got = packing.packed(pieces, 2048).selectExpr("sequence_id", "(sequence_id >> 26) & 4294967295 home").cache()
+    sizes = [r["count"] for r in got.groupBy("home").count().collect()]
+    assert sum(sizes) == n == got.select("sequence_id").distinct().count()
+    assert len(sizes) == 3 and max(sizes) < 1.05 * packing.GROUP
