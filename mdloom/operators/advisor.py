@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdloom.operators.order import ranked
 
 # --- fixed values: rule catalogue (id, priority, category, issue, advice) ----
 RULES = [
@@ -92,15 +91,23 @@ def _conditions(r: DataFrame) -> dict[str, Column]:
     }
 
 
-def advisor(runs: DataFrame) -> DataFrame:
-    """One row per fired rule: (run_id, rule_id, priority, category, issue, suggestion)."""
+def _fired(runs: DataFrame) -> DataFrame:
+    """run_id and the array of the rules that fire for the run, in rule order."""
     r = runs.select("*", *_rates())
     conds = _conditions(r)
-    items = F.array(*[F.struct(F.coalesce(conds[rid], F.lit(False)).alias("fired"), F.lit(rid).alias("rule_id"),
-                               F.lit(p).alias("priority"), F.lit(cat).alias("category"),
-                               F.lit(iss).alias("issue"), F.lit(sug).alias("suggestion"))
+    items = F.array(*[F.struct(F.coalesce(conds[rid], F.lit(False)).alias("fired"), *_texts((rid, p, cat, iss, sug)))
                       for rid, p, cat, iss, sug in RULES])
-    fired = r.select("run_id", F.explode(F.filter(items, lambda s: s["fired"])).alias("s"))
+    return r.select("run_id", F.filter(items, lambda s: s["fired"]).alias("s"))
+
+
+def _texts(rule: tuple) -> list[Column]:
+    names = ["rule_id", "priority", "category", "issue", "suggestion"]
+    return [F.lit(v).alias(k) for k, v in zip(names, rule)]
+
+
+def advisor(runs: DataFrame) -> DataFrame:
+    """One row per fired rule: (run_id, rule_id, priority, category, issue, suggestion)."""
+    fired = _fired(runs).select("run_id", F.explode("s").alias("s"))
     return fired.select("run_id", "s.rule_id", "s.priority", "s.category", "s.issue", "s.suggestion")
 
 
@@ -110,15 +117,17 @@ def advisor_counts(suggestions: DataFrame) -> DataFrame:
 
 
 def advisor_report(runs: DataFrame) -> DataFrame:
-    """Per run, suggestions ordered by priority (stable on rule order); a run
-    without suggestions gets one 'no problems' row."""
-    s = advisor(runs)
-    none = runs.select("run_id").join(s.select("run_id").distinct(), "run_id", "left_anti").select(
-        "run_id", *[F.lit(v).alias(k) for k, v in zip(["rule_id", "priority", "category", "issue", "suggestion"],
-                                                      NO_ISSUE)])
-    allr = s.unionByName(none)
-    rank = F.lit(3)
-    for p, k in PRIORITY_RANK.items():
-        rank = F.when(F.col("priority") == p, F.lit(k)).otherwise(rank)
-    allr = allr.withColumn("priority_rank", rank)
-    return ranked(allr, ["run_id"], ["priority_rank", "rule_id"], seq_col="line_no")
+    """Per run (a row of ``runs``), suggestions ordered by priority (stable on rule
+    order); a run without any gets one 'no problems' row. The few rules of a run are
+    sorted in its own row, so the runs are read once and nothing is shuffled."""
+    none = F.array(F.struct(F.lit(True).alias("fired"), *_texts(NO_ISSUE)))
+
+    def line(s: Column) -> Column:
+        rank = F.lit(len(PRIORITY_RANK))
+        for p, k in PRIORITY_RANK.items():
+            rank = F.when(s["priority"] == p, F.lit(k)).otherwise(rank)
+        return F.struct(rank.alias("priority_rank"), *[s[k].alias(k) for k in ("rule_id", "priority", "category", "issue", "suggestion")])
+    lines = F.array_sort(F.transform(F.when(F.size("s") == 0, none).otherwise(F.col("s")), line))
+    out = _fired(runs).select("run_id", F.posexplode(lines).alias("at", "l"))
+    return out.select("run_id", "l.rule_id", "l.priority", "l.category", "l.issue", "l.suggestion", "l.priority_rank",
+                      (F.col("at") + 1).cast("long").alias("line_no"))

@@ -25,6 +25,7 @@ from mdloom.plans import runs as R
 from mdloom.session import scratch_path
 from mdloom.sources.pages import attempts_from_events, page_scan, read_table
 from mdloom.streaming import pages_stream as ST
+from mdloom.streaming import resumable as RS
 
 # --- fixed parameters of the registered queries ------------------------------
 # scope prefix used by the scope-filter queries (rejects plain-http pages)
@@ -413,6 +414,11 @@ def q_advisor_report(spark, sf_dir):
     return AD.advisor_report(R.site_runs(spark, sf_dir)).select("run_id", "line_no", "rule_id", "priority")
 
 
+def q_advisor_varied(spark, sf_dir):
+    """R1-R14, W8 over runs of which some meet every rule and some none."""
+    return AD.advisor_report(R.varied_runs(spark, sf_dir)).select("run_id", "line_no", "rule_id", "priority", "category")
+
+
 def q_crawl_progress(spark, sf_dir):
     """Per site, in crawl order, pages processed so far and the total shown
     with each (processed + queued at that moment)."""
@@ -550,11 +556,11 @@ def q_log_tail(spark, sf_dir):
 
 # ---------------------------------------------------------------- streaming
 def q_stream_pages(spark, sf_dir):
-    """Pages with a new URL key, run incrementally (availableNow) into a
+    """The first page of each new URL key, run incrementally (availableNow) into a
     table in the shared checkpoint folder."""
     base = scratch_path(spark, "stream-pages")
-    ST.run_first_per_key(ST.new_pages_source(spark, sf_dir), "url_key", "page_id", f"{base}/out", f"{base}/ckpt")
-    return ST.read_table(spark, f"{base}/out").select("url_key")
+    RS.run_new_pages(ST.new_pages_source(spark, sf_dir), base)
+    return ST.read_table(spark, f"{base}/out").select("url_key", "page_id")
 
 
 def q_stream_failures(spark, sf_dir):
@@ -619,6 +625,7 @@ QUERIES = {
     "advisor": q_advisor,
     "advisor_counts": q_advisor_counts,
     "advisor_report": q_advisor_report,
+    "advisor_varied": q_advisor_varied,
     "crawl_progress": q_crawl_progress,
     "page_priority": q_page_priority,
     "page_profile": q_page_profile,

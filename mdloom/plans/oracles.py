@@ -319,7 +319,7 @@ ORACLES.update({
 })
 
 ORACLES.update({
-    "stream_pages": _with(PAGES_P, f"SELECT DISTINCT {KEY} AS url_key FROM pp"),
+    "stream_pages": _with(PAGES_P, f"SELECT {KEY} AS url_key, min(page_id) AS page_id FROM pp GROUP BY 1"),
     "stream_failures": "SELECT user_id AS url_id, count(*) FILTER (WHERE event_type = 'error') AS failures, "
                        "count(*) AS attempts, count(*) FILTER (WHERE event_type = 'error') >= 5 AS auto_skip "
                        "FROM events GROUP BY user_id",
@@ -562,3 +562,15 @@ ORACLES.update(log_oracles.ORACLES)
 ORACLES.update(image_oracles.image_oracles(_parts('url'), MD_STEPS))
 ORACLES.update(recovery_oracles.ORACLES)
 ORACLES.update(increment_oracles.increment_oracles(PAGES_P, KEY, ORACLES["auto_skip"]))
+
+_VARIED = """dg AS (SELECT url AS run_id, [CAST('0x' || substr(md5(url), i, 1) AS BIGINT) for i in range(1, 12)] AS d FROM pages),
+  cr AS (SELECT *, CASE WHEN d[11] > 0 THEN 10 + d[1] * 6 ELSE 0 END AS total_crawled, CASE WHEN d[11] > 0 THEN d[2] * 4 ELSE 0 END AS total_failed FROM dg),
+  runs AS (SELECT run_id, total_crawled, total_failed, CASE WHEN d[11] > 0 THEN d[7] * d[7] ELSE 0 END AS total_skipped, total_crawled AS total_processed,
+                  d[4] * 12 AS images_downloaded, d[5] * 8 AS images_failed, total_failed AS network_errors, total_crawled * d[3] // 40 AS content_errors,
+                  CASE WHEN d[10] IN (0, 4, 8, 12) THEN 1 ELSE 0 END AS fs_errors, 0 AS config_errors, 60.0 * (d[6] + 1) AS seconds,
+                  [1.0, 1.75, 2.5][d[8] % 3 + 1] AS request_delay, ['DEBUG', NULL, 'INFO', 'INFO'][d[9] % 4 + 1] AS console_level FROM cr)"""
+ORACLES["advisor_varied"] = _with(_VARIED + ", " + _RATES + ", " + _ADV + """,
+  allr AS (SELECT * FROM adv UNION ALL SELECT run_id, 'R00', 'NONE', 'NONE' FROM runs WHERE run_id NOT IN (SELECT run_id FROM adv))""",
+        """SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY
+             CASE priority WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END, rule_id) AS line_no,
+           rule_id, priority, category FROM allr""")

@@ -78,3 +78,18 @@ def site_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).cast("long").alias("fs_errors"), F.lit(0).cast("long").alias("config_errors"),
         (F.coalesce(F.col("_span_us"), F.lit(0)) / 1e6).alias("seconds"),
         F.lit(REQUEST_DELAY).alias("request_delay"), F.lit(CONSOLE_LEVEL).alias("console_level"))
+
+
+def varied_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run per page whose counters, delay and level follow from the digits of its URL's digest, so that every rule fires
+    for some and not for others; one in sixteen did nothing at all."""
+    d = lambda i: F.conv(F.substring(F.md5("run_id"), i, 1), 16, 10).cast("long")
+    busy = F.when(d(11) > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    level = F.when(d(9) % 4 == 0, F.lit("DEBUG")).when(d(9) % 4 > 1, F.lit("INFO"))
+    crawled, failed = (10 + d(1) * 6) * busy, d(2) * 4 * busy
+    return page_scan(spark, sf_dir).select(F.col("url").alias("run_id")).select(
+        "run_id", crawled.alias("total_crawled"), failed.alias("total_failed"), (d(7) * d(7) * busy).alias("total_skipped"),
+        crawled.alias("total_processed"), (d(4) * 12).alias("images_downloaded"), (d(5) * 8).alias("images_failed"), failed.alias("network_errors"),
+        F.floor(crawled * d(3) / 40).alias("content_errors"), F.when(d(10) % 4 == 0, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("fs_errors"),
+        F.lit(0).cast("long").alias("config_errors"), ((d(6) + 1) * 60).cast("double").alias("seconds"),
+        (1.0 + (d(8) % 3) * 0.75).alias("request_delay"), level.alias("console_level"))

@@ -256,3 +256,14 @@ def test_stream_reads_a_table_folder(spark, tmp_path):
     out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
     _source(spark, str(tmp_path), "pages").writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(out).count() == 30
+
+
+def test_varied_runs_meet_every_rule(spark):
+    from mdloom.operators import advisor as AD
+    from mdloom.plans import runs as R
+    runs = R.varied_runs(spark, "/root/testdata/sf0.01")
+    report = AD.advisor_report(runs)
+    per_rule = {r.rule_id: r["count"] for r in report.groupBy("rule_id").count().collect()}
+    assert set(per_rule) == {"R00"} | {r[0] for r in AD.RULES} and max(per_rule.values()) < runs.count()
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Scan parquet") == 1
