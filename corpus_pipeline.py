@@ -28,8 +28,7 @@ from mdloom.session import ship_package
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     model = language_id.fit(docs.select("doc_id", "text", "lang"), F.lit(True))
-    found = language_id.identify(docs, model, docs.columns, suffix="_found")
-    return found.where(~F.col("rejected_found")).drop("lang_pred_found", "score_found", "rejected_found")
+    return language_id.known(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,11 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one struct named row, apart from the names that an operator uses."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def text_key() -> Column:
     """64-bit hash of the text (null: of the empty text), made by the JVM."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))

@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mdloom.llm import textbatch as tb
 from mdloom.llm.common import crc_mod, load
@@ -257,12 +258,20 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], suffix: str
     cols = [c for c in keep if c != "text"]
     added = [c + suffix for c in ADDED]
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_lettered")
-    kinds = dict(docs.dtypes)
-    predicted = docs.select(*[f"`{c}`" for c in cols], "text", lettered).mapInArrow(
-        _predicted(shipped, suffix), ", ".join([f"`{c}` {kinds[c]}" for c in [*cols, "text"]] + [f"`{c}` {k}" for c, k in zip(added, ("string", "double", "boolean"), strict=True)]))
+    taken = docs.select(*[f"`{c}`" for c in cols], "text")
+    schema = T.StructType(taken.schema.fields + [T.StructField(c, k) for c, k in zip(added, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)])
+    predicted = taken.select("*", lettered).mapInArrow(_predicted(shipped, suffix), schema)
     return predicted.select(*[f"`{c}`" for c in keep], *added)
 
 
+def known(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs that are not rejected, with their columns, whatever their names."""
+    rest = [c for c in docs.columns if c != "text"]
+    inner = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(True)
+    found = identify(docs.select(inner.alias("row"), "text"), model, ["row", "text"])
+    return found.where(~F.col("rejected")).select(*["text" if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def train_rows() -> Column:
     """crc32(doc_id as text) modulo 4 is not 2; a null doc_id is never learned from."""
     return F.coalesce(crc_mod(4) != 2, F.lit(False))

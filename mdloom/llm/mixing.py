@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mdloom.llm.common import WORD, load, text_key, written
+from mdloom.llm.common import WORD, load, text_key, whole_row, written
 from mdloom.operators.order import ranked
 
 BLOCKS = 1 << 17
@@ -143,14 +143,14 @@ def rounded(found: DataFrame) -> DataFrame:
 
 def as_mixed(docs: DataFrame, weight: Column | None = None) -> DataFrame:
     """The rows of docs, each 0 to PASSES times, so that the words of each source come to those taken."""
-    cols = docs.columns
     found, _ = mixed(sizes_of(docs), weight)
     times = written(rounded(found), "mix-times")
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NO_ID)), "_tkey": text_key()})
+    # a row travels whole as one struct, so its columns may have any names
+    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), text_key().alias("_tkey"), "source", whole_row(docs))
 
     def emitted(rows: DataFrame, n: Column) -> DataFrame:
         return (rows.withColumn("_n", n.cast("int")).where("_n > 0").withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-                .select(*[f"`{c}`" for c in cols]))
+                .select("row.*"))
 
     def joined(part: DataFrame) -> DataFrame:
         return keyed.join(part.withColumnsRenamed({"_id": "_i", "_tkey": "_t"}),
@@ -161,7 +161,7 @@ def as_mixed(docs: DataFrame, weight: Column | None = None) -> DataFrame:
         return emitted(joined(times), F.col("_times") / F.col("_rows"))
     # of equal rows, the first _times % _rows are taken once more
     even = emitted(joined(times.where(F.col("_times") % F.col("_rows") == 0)), F.col("_times") / F.col("_rows"))
-    row = joined(uneven).withColumns({"_mark": F.xxhash64(*[f"`{c}`" for c in cols]), "_o": F.coalesce("_of", F.lit("")), "_null": F.col("_of").isNull()})
+    row = joined(uneven).withColumns({"_mark": F.xxhash64("row"), "_o": F.coalesce("_of", F.lit("")), "_null": F.col("_of").isNull()})
     placed = ranked(row, ["_id", "_tkey", "_o", "_null"], ["_mark"], seq_col="_place")
     return even.unionByName(emitted(placed, F.floor(F.col("_times") / F.col("_rows")) + (F.col("_place") <= F.col("_times") % F.col("_rows")).cast("int")))
 

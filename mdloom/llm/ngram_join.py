@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mdloom.llm import textbatch as tb
-from mdloom.llm.common import load, text_key, written
+from mdloom.llm.common import load, text_key, whole_row, written
 from mdloom.llm.components import connected
 
 HOT_TOKENS = 1 << 18
@@ -493,10 +493,11 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     least = F.lit(-(1 << 63))
     chosen = (groups.select("component", F.coalesce("doc_id", least).alias("_id"), F.col("tkey").alias("_tkey"))
               .groupBy("component").agg(F.min(F.struct("_id", "_tkey")).alias("r")).select("r._id", "r._tkey"))
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", least), "_tkey": text_key()})
+    # a row travels whole as one struct, so its columns may have any names
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    kept = keyed.where(worded).join(chosen, ["_id", "_tkey"], "left_semi").dropDuplicates(["_id", "_tkey"])
-    return kept.unionByName(keyed.where(~worded)).drop("_id", "_tkey")
+    keyed = docs.select(F.coalesce("doc_id", least).alias("_id"), text_key().alias("_tkey"), worded.alias("worded"), whole_row(docs))
+    kept = keyed.where("worded").join(chosen, ["_id", "_tkey"], "left_semi").dropDuplicates(["_id", "_tkey"])
+    return kept.unionByName(keyed.where("not worded")).select("row.*")
 
 
 def q_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
