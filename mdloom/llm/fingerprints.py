@@ -1,8 +1,14 @@
 """Homomorphic multiset fingerprints of documents (operator 7).
 
 A text is the multiset of its paragraphs: its lines, those longer than
-``LONG`` characters cut every LONG characters. Each paragraph is hashed to a
-wide vector, and vectors are added lane by lane modulo powers of two:
+``LONG`` characters cut by content: before a place whose next ``WINDOW``
+characters have a smaller hash than those of all ``RADIUS`` places on either
+side in the line, so that a cut depends on its surroundings alone and an
+inserted character moves no cut further off. What is still longer than ``MOST``
+characters (one word over and over, say) is cut LONG to MOST characters after the last cut,
+before the first place whose hash is as small as the smallest around, so that each
+cut falls on the same letter of the word. Each paragraph is hashed to a wide
+vector, and vectors are added lane by lane modulo powers of two:
 
 * one count modulo 2**32,
 * ``DENSE`` lanes modulo 2**16, all changed by every paragraph: equal multisets have
@@ -44,6 +50,12 @@ from mdloom.llm import textbatch as tb
 from mdloom.llm.common import load, text_key
 
 LONG = 64
+WINDOW = 4
+#: A power of two; cuts are 2 * RADIUS + 1 characters apart on average.
+RADIUS = 16
+MOST = 128
+#: Characters whose hashes are held at once.
+SPAN = 1 << 16
 DENSE = 16
 STABLE = 128
 UNIT = 64
@@ -76,13 +88,59 @@ def _stable(keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _cuts(joined: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places of long lines, joined by RADIUS line ends, whose window has the smallest hash around: alone, and with ties."""
+    found, ties = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    for at in range(0, len(joined), SPAN):
+        a, b = max(0, at - RADIUS), at + SPAN + RADIUS + WINDOW - 1
+        codes = np.frombuffer(joined[a:b].encode("utf-32-le", "surrogatepass"), "<u4")
+        h = tb.runs(codes.astype(np.uint64), WINDOW)
+        n = len(h)
+        for i in range(WINDOW):
+            h[codes[i:i + n] == 10] = top  # no window reaches beyond its line
+        edge = np.full(RADIUS, top)
+        low = np.concatenate((edge, h, edge))
+        step = 1
+        while step < RADIUS:  # the least of RADIUS values from each place on
+            low = np.minimum(low[:-step], low[step:])
+            step *= 2
+        around = np.minimum(low[:n], low[RADIUS + 1:])
+        for out, least in ((found, h < around), (ties, (h <= around) & (h < top))):
+            places = np.flatnonzero(least) + a
+            out.append(places[(places >= at) & (places < at + SPAN)])
+    return np.concatenate(found), np.concatenate(ties)
+
+
 def paragraphs(text: str) -> list[str]:
     if not text:
         return []
     lines = text.split("\n")
-    if len(text) <= LONG:
+    long = [line for line in lines if len(line) > LONG]
+    if not long:
         return lines
-    return [p for line in lines for p in ([line] if len(line) <= LONG else [line[i:i + LONG] for i in range(0, len(line), LONG)])]
+    cuts, ties = _cuts(("\n" * RADIUS).join(long))
+    begins = np.cumsum([0] + [len(line) + RADIUS for line in long])
+    places, rows = cuts.tolist(), np.searchsorted(cuts, begins).tolist()
+    out: list[str] = []
+    k = 0
+    for line in lines:
+        if len(line) <= LONG:
+            out.append(line)
+            continue
+        begin = int(begins[k])
+        x = 0
+        for y in [p - begin for p in places[rows[k]:rows[k + 1]]] + [len(line)]:
+            while y - x > MOST:
+                tie = int(np.searchsorted(ties, begin + x + LONG))
+                z = min(x + MOST, int(ties[tie]) - begin if tie < len(ties) else y)
+                out.append(line[x:z])
+                x = z
+            if y > x:
+                out.append(line[x:y])
+            x = y
+        k += 1
+    return out
 
 
 def vector(parts: list[str]) -> np.ndarray:
