@@ -12,7 +12,9 @@ All steps are DataFrame operations.
 3. Each source's documents, in a seeded order, are a stream of words cut into
    blocks of that length. Shards draw the blocks of their quota one after the
    other along a seeded permutation of the stream's blocks, which starts again once all
-   are drawn. A document is taken with the words it has in drawn blocks, once per pass.
+   are drawn: the running sums of a source's quotas say which shard makes a draw.
+   A document is taken with the words it has in drawn blocks, once per draw;
+   ``shard_words`` tells how many of them each shard takes.
 
 ``as_mixed`` returns whole documents: shares taken of them are rounded without
 bias, so that each source keeps its sum (see ``rounded``).
@@ -94,19 +96,22 @@ def quotas(goal: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS) -> DataF
     return drawn.withColumn("shard", F.floor(F.col("seat") / per_shard)).groupBy("source", "rank", "shard").agg(F.count(F.lit(1)).alias("quota"))
 
 
-def mixed(sizes: DataFrame, weight: Column | None = None, blocks: int = BLOCKS, seed: int = SEED, passes: int = PASSES) -> tuple[DataFrame, DataFrame]:
-    """The documents with source_size, target and taken, and the table of quotas per shard."""
+def mixed(sizes: DataFrame, weight: Column | None = None, blocks: int = BLOCKS, seed: int = SEED, passes: int = PASSES,
+          shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+    """The documents with source_size, target, taken and draws (shard and words of each draw), and the table of quotas per shard."""
     table = written(sizes, "mix-sizes")
     goal = written(targets(table, weight, passes), "mix-targets")
-    per_shard = written(quotas(goal, blocks), "mix-quotas")
-    drawn = per_shard.groupBy("rank").agg(F.sum("quota").alias("quota"))
+    per_shard = written(quotas(goal, blocks, shards), "mix-quotas")
+    # a source's draws are numbered through its shards: each ends where the running sum of quotas does
+    sums = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    drawn = (per_shard.withColumn("end", F.sum("quota").over(sums)).groupBy("rank")
+             .agg(F.max("end").alias("quota"), F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends")))
     plan = (goal.withColumn("length", block_length(blocks)).join(drawn, "rank", "left")
             .withColumn("blocks", F.greatest(F.ceil(F.col("source_size") / F.col("length")), F.lit(1)))
             .withColumn("quota", F.least(F.coalesce("quota", F.lit(0)), F.col("blocks") * passes))
-            .withColumn("full", F.floor(F.col("quota") / F.col("blocks"))).withColumn("part", F.col("quota") % F.col("blocks"))
             .withColumn("step", F.when(F.col("blocks") % PRIMES[0] != 0, F.lit(PRIMES[0])).otherwise(F.lit(PRIMES[1])) % F.col("blocks"))
             .withColumn("shift", F.pmod(F.xxhash64("rank", F.lit(seed)), F.col("blocks")))
-            .select("rank", F.col("source").alias("of"), "source_size", "target", "length", "blocks", "full", "part", "step", "shift"))
+            .select("rank", F.col("source").alias("of"), "source_size", "target", "length", "blocks", "quota", "ends", "step", "shift"))
     # numbering joins on its group columns, so a null source is told by a flag
     marked = table.withColumns({"mark": F.xxhash64("doc_id", "tkey", F.lit(seed)), "named": F.coalesce("source", F.lit("")), "nameless": F.col("source").isNull()})
     stream = ranked(marked, ["named", "nameless"], ["mark", "doc_id", "tkey"],
@@ -115,13 +120,27 @@ def mixed(sizes: DataFrame, weight: Column | None = None, blocks: int = BLOCKS,
     start = F.col("upto") - F.col("size")
     first, last = F.floor(start / F.col("length")), F.floor((F.col("upto") - 1) / F.col("length"))
 
-    def words(acc: Column, b: Column) -> Column:
+    def draws_of(b: Column) -> Column:
+        place = (b * F.col("step") + F.col("shift")) % F.col("blocks")
         inside = F.least(F.col("upto"), (b + 1) * F.col("length")) - F.greatest(start, b * F.col("length"))
-        return acc + F.when((b * F.col("step") + F.col("shift")) % F.col("blocks") < F.col("part"), inside).otherwise(F.lit(0).cast("long"))
+        turns = F.floor((F.col("quota") - 1 - place) / F.col("blocks"))  # the last pass in which the block is drawn
+        return F.when(place < F.col("quota"), F.transform(F.sequence(F.lit(0).cast("long"), turns), lambda k: F.struct(
+            shard_at(k * F.col("blocks") + place).alias("shard"), inside.cast("long").alias("words"))))
 
-    extra = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), words)
-    taken = F.when(F.col("size") > 0, F.col("full") * F.col("size") + extra).otherwise(F.lit(0)).cast("long")
-    return rows.select("doc_id", "tkey", "source", "size", "source_size", "target", taken.alias("taken")), per_shard
+    def shard_at(draw: Column) -> Column:
+        return F.element_at("ends", F.size(F.filter("ends", lambda e: e["end"] <= draw)) + 1)["shard"]
+
+    draws = F.when((F.col("size") > 0) & (F.col("quota") > 0), F.flatten(F.filter(
+        F.transform(F.sequence(first, last), draws_of), lambda x: x.isNotNull())))
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda acc, d: acc + d["words"])
+    return (rows.withColumn("draws", draws)
+            .select("doc_id", "tkey", "source", "size", "source_size", "target", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), "draws"), per_shard)
+
+
+def shard_words(found: DataFrame) -> DataFrame:
+    """(shard, source, doc_id, words): the words that each shard takes of each document, repeats counted."""
+    return (found.withColumn("draw", F.explode("draws")).groupBy("draw.shard", "source", "doc_id", "tkey")
+            .agg(F.sum("draw.words").alias("words")).drop("tkey"))
 
 
 def rounded(found: DataFrame) -> DataFrame:
