@@ -112,6 +112,13 @@ def fallback_name(url, prefix: str = "page_", ext: str = ".md") -> Column:
     return F.concat(F.lit(prefix), F.lpad(n.cast("string"), 5, "0"), F.lit(ext))
 
 
+def md_path_or_fallback(url) -> Column:
+    """P7, or the P8 name for a URL that cannot be split: one bracket of an IPv6 host without the other."""
+    host = F.regexp_extract(_c(url), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)
+    broken = host.contains("[") != host.contains("]")
+    return F.when(broken, fallback_name(url)).otherwise(md_path(url))
+
+
 # --------------------------------------------------------------------------
 # Resolve a reference against a base URL (urljoin semantics)
 # --------------------------------------------------------------------------

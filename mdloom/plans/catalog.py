@@ -53,6 +53,13 @@ def q_md_path(spark, sf_dir):
     return read_table(spark, sf_dir, "pages").select("page_id", "url", U.md_path("url").alias("md_path"))
 
 
+def q_md_path_fallback(spark, sf_dir):
+    """Two of three pages get a host with an unpaired bracket, by their id."""
+    url = (F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "://", "://["))
+           .when(F.col("page_id") % 3 == 1, F.regexp_replace("url", "(://[^/?#]*)", "$1]")).otherwise(F.col("url")))
+    return read_table(spark, sf_dir, "pages").select("page_id", url.alias("url")).withColumn("md_path", U.md_path_or_fallback("url"))
+
+
 def q_url_dedup(spark, sf_dir):
     return OU.dedup_first(page_scan(spark, sf_dir).select("url_key", "page_id", "url"))
 
@@ -574,6 +581,7 @@ QUERIES = {
     "page_scan": q_page_scan,
     "url_normalize": q_url_normalize,
     "md_path": q_md_path,
+    "md_path_fallback": q_md_path_fallback,
     "url_dedup": q_url_dedup,
     "markdown_manifest": q_markdown_manifest,
     "path_collisions": q_path_collisions,

@@ -68,7 +68,7 @@ def documents(parsed: DataFrame, content_selector=H.DEFAULT_CONTENT_SELECTOR,
     return (df.withColumn("markdown", md)
             .withColumn("status", status)
             .withColumn("error_severity", error)
-            .withColumn("md_path", U.md_path("url")))
+            .withColumn("md_path", U.md_path_or_fallback("url")))
 
 
 def synthetic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

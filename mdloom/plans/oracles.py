@@ -123,6 +123,11 @@ ORACLES: dict[str, str] = {
     "page_scan": _with(PAGES_P, f"SELECT page_id, url, {HOST} AS host, CAST(length(html) AS INTEGER) AS n_chars FROM pp"),
     "url_normalize": _with(PAGES_P, f"SELECT page_id, url, {KEY} AS url_key FROM pp"),
     "md_path": _with(PAGES_P + "," + _mdpath_cte("pp"), f"SELECT page_id, url, {MDPATH} AS md_path FROM mp2"),
+    "md_path_fallback": _with(PAGES_P + "," + _mdpath_cte("pp"), f"""
+SELECT page_id, u AS url, CASE WHEN u = url THEN {MDPATH}
+  ELSE format('page_{{:05d}}.md', CAST('0x' || left(md5(u), 8) AS BIGINT) % 100000) END AS md_path
+FROM (SELECT *, CASE page_id % 3 WHEN 0 THEN replace(url, '://', '://[')
+  WHEN 1 THEN regexp_replace(url, '(://[^/?#]*)', '\\1]') ELSE url END AS u FROM mp2)"""),
     "url_dedup": _with(PAGES_P + f""",
   k AS (SELECT page_id, url, {KEY} AS url_key FROM pp),
   f AS (SELECT url_key, min(page_id) AS first_id, count(*) AS n_variants FROM k GROUP BY url_key)""",

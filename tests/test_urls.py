@@ -99,3 +99,20 @@ def test_any_pattern_matches_per_pattern(spark):
         good = P.compiled(p_list)
         rows = df.select("url", P.any_match(F.col("url"), good).alias("a"), P.first_match(F.col("url"), good).isNotNull().alias("b")).collect()
         assert all(r.a == r.b for r in rows)
+
+
+def test_path_falls_back_only_for_urls_that_cannot_be_split(spark):
+    from urllib.parse import urlsplit
+
+    from mdloom.functions import urls
+
+    asked = ["https://[a.org/x.html", "https://a.org]/x.html", "https://[::1]/x.html", "https://a.org/[x.html", "//[a/b", "mailto:[x", "https://a.org/"]
+    rows = spark.createDataFrame([(u,) for u in asked], "u string").select(
+        "u", urls.md_path_or_fallback("u").alias("got"), urls.md_path("u").alias("plain"), urls.fallback_name("u").alias("name")).collect()
+    for r in rows:
+        try:
+            urlsplit(r.u)
+            assert r.got == r.plain, r
+        except ValueError:
+            assert r.got == r.name, r
+    assert sum(r.got == r.name for r in rows) == 3
