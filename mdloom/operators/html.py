@@ -34,8 +34,9 @@ UNWANTED_SELECTOR = ("script, style, nav, header, footer, .advertisement, .ads,
 # default selectors of a profile
 DEFAULT_NAV_SELECTOR = "nav"
 DEFAULT_CONTENT_SELECTOR = "main"
-# HTML bytes tokenised per output Arrow batch
-ARROW_CHUNK_BYTES = 32 * 1024 * 1024
+# HTML bytes tokenised per output Arrow batch: as Python objects nodes take some
+# ten times their HTML, and each core of an executor has its own worker
+ARROW_CHUNK_BYTES = 512 * 1024
 # ----------------------------------------------------------------------------
 
 
@@ -43,7 +44,8 @@ def parse_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """H1: replace ``html`` by ``nodes``; other columns pass through unchanged.
 
     Select only the columns you need before calling: the Python worker receives
-    every input column.
+    every input column. It holds one input batch (Spark ends one at 64 MB by default)
+    and the nodes of ``ARROW_CHUNK_BYTES`` of HTML, however large its partition is.
     """
     import pyarrow as pa  # noqa: F401  (worker side)
 
@@ -63,7 +65,7 @@ def parse_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
-        from mdloom.functions.tokenize import nodes_arrow_array
+        from mdloom.functions.tokenize import nodes_arrow_array, release
         for b in batches:
             idx = b.schema.get_field_index(html_col)
             # slice by HTML volume so one output batch stays bounded (node arrays
@@ -74,6 +76,9 @@ def parse_pages(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 arr = nodes_arrow_array(part.column(idx).to_pylist())
                 cols = [part.column(k) for k in range(part.num_columns) if k != idx] + [arr]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+            # neither the batch nor what its tokenising left in the pools stays until the next one is read
+            b = part = arr = cols = None
+            release()
 
     return pages.mapInArrow(run, out_schema)
 

@@ -158,3 +158,30 @@ def test_selectors_as_data_equal_compiled_ones(spark):
         for r in df.where(F.col("sel") == sel).select("ids", "first", "back", want.alias("want")).collect():
             assert (r.ids, r.first, r.back) == (r.want, r.want[:1], r.want), sel
     assert all(r.ids == [] for r in df.where("steps is null").collect())
+
+
+def test_parsing_holds_few_nodes_at_a_time(spark, monkeypatch):
+    """A worker's memory is that of a small part of a batch, not of all its pages."""
+    import tracemalloc
+
+    import pyarrow as pa
+    pages = spark.createDataFrame([(0, "<p>x")], "page_id long, html string")
+    taken = []
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda self, run, schema: taken.append(run) or self)
+    H.parse_pages(pages)
+    n, paragraphs = 600, 250
+    html = [f"<body id=b{i}>" + "".join(f"<p>{j} of {i}</p>" for j in range(paragraphs)) for i in range(n)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(n + 2)), "html": html})
+    ids, sizes = [], []
+    tracemalloc.start()
+    try:
+        for out in taken[0](iter([batch])):
+            ids += out.column(0).to_pylist()
+            sizes += pa.compute.list_value_length(out.column(1)).to_pylist()
+            del out
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert ids == list(range(n + 2))
+    assert sizes == [2 + 2 * paragraphs] * n + [None, 0]
+    assert peak < 40e6, peak
