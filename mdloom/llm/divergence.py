@@ -54,7 +54,7 @@ SLOTS = 1 << 24
 #: Bits of a digest; tests take fewer, so that terms share them.
 DIGEST_BITS = 64
 #: Rows of counts that a task gathers before it hands them on.
-HELD = 1 << 19
+HELD = 3 << 18
 
 #: A term is a run of letters and all bytes from 0x80 on.
 IS_GAP = np.ones(256, dtype=bool)
@@ -80,13 +80,12 @@ def _strings(data: np.ndarray, w: tb.Words, rows: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(offs.astype(np.int64).tobytes()), pa.py_buffer(tb.LOWER[data[place]].tobytes())).cast(pa.string())
 
 
-def _extremes(data: np.ndarray, w: tb.Words, digest: np.ndarray) -> pa.Table:
-    """Each digest of a batch with the least string that has it there, and the greatest (null: the same).
+def _extremes(data: np.ndarray, w: tb.Words, by: np.ndarray, ordered: np.ndarray) -> pa.Table:
+    """Each digest of a batch with the least string that has it there, and the greatest (null: the same). ``by``
+    are the words in the order of their digests ``ordered``.
 
     All occurrences are compared byte by byte with the first one of their digest; only where
     one differs are the strings of the digest made and put in order."""
-    by = np.argsort(digest, kind="stable")
-    ordered = digest[by]
     first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
     head = by[np.repeat(first, np.diff(np.append(first, len(by))))]
     size = w.ends - w.starts
@@ -166,19 +165,26 @@ def _counted(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = _Counts()
         for part in tb.pieces(batches, "text"):
-            data, offs = tb.text_buffer(tb.column(part, "text"))
-            digest, row, w = _terms(data, offs, bits)
             groups = counts.groups
             of = np.array([groups.setdefault(g, len(groups)) for g in zip(tb.column(part, "lang").to_pylist(), tb.column(part, "source").to_pylist(), strict=True)], np.int64)
+            # texts stand by group, so that one stable sort by digest leaves groups, and documents in them, together
+            order = np.argsort(of, kind="stable")
+            of = of[order]
+            data, offs = tb.text_buffer(tb.column(part, "text").take(pa.array(order)))
+            digest, row, w = _terms(data, offs, bits)
             if not len(digest):
                 continue
-            by = np.lexsort((digest, row))
+            by = np.argsort(digest, kind="stable")
             d, r = digest[by], row[by]
             new = np.ones(len(by), bool)
             new[1:] = (d[1:] != d[:-1]) | (r[1:] != r[:-1])
-            first = np.flatnonzero(new)
-            yield from counts.add(of[r[first]], d[first], np.diff(np.append(first, len(by))), np.ones(len(first), np.int64))
-            for batch in _extremes(data, w, digest).combine_chunks().to_batches(max_chunksize=1 << 16):
+            doc = np.flatnonzero(new)  # where a document's words of a digest begin
+            g, e = of[r[doc]], d[doc]
+            new = np.ones(len(doc), bool)
+            new[1:] = (e[1:] != e[:-1]) | (g[1:] != g[:-1])
+            first = np.flatnonzero(new)  # and a group's documents
+            yield from counts.add(g[first], e[first], np.diff(np.append(doc[first], len(by))), np.diff(np.append(first, len(doc))))
+            for batch in _extremes(data, w, by, d).combine_chunks().to_batches(max_chunksize=1 << 16):
                 yield _rows(1, len(batch), **{c: tb.column(batch, c) for c in ("digest", "least", "most")})
         yield from counts.batches()
         lang, source = counts.names()

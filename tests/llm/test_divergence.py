@@ -84,6 +84,20 @@ def test_small_batches_and_blocks(spark, monkeypatch):
     assert {(r["lang"], r["source"]) for r in rows if r["kind"] == 2} == {(x[1] or "", x[2] or "") for x in docs}
 
 
+def test_batches_hand_on_a_row_per_group_and_term(monkeypatch):
+    docs = corpus(4)
+    batch = divergence.pa.RecordBatch.from_arrays([divergence.pa.array([x[i] or "" for x in docs]) for i in (0, 1, 2)], ["text", "lang", "source"])
+    added, real = [], divergence._Counts.add
+
+    def add(self, group, digest, n, docs):
+        added.append((len(group), int(n.sum()), int(docs.sum())))
+        return real(self, group, digest, n, docs)
+    monkeypatch.setattr(divergence._Counts, "add", add)
+    list(divergence._counted(64)(iter([batch])))
+    found = [((lang or "", source or ""), TERM.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))) for text, lang, source in docs]
+    assert added == [(len({(g, t) for g, terms in found for t in terms}), sum(len(terms) for _, terms in found), sum(len(set(terms)) for _, terms in found))]
+
+
 def test_distances_in_blocks(spark, monkeypatch):
     docs = corpus(3)
     df = spark.createDataFrame(docs, "text string, lang string, source string")
